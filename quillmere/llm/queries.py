@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, packing, vocab
+from . import bitpack, langid, minhash, packing, vocab
 
 BYTES = vocab.path("byte_bpe_50k.tiktoken")
 
@@ -21,8 +21,16 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.write_tokens(spark, _table(spark, sf_dir, "documents"), BYTES)
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(spark, _table(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(spark, _table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_packing, op6_token_files)}
+    return {f.__name__: f for f in (op5_packing, op6_token_files, op7_minhash, op8_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
