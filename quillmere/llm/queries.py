@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, langid, minhash, packing, vocab
+from . import bitpack, katz, langid, minhash, packing, vocab
 
 BYTES = vocab.path("byte_bpe_50k.tiktoken")
 
@@ -29,8 +29,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark, _table(spark, sf_dir, "documents"))
 
 
+def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(spark, _table(spark, sf_dir, "documents"), BYTES)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_packing, op6_token_files, op7_minhash, op8_language_id)}
+    return {f.__name__: f for f in (op5_packing, op6_token_files, op7_minhash, op8_language_id, op9_katz)}
 
 
 def oracle_sql() -> dict[str, str]:
