@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +71,16 @@ def no_null(texts: pa.Array) -> pa.Array:
     return texts.cast(pa.string()).fill_null("")
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows of about ``limit`` bytes of text, one row at least, which bounds what a worker holds."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < batch.num_rows:
+        last = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + limit, side="right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def split_chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Cut every text before each space or line feed, losing nothing.
 

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import gather, id_text, mix64, split_chunks
+from ._common import gather, id_text, mix64, slices, split_chunks
 
 SCHEMA = "doc_id long, predicted string, confidence double, rejected boolean"
 
@@ -81,7 +81,7 @@ def features(docs: DataFrame, s: Settings) -> DataFrame:
     """``label``, the buckets of a text and their shares; a text without letters has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch)):
             codes, bounds, pieces = split_chunks(b.column("text"))
             flat, at = subwords(pieces, s)
             ids, shares = [], []
@@ -150,12 +150,15 @@ def train(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
     )
     if n > s.max_train:
         chosen = chosen.where(F.pmod(F.xxhash64(F.col("id"), F.lit(s.seed)), F.lit(1_000_000)) < int(1_000_000 * s.max_train / n))
-    got = features(chosen, s).limit(s.max_train).toPandas()
-    got = got[got.ids.map(len) > 0]
-    if not len(got):
+    got = features(chosen, s).limit(s.max_train).toArrow()
+    ids, shares = (got.column(c).combine_chunks() for c in ("ids", "shares"))
+    at = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())])
+    ids, shares = ids.flatten().to_numpy(), shares.flatten().to_numpy()
+    rows = [(label, ids[x:y], shares[x:y]) for label, x, y in zip(got.column("label").to_pylist(), at, at[1:]) if y > x]
+    if not rows:
         return None
-    got = got.assign(first=got.ids.map(lambda x: x[0]), size=got.ids.map(len)).sort_values(["label", "size", "first"], kind="stable")
-    return fit(list(got.label), [np.asarray(x) for x in got.ids], [np.asarray(x, np.float32) for x in got.shares], s)
+    rows.sort(key=lambda r: (r[0], len(r[1]), r[1][:4].tolist(), r[2][:4].tolist()))  # whatever order they came in
+    return fit([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], s)
 
 
 def scores(texts: pa.Array, model: Model, s: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +191,7 @@ def identify(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = pa.array(m.languages)
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch)):
             p, n = scores(b.column("text"), m, s)
             none = pa.array(n == 0)
             best = p.argmax(axis=1)
