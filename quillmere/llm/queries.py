@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, katz, langid, minhash, packing, vocab
+from . import bitpack, katz, langid, minhash, packing, secrets, topk, vocab
 
 BYTES = vocab.path("byte_bpe_50k.tiktoken")
 
@@ -13,6 +13,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(spark, _table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, _table(spark, sf_dir, "documents"), BYTES)
 
@@ -33,9 +37,23 @@ def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score_documents(spark, _table(spark, sf_dir, "documents"), BYTES)
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark, _table(spark, sf_dir, "embeddings"))
+
+
+OP10_SQL = """
+SELECT query_id, rank, neighbor_id, score FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbor_id) AS INTEGER) AS rank FROM (
+    SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id,
+      round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 6) AS score
+    FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id))
+WHERE rank <= 10
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_packing, op6_token_files, op7_minhash, op8_language_id, op9_katz)}
+    return {f.__name__: f for f in (op4_secrets, op5_packing, op6_token_files, op7_minhash, op8_language_id, op9_katz, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_topk": OP10_SQL}
