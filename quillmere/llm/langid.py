@@ -202,3 +202,20 @@ def identify(
             )
 
     return id_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+
+
+def keep_identified(
+    spark: SparkSession, docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", model: Model | None = None
+) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text ``identify`` doesn't reject."""
+    model = model or train(docs, settings, id_col, text_col, label_col)
+    if model is None:
+        return docs
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x for batch in batches for x in slices(batch, text_col)):
+            p, n = scores(b.column(text_col), shared.value, settings)
+            yield b.filter(pa.array((n > 0) & (p.max(axis=1) >= shared.value.threshold)))
+
+    return docs.mapInArrow(run, docs.schema)

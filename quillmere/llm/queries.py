@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, katz, langid, minhash, packing, secrets, topk, vocab
+from . import bitpack, flatgraph, katz, langid, minhash, packing, secrets, sentencepiece_fst, topk, vocab, warc
 
+PIECES = vocab.path("piece_bpe_32k.model")
 BYTES = vocab.path("byte_bpe_50k.tiktoken")
 
 
@@ -13,6 +14,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.normalise_pages(spark, _table(spark, sf_dir, "pages"))
+
+
+def op2_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flatgraph.near_duplicates(spark, _table(spark, sf_dir, "embeddings"))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_fst.encode_documents(spark, _table(spark, sf_dir, "documents"), PIECES)
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(spark, _table(spark, sf_dir, "documents"))
 
@@ -52,7 +65,7 @@ WHERE rank <= 10
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_secrets, op5_packing, op6_token_files, op7_minhash, op8_language_id, op9_katz, op10_topk)}
+    return {f.__name__: f for f in (op1_warc, op2_flat_graph, op3_sentencepiece, op4_secrets, op5_packing, op6_token_files, op7_minhash, op8_language_id, op9_katz, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:

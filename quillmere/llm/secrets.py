@@ -156,13 +156,23 @@ def scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     return id_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)
 
 
-def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The same rows and columns, with every secret of ``text_col`` replaced; other texts, null among them, stay as they are."""
+def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """The same rows and columns, with every secret of ``text_col`` replaced; other texts, null among them, stay as they are.
+
+    Where a text changes, ``length_col`` (if there is one) becomes its new length in characters.
+    """
+    counted = length_col if length_col in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             k = b.schema.get_field_index(text_col)
-            texts = [scanner().redact(t) if t else t for t in b.column(k).to_pylist()]
-            yield b.set_column(k, b.schema.field(k), pa.array(texts, b.schema.field(k).type))
+            before = b.column(k).to_pylist()
+            after = [scanner().redact(t) if t else t for t in before]
+            b = b.set_column(k, b.schema.field(k), pa.array(after, b.schema.field(k).type))
+            if counted:
+                k = b.schema.get_field_index(counted)
+                sizes = [n if x is y or x == y else len(y) for n, x, y in zip(b.column(k).to_pylist(), before, after)]
+                b = b.set_column(k, b.schema.field(k), pa.array(sizes, b.schema.field(k).type))
+            yield b
 
     return docs.mapInArrow(run, docs.schema)
