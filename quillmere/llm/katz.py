@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +64,15 @@ def blocks(docs: DataFrame, vocabulary: str) -> DataFrame:
     return docs.mapInArrow(run, "block long, id long, ids binary")
 
 
+def runs(blobs: pa.Array) -> Iterator[pa.Array]:
+    """The texts in runs of about a million tokens, one text at least, which bounds what a worker holds."""
+    sizes, first = np.cumsum(pc.binary_length(blobs).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while first < len(blobs):
+        last = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + 2 * _RUN, side="right")))
+        yield blobs.slice(first, last - first)
+        first = last
+
+
 def keys(blobs: pa.Array, order: int, vocab: int) -> tuple[np.ndarray, np.ndarray]:
     """The n-gram before and at every token and end mark, packed with the token lowest, and the texts' bounds."""
     if isinstance(blobs, pa.ChunkedArray):
@@ -97,8 +107,10 @@ def counted(encoded: DataFrame, order: int, vocab: int) -> DataFrame:
         for b in batches:
             block = b.column("block").to_numpy()
             for x in np.unique(block):
-                key, _ = keys(b.column("ids").filter(pa.array(block == x)), order, vocab)
-                key, n = np.unique(key, return_counts=True)
+                parts = [np.unique(keys(part, order, vocab)[0], return_counts=True) for part in runs(b.column("ids").filter(pa.array(block == x)))]
+                key, n = (np.concatenate(p) for p in zip(*parts))
+                key, place = np.unique(key, return_inverse=True)
+                n = np.bincount(place, weights=n, minlength=len(key))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(key), x)), pa.array((key >> np.uint64(16)).astype(np.int64)), pa.array((key & np.uint64(0xFFFF)).astype(np.int32)), pa.array(n.astype(np.int64))],
                     names=["block", "ctx", "tok", "n"],
@@ -195,14 +207,11 @@ def score_blocks(model: Model, encoded: DataFrame, needs: DataFrame) -> DataFram
         rank = np.argsort(known, kind="stable")
         known, lp = known[rank], table.column("lp").to_numpy()[rank]
         ids, blobs = texts.column("id").combine_chunks(), texts.column("ids").combine_chunks()
-        sizes = np.cumsum([len(x) for x in blobs.to_pylist()]) if len(blobs) else np.zeros(0)
-        total, length, first = [], [], 0
-        while first < len(blobs):
-            last = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + 2 * _RUN, side="right")))
-            key, bounds = keys(blobs.slice(first, last - first), order, vocab)
+        total, length = [], []
+        for part in runs(blobs):
+            key, bounds = keys(part, order, vocab)
             total.append(np.add.reduceat(lp[np.searchsorted(known, key)], bounds[:-1]))
             length.append(np.diff(bounds))
-            first = last
         total, length = np.concatenate(total or [np.zeros(0)]), np.concatenate(length or [np.zeros(0, np.int64)])
         return pa.table([ids, pa.array(length), pa.array(total), pa.array(np.exp(-total / np.maximum(length, 1)))], names=["doc_id", "n_tokens", "log_prob", "perplexity"])
 
