@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .porter2 import stem
 
@@ -34,7 +35,7 @@ def without_stopwords(words: Column, stopwords: tuple[str, ...] = STOPWORDS) ->
     return F.filter(words, lambda w: ~w.isin(*stopwords))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _stemmed(words: pd.Series) -> pd.Series:
     known = {w: stem(w) for w in words.dropna().unique()}
     return words.map(known)

@@ -22,7 +22,9 @@ def members(maps: DataFrame) -> DataFrame:
     rows = maps.where(F.octet_length("bits") > 0).select("value", "bucket", "bits", byte)
     rows = rows.select("value", "bucket", "byte", F.conv(F.hex(F.substring("bits", F.col("byte") + 1, 1)), 16, 10).cast("int").alias("x")).where("x > 0")
     rows = rows.select("value", "bucket", "byte", "x", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit")).where("(shiftright(x, bit) & 1) = 1")
-    return rows.select("value", ((F.col("bucket") - 1) * 32768 + F.col("byte") * 8 + F.col("bit") + 1).cast("long").alias("row_id"))
+    place = F.col("byte") * 8 + F.col("bit")
+    row_id = F.when(F.col("bucket") > 0, (F.col("bucket") - 1) * 32768 + place + 1).otherwise(F.col("bucket") * 32768 - place)
+    return rows.select("value", row_id.cast("long").alias("row_id"))
 
 
 def combined(maps: DataFrame, values: list, how: str) -> DataFrame:
