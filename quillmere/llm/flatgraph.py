@@ -229,7 +229,15 @@ def _pairs_once(spark: SparkSession, rows: DataFrame, n: int, s: Settings) -> Da
         return pa.table({"id_a": ids[a[ok]], "id_b": ids[b[ok]], "similarity": exact[ok]})
 
     found = members.join(united, "id").groupBy("shard").applyInArrow(search, PAIRS)
-    return written(spark, found.dropDuplicates(["id_a", "id_b"]), "pairs")
+    return found.dropDuplicates(["id_a", "id_b"])
+
+
+def _spread(pairs: DataFrame, equal: DataFrame) -> DataFrame:
+    """Pairs of nodes as pairs of the vectors that are equal to them, and the pairs of equal vectors."""
+    a, b = (equal.select(F.col("id").alias(x), F.col("ids").alias(y)) for x, y in (("id_a", "a"), ("id_b", "b")))
+    apart = pairs.join(a, "id_a").join(b, "id_b").select(F.explode("a").alias("x"), "b", "similarity").select("x", F.explode("b").alias("y"), "similarity")
+    same = equal.where(F.size("ids") > 1).select(F.explode("ids").alias("x"), "ids").select("x", F.explode("ids").alias("y"), F.lit(1.0).alias("similarity")).where("x < y")
+    return apart.union(same).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity")
 
 
 def audit(spark: SparkSession, rows: DataFrame, pairs: DataFrame, s: Settings) -> float:
@@ -267,14 +275,17 @@ def near_duplicates(spark: SparkSession, df: DataFrame, settings: Settings = Set
         return spark.createDataFrame([], PAIRS)
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda t, v: t + v.cast("double") * v.cast("double")))
     rows = rows.where(F.size("vec") == lengths.d).withColumn("norm", norm).where("norm > 0 and norm < double('infinity')")
-    rows = written(spark, rows.select("id", F.transform("vec", lambda v: v.cast("double") / F.col("norm")).alias("vec")), "unit")
+    every = written(spark, rows.select("id", F.transform("vec", lambda v: v.cast("double") / F.col("norm")).alias("vec")), "unit")
+    # equal vectors are one node of the graph, and meet each other and each other's partners without a search
+    nodes = written(spark, every.groupBy("vec").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids")), "nodes")
+    rows, equal = nodes.select("id", "vec"), nodes.select("id", "ids")
     n = rows.count()
     if not n:
         return spark.createDataFrame([], PAIRS)
     best, best_recall = None, -1.0
     for _ in range(s.attempts):
-        pairs = _pairs_once(spark, rows, n, s)
-        got = audit(spark, rows, pairs, s)
+        pairs = written(spark, _spread(_pairs_once(spark, rows, n, s), equal), "pairs")
+        got = audit(spark, every, pairs, s)
         if got > best_recall:
             best, best_recall = pairs, got
         if got >= s.recall:
