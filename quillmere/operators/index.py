@@ -16,7 +16,7 @@ BLOCK = 256
 def postings(docs: DataFrame, profile: text.Profile = text.ASCII, id_col: str = "doc_id", text_col: str = "text", positions: bool = True) -> DataFrame:
     """``term``, ``row_id``, ``tf`` and, if asked, the sorted ``positions``.
 
-    Terms are counted inside the row, so nothing is shuffled unless words are stemmed.
+    One shuffle, by term and row; counts are combined before it. A filter on ``term`` is applied before it too.
     """
     if profile.stemmer != "none":
         found = text.tokens(docs, profile, id_col, text_col)
