@@ -21,7 +21,7 @@ from . import bytebpe
 from ._common import id_text, new_folder, written
 
 SCHEMA = "doc_id long, n_tokens long, log_prob double, perplexity double"
-_RUN = 1_000_000
+_RUN, _BLOCK = 1_000_000, 8_000_000
 
 
 @dataclass(frozen=True)
@@ -48,14 +48,16 @@ class Model:
 
 
 def blocks(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """``block``, ``id`` and the token ids (uint16) of each text with a token; a block is an Arrow batch of texts."""
+    """``block``, ``id`` and the token ids (uint16) of each text with a token; a block is a run of texts of about ``_BLOCK`` tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = bytebpe.load(vocabulary), TaskContext.get().partitionId()
         if encoder.vocab + 2 > 1 << 16:
             raise ValueError("the vocabulary needs ids under 65,534")
-        for k, b in enumerate(batches):
+        done = 0
+        for b in batches:
             ids, bounds = encoder.encode(b.column("text"))
+            k, done = done // _BLOCK, done + len(ids)
             have = np.diff(bounds) > 0
             flat = ids.astype("<u2").tobytes()
             blob = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((bounds * 2).astype(np.int32)), pa.py_buffer(flat)]).filter(pa.array(have))
@@ -101,20 +103,30 @@ def keys(blobs: pa.Array, order: int, vocab: int) -> tuple[np.ndarray, np.ndarra
 
 
 def counted(encoded: DataFrame, order: int, vocab: int) -> DataFrame:
-    """``block``, ``ctx``, ``tok``, ``n``: n-grams counted inside each batch before anything is shuffled."""
+    """``block``, ``ctx``, ``tok``, ``n``: n-grams counted inside each block before anything is shuffled."""
+
+    def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
+        key, n = (np.concatenate(p) for p in zip(*parts))
+        key, place = np.unique(key, return_inverse=True)
+        return key, np.bincount(place, weights=n, minlength=len(key)).astype(np.int64)
+
+    def rows(block: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        columns = [np.full(len(key), block), (key >> np.uint64(16)).astype(np.int64), (key & np.uint64(0xFFFF)).astype(np.int32), n]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "ctx", "tok", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_block, held = None, []
         for b in batches:
             block = b.column("block").to_numpy()
             for x in np.unique(block):
-                parts = [np.unique(keys(part, order, vocab)[0], return_counts=True) for part in runs(b.column("ids").filter(pa.array(block == x)))]
-                key, n = (np.concatenate(p) for p in zip(*parts))
-                key, place = np.unique(key, return_inverse=True)
-                n = np.bincount(place, weights=n, minlength=len(key))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(key), x)), pa.array((key >> np.uint64(16)).astype(np.int64)), pa.array((key & np.uint64(0xFFFF)).astype(np.int32)), pa.array(n.astype(np.int64))],
-                    names=["block", "ctx", "tok", "n"],
-                )
+                if x != open_block and held:
+                    yield rows(open_block, *merged(held))
+                    held = []
+                open_block = x
+                held += [np.unique(keys(part, order, vocab)[0], return_counts=True) for part in runs(b.column("ids").filter(pa.array(block == x)))]
+                held = [merged(held)]
+        if held:
+            yield rows(open_block, *merged(held))
 
     return encoded.mapInArrow(run, "block long, ctx long, tok int, n long")
 

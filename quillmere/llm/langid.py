@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import gather, id_text, mix64, slices, split_chunks
+from ._common import bounded, gather, id_text, mix64, slices, split_chunks
 
 SCHEMA = "doc_id long, predicted string, confidence double, rejected boolean"
 
@@ -218,4 +218,4 @@ def keep_identified(
             p, n = scores(b.column(text_col), shared.value, settings)
             yield b.filter(pa.array((n > 0) & (p.max(axis=1) >= shared.value.threshold)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)

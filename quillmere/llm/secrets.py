@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import id_text
+from ._common import bounded, id_text
 
 SCHEMA = "doc_id long, rule string, start int, end int, checksum string, fingerprint string"
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -175,4 +175,4 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = Non
                 b = b.set_column(k, b.schema.field(k), pa.array(sizes, b.schema.field(k).type))
             yield b
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
