@@ -30,4 +30,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import filters, lexical, lifecycle, vectors  # noqa: F401
+    from . import filters, lexical, lifecycle, sqlfunctions, vectors  # noqa: F401

@@ -172,3 +172,18 @@ def test_hybrid_of_words_and_vectors(spark):
     got = fusion.best(fusion.fuse(words.union(fusion.ranked(near, 1, "dist", "row_id"))), 6).collect()
     assert [r.row_id for r in got] == [0, 1, 3, 2, 4, 5]
     assert [round(r.score, 6) for r in got] == [0.032266, 0.031514, 0.016393, 0.016129, 0.015625, 0.015152]
+
+
+def test_sql_functions(spark):
+    from quillmere.functions import sql
+
+    sql.register(spark)
+    assert [round(x, 6) for x in spark.sql("SELECT bm25(3D, 41D, 1L, 4L, 40D), bm25_quantized(3D, 41L, 1L, 4L, 40D), l2sq(array(1D, 2D), array(3D, 5D)), neg_ip(array(1D, 2D), array(3D, 5D)), rrf(1L, 60L)").first()] == [0.601988, 0.859981, 13.0, -13.0, round(1 / 61, 6)]
+    df = spark.createDataFrame([(X[0].tolist(), C.tolist())], "v array<double>, c array<double>")
+    e = df.selectExpr("rabitq_encode(v, c) AS e", "v", "c")
+    assert round(e.selectExpr("e.f_add").first()[0], 4) == 20.0951
+    low, high = e.selectExpr("rabitq_estimate(e.code, e.f_add, e.f_rescale, e.f_error, v, c) AS x").selectExpr("x.lower_bound", "x.upper_bound").first()
+    assert low <= 0.5 and high >= -0.5
+    vectors = "array(array(0D,0D),array(1D,0D),array(0D,1D),array(1D,1D),array(2D,2D))"
+    edges = "array(array(1,2),array(0,3),array(3,0),array(1,4),array(3))"
+    assert [r.node for r in spark.sql(f"SELECT node FROM greedy_search({vectors}, {edges}, 0, array(0.9D, 0.1D), 1, 2)").collect()] == [1]
