@@ -7,7 +7,8 @@ from dataclasses import dataclass
 import numpy as np
 
 EPSILON = 1.9
-_TIGHT = (0.0, 0.15, 0.20, 0.52, 0.59, 0.71, 0.75, 0.77, 0.81)
+#: Where the search begins, as a share of its end, by bits.
+_TIGHT = {1: 0.15, 2: 0.2, 3: 0.52, 4: 0.59, 5: 0.71, 6: 0.75, 7: 0.77}
 _EXTRA, _EPS = 10, 1e-5
 METRICS = ("l2", "ip")
 

@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 
 from .porter2 import stem
 
-STOPWORDS = tuple("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
+STOPWORDS = tuple("there these their such with will then into this that they and the are for was not but be if of an in on no to or as is at it by a".split())
 
 
 def ascii_words(text: Column) -> Column:
