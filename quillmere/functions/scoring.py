@@ -8,18 +8,22 @@ from pyspark.sql import functions as F
 K1, B, RRF_K = 1.2, 0.75, 60
 
 
+def _odds(df: Column, n: Column) -> Column:
+    return (n - df + 0.5) / (df + 0.5)
+
+
 def idf(df: Column, n: Column) -> Column:
-    """``ln((N - n + 0.5) / (n + 0.5))``, negative for terms in more than half of the rows and never clipped."""
-    return F.log((n - df + 0.5) / (df + 0.5))
+    """The log odds of rows without the term, both counts raised by a half: negative for terms in more than half of the rows, and never clipped."""
+    return F.log(_odds(df, n))
 
 
 def idf_positive(df: Column, n: Column) -> Column:
-    """``ln(1 + (N - n + 0.5) / (n + 0.5))``."""
-    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+    """The logarithm of one more than those odds."""
+    return F.log(1 + _odds(df, n))
 
 
 def saturation(tf: Column, dl: Column, avdl: Column, k1: float = K1, b: float = B) -> Column:
-    return tf / (tf + k1 * ((1 - b) + b * dl / avdl))
+    return tf / (tf + k1 * (1 + b * (dl / avdl - 1)))
 
 
 def bm25(tf: Column, dl: Column, df: Column, n: Column, avdl: Column, k1: float = K1, b: float = B) -> Column:

@@ -17,7 +17,7 @@ LENGTHS = """, dls AS (SELECT doc_id AS row_id, CAST(len(regexp_extract_all(lowe
  st AS (SELECT count(*) AS n_docs, avg(dl) AS avdl FROM dls)"""
 PLACED = POST + ", placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY term ORDER BY row_id) - 1 AS INTEGER) AS place FROM post)"
 IDF = "ln((n_docs - df + 0.5) / (df + 0.5))"
-SAT = "tf / (tf + 1.2 * ((1 - 0.75) + 0.75 * dl / avdl))"
+SAT = "tf / (tf + 1.2 * (0.25 + 0.75 * dl / avdl))"
 TERMS = ["the", "thetion", "oning"]
 
 
