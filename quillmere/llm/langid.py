@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ._common import bounded, gather, id_text, mix64, slices, split_chunks
 
+_RUN = 16_384
 SCHEMA = "doc_id long, predicted string, confidence double, rejected boolean"
 
 
@@ -81,7 +82,7 @@ def features(docs: DataFrame, s: Settings) -> DataFrame:
     """``label``, the buckets of a text and their shares; a text without letters has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (x for batch in batches for x in slices(batch)):
+        for b in (x for batch in batches for x in slices(batch, limit=1 << 20)):
             codes, bounds, pieces = split_chunks(b.column("text"))
             flat, at = subwords(pieces, s)
             ids, shares = [], []
@@ -164,8 +165,10 @@ def train(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
 def scores(texts: pa.Array, model: Model, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Calibrated probabilities of each text and its number of subwords."""
     codes, bounds, pieces = split_chunks(texts)
-    flat, at = subwords(pieces, s)
-    per_piece = np.column_stack([_sums(model.table[flat], at), np.diff(at)]) if len(pieces) else np.zeros((0, len(model.languages) + 1))
+    per_piece = np.zeros((len(pieces), len(model.languages) + 1))
+    for first in range(0, len(pieces), _RUN):  # the subwords of a piece take some hundred times its bytes
+        flat, at = subwords(pieces.slice(first, _RUN), s)
+        per_piece[first : first + _RUN] = np.column_stack([_sums(model.table[flat], at), np.diff(at)])
     total = _sums(per_piece[codes], bounds)
     n = total[:, -1]
     return _softmax((total[:, :-1] / np.maximum(n, 1)[:, None] + model.bias) / model.temperature), n
