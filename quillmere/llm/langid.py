@@ -149,8 +149,10 @@ def train(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
     chosen = docs.where(F.col(f"`{label_col}`").isNotNull()).select(
         F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{label_col}`").cast("string").alias("label")
     )
+    place = F.xxhash64(F.col("id"), F.lit(s.seed))
     if n > s.max_train:
-        chosen = chosen.where(F.pmod(F.xxhash64(F.col("id"), F.lit(s.seed)), F.lit(1_000_000)) < int(1_000_000 * s.max_train / n))
+        cut = rows.select(place.alias("place")).orderBy("place").limit(s.max_train).agg(F.max("place")).first()[0]
+        chosen = chosen.where(place <= cut)
     got = features(chosen, s).limit(s.max_train).toArrow()
     ids, shares = (got.column(c).combine_chunks() for c in ("ids", "shares"))
     at = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())])
