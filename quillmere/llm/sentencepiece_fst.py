@@ -15,6 +15,7 @@ from __future__ import annotations
 import functools
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,6 +90,7 @@ class Transducer:
         # a character of no longer piece cuts the input: no path crosses it
         joined = {c for t in self.ids if len(t) > 1 for c in t}
         self.single = {c for t in self.ids if len(t) == 1 for c in t if c not in joined}
+        self.plain = self.known - self.single
         self.line_cuts = "\n" not in joined
         self.marks_lead = not any(SPACE in t.lstrip(SPACE) for t in self.ids)
         self.outputs = [self._output(i) for i in range(len(self.texts))]
@@ -100,6 +102,7 @@ class Transducer:
         if not self.unigram:
             order = {s: k for k, s in enumerate(sorted(set(self.scores), reverse=True))}
             self.rank = {t: order[self.scores[i]] for t, i in self.ids.items()}
+            self.arcs = {t: i for t, i in self.ids.items() if self._reached(t)}
 
     def _output(self, i: int) -> bytes:
         if self.kinds[i] == 6:
@@ -164,23 +167,32 @@ class Transducer:
     # Shortest paths.
 
     def _bpe_path(self, run: str) -> list[int]:
-        """The finite path over characters that are all pieces."""
-        n, ids, longest = len(run), self.ids, self.longest
-        last: list[str | None] = [None] * (n + 1)
-        for j in range(1, n + 1):
-            for i in range(max(0, j - longest), j):
-                before = last[i]
-                if i and before is None:
-                    continue
-                piece = run[i:j]
-                if piece in ids and (not i or self.may_follow(before, piece)) and self._reached(piece):
-                    last[j] = piece
-                    break
-        out, j = [], n
-        while j:
-            out.append(ids[last[j]])
-            j -= len(last[j])
-        return out[::-1]
+        """The finite path over characters that are all pieces.
+
+        A prefix has one merging, so a state is its place: the arcs of finite weight are followed longest first, and a
+        place from which the end can't be reached is not entered again.
+        """
+        n, ids, longest, follows = len(run), self.arcs, self.longest, self.follows
+        pieces: list[str] = []
+        dead: set[int] = set()
+        at, before, most = 0, "", min(longest, n)
+        while at < n:
+            for end in range(at + most, at, -1):
+                piece = run[at:end]
+                if piece in ids and end not in dead:
+                    fits = follows.get((before, piece)) if before else True
+                    if self.may_follow(before, piece) if fits is None else fits:
+                        break
+            else:
+                dead.add(at)
+                piece = pieces.pop()
+                at -= len(piece)
+                before, most = pieces[-1] if pieces else "", len(piece) - 1
+                continue
+            pieces.append(piece)
+            at, before = end, piece
+            most = min(longest, n - at)
+        return [ids[p] for p in pieces]
 
     def _unigram_path(self, text: str) -> list[int]:
         """The cheapest path; an unknown character costs more than any piece."""
@@ -214,6 +226,8 @@ class Transducer:
         """The ids of a piece of normalised text that no path crosses at its ends."""
         if self.unigram:
             return self._unigram_path(text)
+        if self.plain.issuperset(text):
+            return self._bpe_path(text)
         out: list[int] = []
         start = 0
         for i, c in enumerate(text):
@@ -246,7 +260,7 @@ class Transducer:
         for piece in pieces.to_numpy(zero_copy_only=False):
             ids = self.cache.get(piece)
             if ids is None:
-                ids = np.array(self.path(SPACE + piece[piece[0] == " " :] if piece[0] != "\n" else piece), np.int32).tobytes()
+                ids = array("i", self.path(SPACE + piece[piece[0] == " " :] if piece[0] != "\n" else piece)).tobytes()
                 if len(self.cache) < _KEEP and len(piece) <= 48:
                     self.cache[piece] = ids
             found.append(ids)
