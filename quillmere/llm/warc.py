@@ -15,7 +15,7 @@ from ._common import filesystem, new_folder, publish, written
 
 SCHEMA = "source string, target string, record_no long, record_id string, record_type string, target_uri string, offset long, length long, block_bytes long, block_crc long, status string"
 _STEP = 1 << 20
-_HEADER_LIMIT = 1 << 20
+_NOT_A_HEAD = 1 << 20
 
 
 class Inflater:
@@ -44,9 +44,14 @@ class Inflater:
         return True
 
     def line_block(self) -> bytes | None:
-        """All up to and with the next empty line; None at the end."""
-        while (at := self.held.find(b"\r\n\r\n")) < 0 and len(self.held) < _HEADER_LIMIT and self._more():
-            pass
+        """All up to and with the next empty line, however far; None at the end, or where a megabyte is no record's head."""
+        looked = 0
+        while (at := self.held.find(b"\r\n\r\n", looked)) < 0:
+            if len(self.held) >= _NOT_A_HEAD and not self.held.lstrip(b"\r\n").startswith(b"WARC/"):
+                break
+            looked = max(0, len(self.held) - 3)
+            if not self._more():
+                break
         if at < 0:
             return None
         out, self.held = self.held[: at + 4], self.held[at + 4 :]
@@ -194,7 +199,7 @@ def normalise(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:
 def normalise_pages(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Archive all pages as monolithic files and normalise these: one row a page.
 
-    Null bodies are empty records, null addresses have no target, rows with a null id are named by their place; repeated
+    Null bodies are empty records, null addresses have no target, addresses may be of any length, rows with a null id are named by their place; repeated
     rows are records of their own, and an empty table gives no row.
     """
     files = write_monolithic(spark, pages, new_folder(spark, "warc-in"), id_col, url_col, html_col)

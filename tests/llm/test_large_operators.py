@@ -26,6 +26,15 @@ def nothing(df):
 PAGES = [(0, "http://a/0", "<p>é</p>"), (1, "http://a/1", ""), (2, None, "x" * 50), (3, "http://a/\r\nX: y", None), (None, "http://a/4", "WARC/1.1\r\n\r\n inside \r\n\r\n"), (0, "http://a/0", "<p>é</p>"), (6, "http://a/6", LONG)]
 
 
+def test_long_address_loses_no_page(spark):
+    pages = [(0, "http://a/0", "x"), (1, "http://a/" + "é?" * 700_000, "y" * 50), (2, "http://a/2", "z"), (3, "http://a/3", "")]
+    rows = warc.normalise_pages(spark, spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)).collect()
+    assert {(r.record_id, r.target_uri, r.status) for r in rows} == {(f"urn:page:{i}", url, "ok") for i, url, _ in pages}
+    for r in rows:
+        head, body = warc.read_record(r.target, r.offset, r.length)
+        assert (head["warc-target-uri"], body.decode()) == pages[int(r.record_id[9:])][1:]
+
+
 def test_pages_come_back_from_their_offsets(spark):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumn("offset", F.lit(1)).repartition(3)
     rows = warc.normalise_pages(spark, df).collect()
