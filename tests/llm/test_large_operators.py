@@ -309,6 +309,32 @@ def test_flat_graph_awkward(spark):
     assert flatgraph.near_duplicates(spark, nothing(df)).collect() == [] and flatgraph.near_duplicates(spark, df.where("vec_id = 6")).collect() == []
 
 
+def test_flat_graph_crosses_shards(spark, monkeypatch):
+    draw = np.random.default_rng(21)
+    base = flatgraph.unit(draw.standard_normal((4000, 64)))
+    aside = draw.standard_normal((1000, 64))
+    aside = flatgraph.unit(aside - (aside * base[:1000]).sum(axis=1, keepdims=True) * base[:1000])
+    x = np.concatenate([base, 0.955 * base[:1000] + np.sqrt(1 - 0.955**2) * aside])
+    s = flatgraph.Settings(attempts=1)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>").repartition(4).cache()
+    centres = flatgraph.unit(draw.standard_normal((40, 64)))
+    monkeypatch.setattr(flatgraph, "cluster", lambda *_: centres)
+    own = flatgraph.nearest(x, centres, 2)
+    apart = {(i, 4000 + i) for i in range(1000) if not set(own[i]) & set(own[4000 + i])}
+    assert len(apart) > 20  # these are in no shard together
+    got = {(r.id_a, r.id_b) for r in flatgraph.near_duplicates(spark, rows, s, "id", "vec").collect()}
+    assert len(got & apart) >= 0.9 * len(apart) and len(got) >= 0.95 * 1000
+
+
+def test_flat_graph_audit_counts_unequal_pairs_and_fails(spark, monkeypatch):
+    x = np.random.default_rng(22).standard_normal((300, 16))
+    x = np.concatenate([x, x, x[:50] + 0.01])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(flatgraph, "_pairs_once", lambda spark, *_: spark.createDataFrame([], flatgraph.PAIRS))
+    with pytest.raises(RuntimeError, match="recall"):
+        flatgraph.near_duplicates(spark, df)
+
+
 # The pipeline.
 
 
