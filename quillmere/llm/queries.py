@@ -47,7 +47,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.score_documents(spark, _table(spark, sf_dir, "documents"), BYTES)
+    return katz.score_documents(spark, _table(spark, sf_dir, "documents"), BYTES, katz.Settings(order=3, min_count=1))
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quillmere.llm import bytebpe, katz, vocab
+from quillmere.llm import bytebpe, katz, queries, vocab
 from quillmere.llm._common import id_text, written
 
 BYTES = vocab.path("byte_bpe_50k.tiktoken")
@@ -119,3 +119,14 @@ def test_keys_pad_and_mark():
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert katz.score_documents(spark, docs, BYTES).collect() == []
+
+
+def test_the_query_is_of_order_3_with_all_counts(spark, tmp_path):
+    texts = [*TEXTS, "the cat sat on the mat and the dog sat on the hat"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.log_prob for r in queries.op9_katz(spark, str(tmp_path)).collect()}
+    p, v, enc = brute(texts, 3, min_count=1)
+    for i, t in enumerate(texts):
+        if t:
+            ids = [v, v, *enc.encoding.encode_ordinary(t), v + 1]
+            assert isclose(got[i], sum(log(p(tuple(ids[k - 2 : k]), ids[k])) for k in range(2, len(ids))), rel_tol=1e-9)
