@@ -55,7 +55,8 @@ def random_looking(value: str) -> bool:
 class Rule:
     """``pattern`` is tried at each keyword's place only; its group 1 is the secret. ``check`` must hold where given.
 
-    ``embedded``: the check reads a checksum in the secret, so what passes is reported as valid.
+    ``embedded``: the check reads a checksum in the secret, so what passes is reported as valid. ``named``: the keyword
+    is part of a name, in which a capital after a small letter begins a word.
     """
 
     name: str
@@ -63,6 +64,7 @@ class Rule:
     pattern: str
     check: Callable[[str], bool] | None = None
     embedded: bool = False
+    named: bool = False
 
 
 def _cases(*words: str) -> tuple[str, ...]:
@@ -81,13 +83,17 @@ RULES = (
     Rule("private_key", ("-----BEGIN ",), r"(-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----(?:[\s\S]*?-----END (?:[A-Z]+ )?PRIVATE KEY-----)?)"),
     Rule(
         "assigned_secret",
-        _cases("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key"),
-        r"[A-Za-z_-]{4,12}[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"'<>]{8,512})",
+        (*_cases("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key"), "apiKey", "ApiKey"),
+        r"[\w-]*+[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"'<>]{8,})",
         random_looking,
+        named=True,
     ),
 )
 
 
+_NAME = re.compile(r"[\w-]*")
+
+
 class Scanner:
     """One automaton over all keywords; each pattern runs at the hits of its own keywords."""
 
@@ -107,14 +113,20 @@ class Scanner:
 
     def find(self, text: str) -> list[tuple[int, int, str, str]]:
         """(start, end, rule, checksum) of every secret, in order; ``checksum`` is "valid", or "none" where the format has none."""
-        found = set()
+        found, named = set(), {}
         for last, (size, owners) in self.automaton.iter(text):
             at = last - size + 1
-            if at and (text[at - 1].isalnum() and text[at].isalnum()):
-                continue
+            within = at and text[at - 1].isalnum() and text[at].isalnum()
+            capital = within and text[at - 1].islower() and text[at].isupper()
             for k in owners:
-                m = self.patterns[k].match(text, at)
                 rule = self.rules[k]
+                if within and not (rule.named and capital):
+                    continue
+                if rule.named:
+                    if at < named.get(k, 0):  # a name of several keywords has one value
+                        continue
+                    named[k] = _NAME.match(text, at).end()
+                m = self.patterns[k].match(text, at)
                 if m and (rule.check is None or rule.check(m[1])):
                     found.add((m.start(1), m.end(1), rule.name, "valid" if rule.embedded else "none"))
         return sorted(found)
@@ -138,6 +150,7 @@ def scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     """One row a secret: document, rule, place in characters (end exclusive), checksum, and a hash in its stead.
 
     A whole text is searched by one keyword automaton, and patterns are tried only where their keyword begins a word.
+    The names of assigned secrets go on in any word characters, and their values are of any length.
     A find whose embedded checksum is wrong is no secret. The secret itself is never returned. Null and empty texts
     have none; overlapping finds of different rules each have a row; null ids and repeated rows are searched like any
     other. An empty table gives no row. There is no shuffle.

@@ -207,6 +207,15 @@ def test_automaton_equals_brute_force():
         assert secrets.scanner().find(text) == brute_find(text)
 
 
+@pytest.mark.parametrize("name", ["aws_secret_access_key", "pwd", "PWD", "DB_PWD", "clientSecret", "accessToken", "dbPassword", "client_secret_for_production_2", "apiKey", "token"])
+@pytest.mark.parametrize("join", ["=", ": ", '" : "'])
+def test_assigned_secrets_by_an_independent_list(name, join):
+    for value in ("e3b3ed3cc8548923d6", "a1b2c3d4" * 100):
+        text = f"x {name}{join}{value} y"
+        assert [text[a:b] for a, b, *_ in secrets.scanner().find(text)] == [value]
+        assert secrets.scanner().redact(text) == f"x {name}{join}[assigned_secret] y"
+
+
 def test_scan_and_redact(spark, awkward):
     assert secrets.scan(spark, awkward).collect() == [] and secrets.scan(spark, nothing(awkward)).collect() == []
     rows = [(1, f"x {GOOD} y", 44, "k"), (1, f"x {GOOD} y", 44, "k"), (None, "password=e3b3ed3cc8548923d6", 27, "k"), (3, None, None, "k"), (4, "", 0, None), (5, LONG + GOOD, 9, "k")]
