@@ -249,26 +249,38 @@ def test_top_k_equals_brute_force(spark):
     draw = np.random.default_rng(2)
     x = [(i, v.tolist()) for i, v in enumerate(draw.standard_normal((300, 8)).round(1).astype(np.float32))]
     x += [(1000 + i, x[0][1]) for i in range(20)] + [(2000 + i, [1.0, float(i)]) for i in range(5)] + [(3000, [2.0])]
-    bad = [(1, x[1][1]), (None, [1.0]), (4000, None), (4001, []), (4002, [1.0, None]), (4003, [float("nan")] * 8)]
+    bad = [(1, x[1][1]), (None, [1.0]), (4000, None), (4001, []), (4002, [1.0, None]), (4003, [float("nan")] * 8), (4004, [float("inf")] * 8)]
     df = spark.createDataFrame(x + bad, "vec_id long, embedding array<float>").withColumn("score", F.lit("x")).withColumn("rank", F.lit(0)).repartition(3)
     import pandas as pd
 
     for k, block in ((1, 64), (5, 40), (5, 8192), (400, 100)):
-        got = sorted(tuple(r) for r in topk.top_k(spark, df, k, block=block).collect())
+        got = sorted(tuple(r) for r in topk.top_k(spark, df, k=k, block=block).collect())
         assert got == sorted(topk.brute(pd.DataFrame(x, columns=["id", "vec"]), k))
+    every = topk.brute(pd.DataFrame(x, columns=["id", "vec"]), 5)
+    asked = df.where("vec_id % 50 = 0").unionByName(spark.createDataFrame([(-1, x[7][1])], "vec_id long, embedding array<float>"), allowMissingColumns=True)
+    got = sorted(tuple(r) for r in topk.top_k(spark, df, asked, 5, block=40).collect())
+    assert [r for r in got if r[0] >= 0] == sorted(r for r in every if r[0] % 50 == 0)
+    assert [r[2] for r in got if r[0] == -1][0] in {i for i, v in x if v == x[7][1]} or got[0][3] > round(float(np.dot(np.float64(x[7][1]), np.float64(x[7][1]))), 6)
+    assert topk.top_k(spark, df, nothing(df)).collect() == []
     assert topk.top_k(spark, nothing(df)).collect() == []
 
 
 def test_bound_stops_early_where_it_can():
     draw = np.random.default_rng(3)
-    x = draw.standard_normal((20_000, 4)) * np.array([10, 1, 0.1, 0.1])
-    q = draw.standard_normal((30, 4)) * np.array([10, 1, 0.1, 0.1])
-    best = topk.Best(np.full(30, -1), 5)
-    told = topk.search(q, np.arange(20_000), x, np.argsort(x, axis=0).astype(np.int32), best)
-    assert told["inside"] > 5
-    for k in range(30):
-        s = np.round(x @ q[k], 6)
-        assert best.ids[k].tolist() == np.lexsort((np.arange(20_000), -s))[:5].tolist()
+    turn = np.linalg.qr(draw.standard_normal((4, 4)))[0]
+    x = draw.standard_normal((20_000, 4)) * np.array([10, 1, 0.1, 0.1]) @ turn
+    q = draw.standard_normal((30, 4)) * np.array([10, 1, 0.1, 0.1]) @ turn
+    axes = np.linalg.eigh(x.T @ x)[1][:, ::-1]
+    for scale in (1.0, 1e6):
+        best = topk.Best(np.full(30, -1), 5)
+        told = topk.search(q, q @ axes, np.arange(20_000), x * scale, np.argsort(x @ axes, axis=0).astype(np.int32), axes, best)
+        assert told["bound"] == 30
+        for k in range(30):
+            s = np.round(x * scale @ q[k], 6)
+            assert best.ids[k].tolist() == np.lexsort((np.arange(20_000), -s))[:5].tolist()
+    far = topk.Best(np.full(30, -1), 5)
+    far.scores[:] = 1e9
+    assert topk.search(q, q @ axes, np.arange(20_000), x, np.argsort(x @ axes, axis=0).astype(np.int32), axes, far)["bound"] == 30 and (far.scores == 1e9).all()
 
 
 def test_flat_graph_recall(spark):
