@@ -11,33 +11,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import bounded, mix64, written
+from .components import components
 from .topk import matrix, vectors
 
 PAIRS = "id_a long, id_b long, similarity double"
+CLASSES = "vec_id long, class_id long, links long, recall double"
 
 
 @dataclass(frozen=True)
 class Settings:
     """Pairs of cosine at least ``threshold``; about ``shard`` vectors a cluster; each vector in its ``overlap`` nearest clusters.
 
-    Graph: ``degree`` edges pruned with ``alpha`` from the ``candidates`` nearest. Search: ``beam`` entries, and nodes
-    up to ``margin`` under the threshold are still expanded. ``audit`` vectors, or more until ``partnered`` of them have
-    partners, measure the recall; under ``recall`` it is built again with more overlap and a wider beam, ``attempts``
-    times at most, and under ``least`` then fails.
+    Clusters: at most ``centres``, fitted in ``rounds`` on about ``drawn`` vectors for each; one that gathers more than four
+    times ``shard`` members is cut by hash into several shards, each of which all its queries visit. A query visits the
+    clusters of its own shards and those up to ``route`` less near than the nearest. Graph: ``degree`` edges pruned with
+    ``alpha`` from the ``candidates`` nearest. Search: from ``medoids`` nodes with ``beam`` entries, then nodes up to
+    ``margin`` under the threshold are all expanded. ``audit`` vectors, or more until ``partnered`` of them have partners,
+    measure the recall on at most ``partners`` each; under ``recall`` it is built again with more overlap, wider routes and
+    beams, ``attempts`` times at most, and under ``least`` then fails.
     """
 
     threshold: float = 0.95
     shard: int = 1500
     overlap: int = 2
+    centres: int = 65_536
+    drawn: int = 64
     rounds: int = 4
+    route: float = 0.06
     degree: int = 24
     alpha: float = 1.2
     candidates: int = 64
+    medoids: int = 16
     beam: int = 24
     margin: float = 0.05
     audit: int = 1024
     partnered: int = 100
+    partners: int = 32
     recall: float = 0.95
     least: float = 0.9
     attempts: int = 3
@@ -48,50 +58,42 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def nearest(x: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
-    """The ``k`` centres of greatest inner product, best first; equal ones by number."""
-    out = np.empty((len(x), min(k, len(centres))), np.int64)
-    for a in range(0, len(x), 1024):
-        out[a : a + 1024] = np.argsort(-(x[a : a + 1024] @ centres.T), axis=1, kind="stable")[:, : out.shape[1]]
-    return out
-
-
 def cluster(spark: SparkSession, rows: DataFrame, n: int, s: Settings) -> np.ndarray:
-    """Centres of spherical k-means over all vectors; the sums of each round are made inside the partitions."""
-    k = max(1, -(-n // s.shard))
-    first = rows.orderBy(F.xxhash64("id", F.lit(s.seed)), "id").limit(k).select("vec").toArrow().column("vec").combine_chunks()
-    centres = unit(matrix(first).astype(np.float64))
-    dims = centres.shape[1]
-    for _ in range(s.rounds if k > 1 else 0):
-        now = spark.sparkContext.broadcast(centres)  # one vector for every `shard` rows
-
-        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Centres of spherical k-means, fitted on at most about ``centres * drawn`` vectors chosen by a hash of the id."""
+    k = max(1, min(s.centres, -(-n // s.shard)))
+    place = F.xxhash64("id", F.lit(s.seed))
+    first = rows.orderBy(place, "id").limit(k).select("vec").toArrow().column("vec").combine_chunks()
+    centres = unit(matrix(first).astype(np.float64)).astype(np.float32)
+    if k == 1:
+        return centres
+    sample, share = rows.select("id", "vec"), s.drawn * k / n
+    if share < 1:
+        sample = sample.where(F.pmod(F.xxhash64("id", F.lit(s.seed + 2)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    sample, dims = written(spark, sample.select("vec"), "sample"), centres.shape[1]
+    for _ in range(s.rounds):
+        now = spark.sparkContext.broadcast(centres)  # at most `centres` vectors
+
+        def sums(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             total, count = np.zeros((k, dims)), np.zeros(k, np.int64)
             for b in batches:
-                x = matrix(b.column("vec")).astype(np.float64)
-                if len(x):
-                    own = nearest(x, now.value, 1)[:, 0]
+                for a in range(0, b.num_rows, 1024):
+                    x = matrix(b.column("vec").slice(a, 1024))
+                    own = (x @ now.value.T).argmax(axis=1)
                     np.add.at(total, own, x)
                     count += np.bincount(own, minlength=k)
             have = np.flatnonzero(count)
             yield pa.RecordBatch.from_arrays([pa.array(have), pa.array(list(total[have]), pa.list_(pa.float64()))], names=["cluster", "total"])
 
-        parts = rows.select("vec").mapInArrow(sums, "cluster long, total array<double>")
+        parts = sample.mapInArrow(sums, "cluster long, total array<double>").select("cluster", F.posexplode("total"))
+        parts = parts.groupBy("cluster", "pos").agg(F.sum("col").alias("x")).toPandas()
+        total = np.zeros((k, dims))
+        total[parts.cluster, parts.pos] = parts.x
+        some = (total * total).sum(axis=1) > 0
         centres = centres.copy()
-        for own, total in _add_up(parts):
-            norm = np.linalg.norm(total)
-            if norm > 0:
-                centres[own] = total / norm
+        centres[some] = unit(total[some])
     return centres
 
 
-def _add_up(parts: DataFrame) -> list[tuple[int, np.ndarray]]:
-    """The totals of each cluster."""
-    sums = parts.select("cluster", F.posexplode("total")).groupBy("cluster", "pos").agg(F.sum("col").alias("x"))
-    sums = sums.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("xs"))
-    return [(r[0], np.array(r[1])) for r in sums.select("cluster", F.col("xs.x")).collect()]
-
-
 def robust_prune(x: np.ndarray, node: np.ndarray, near: np.ndarray, degree: int, alpha: float) -> np.ndarray:
     """Edges of each ``node`` out of ``near`` (closest first, -1 for none): keep the closest, drop what is nearer to it by ``alpha`` than to the node, go on."""
     alive = (near >= 0) & (near != node[:, None])
@@ -110,262 +112,294 @@ def robust_prune(x: np.ndarray, node: np.ndarray, near: np.ndarray, degree: int,
     return out
 
 
-def build(x: np.ndarray, s: Settings, depth: int = 0) -> list[np.ndarray]:
-    """Edge lists of a shard. A shard that copies have swollen is cut into overlapping parts again and their lists united."""
+def build(x: np.ndarray, s: Settings) -> np.ndarray:
+    """Edges of a shard, -1 for none."""
     n = len(x)
-    if n > 4 * s.shard:
-        k = -(-n // s.shard)
-        draw = np.random.default_rng(s.seed + depth)
-        own = nearest(x, x[np.sort(draw.choice(n, k, replace=False))], 2)
-        parts = [np.flatnonzero((own == c).any(axis=1)) for c in range(k)]
-        if max(map(len, parts)) > 0.9 * n:  # copies that no centre tells apart: runs that overlap
-            parts = [np.arange(a, min(n, a + 2 * s.shard)) for a in range(0, n, s.shard)]
-        lists: list[list[np.ndarray]] = [[] for _ in range(n)]
-        for part in parts:
-            if len(part):
-                for i, edges in zip(part, build(x[part], s, depth + 1)):
-                    lists[i].append(part[edges])
-        return [np.unique(np.concatenate(e)) if e else np.zeros(0, np.int64) for e in lists]
-    out = []
-    width = min(n - 1, s.candidates)
+    width, out = min(n - 1, s.candidates), [np.full((0, s.degree), -1, np.int64)]
     for a in range(0, n, 256):
         node = np.arange(a, min(n, a + 256))
         if width == 0:
-            out += [np.zeros(0, np.int64)] * len(node)
+            out.append(np.full((len(node), s.degree), -1, np.int64))
             continue
         sims = x[node] @ x.T
         sims[np.arange(len(node)), node] = -np.inf
         near = np.argpartition(-sims, width - 1, axis=1)[:, :width]
         order = np.lexsort((near, -np.take_along_axis(sims, near, axis=1)), axis=1)
-        for edges in robust_prune(x, node, np.take_along_axis(near, order, axis=1), s.degree, s.alpha):
-            out.append(edges[edges >= 0])
-    return out
+        out.append(robust_prune(x, node, np.take_along_axis(near, order, axis=1), s.degree, s.alpha))
+    return np.concatenate(out)
+
+
+def medoids(x: np.ndarray, k: int) -> np.ndarray:
+    """Members nearest to the means of ``k`` parts of a shard, found in two rounds from evenly spaced members."""
+    centres = x[np.unique(np.linspace(0, len(x) - 1, min(k, len(x))).astype(np.int64))]
+    for _ in range(2):
+        own = (x @ centres.T).argmax(axis=1)
+        total = np.zeros_like(centres)
+        np.add.at(total, own, x)
+        some = (total * total).sum(axis=1) > 0
+        centres = centres.copy()
+        centres[some] = unit(total[some])
+    return np.unique((x @ centres.T).argmax(axis=0))
 
 
-def walk(
-    x: np.ndarray, edges: np.ndarray, inside: np.ndarray, queries: np.ndarray, entries: np.ndarray, floor: np.ndarray, s: Settings
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Best-first search from each query's ``entries`` (-1 for none), all queries in step, then every node within the range is expanded.
+def greedy(x: np.ndarray, edges: np.ndarray, starts: np.ndarray, queries: np.ndarray, s: Settings, wide: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, node and similarity of all nodes met within the range that is expanded.
 
-    Nodes that aren't ``inside`` are compared but have no edges here; new nodes under a query's ``floor`` aren't expanded.
-    Gives the query, node and similarity of what was kept, and whether it was expanded.
+    All queries go in step: best-first from ``starts``, ``wide`` entries of the beam expanded at a time, until the beam holds
+    none that isn't; then every node met within the range is expanded, and what these lead to, until nothing is new.
     """
-    nq, given, wide = len(queries), entries.shape[1], s.threshold - s.margin
-    floor = np.minimum(floor, wide)
-    pool, sims, done = np.full((nq, max(s.beam, given)), -1), np.full((nq, max(s.beam, given)), -np.inf), np.ones((nq, max(s.beam, given)), bool)
-    spread = np.zeros_like(done)
-    pool[:, :given], done[:, :given] = entries, (entries < 0) | ~inside[entries]
-    sims[:, :given] = np.where(entries >= 0, np.einsum("nd,nkd->nk", queries, x[entries]), -np.inf)
-    first = np.lexsort((pool, -sims), axis=1)
-    pool, sims, done = (np.take_along_axis(v, first, axis=1) for v in (pool, sims, done))
-    live = np.flatnonzero((~done).any(axis=1))
+    n, nq, least = len(x), len(queries), s.threshold - s.margin
+    met, spread, last = np.zeros((nq, n), bool), np.zeros((nq, n), bool), np.zeros((nq, n), np.int16)
+    sims = queries @ x[starts].T
+    order = np.argsort(-sims, axis=1, kind="stable")[:, : s.beam]
+    pool, val = starts[order], np.take_along_axis(sims, order, axis=1)
+    done = np.zeros(pool.shape, bool)
+    met[:, starts] = True
+    q, c = np.nonzero(sims >= least)
+    found = [(q, starts[c], sims[q, c])]
+    live = np.arange(nq)
     while len(live):
-        pick = (~done[live]).argmax(axis=1)  # the pool is sorted, so the first is the nearest
-        node = pool[live, pick]
-        done[live, pick] = spread[live, pick] = True
-        near = edges[node]
-        fresh = (near >= 0) & ~(near[:, :, None] == pool[live][:, None, :]).any(axis=2)
-        score = np.where(fresh, np.einsum("nd,nkd->nk", queries[live], x[near]), -np.inf)
-        ids = np.concatenate([pool[live], np.where(fresh, near, -1)], axis=1)
-        val = np.concatenate([sims[live], score], axis=1)
-        old = np.concatenate([done[live], ~fresh | ~inside[near] | (score < floor[live, None])], axis=1)
-        out = np.concatenate([spread[live], np.zeros_like(fresh)], axis=1)
-        best = np.lexsort((ids, -val), axis=1)[:, : pool.shape[1]]
-        pool[live], sims[live], done[live], spread[live] = (np.take_along_axis(v, best, axis=1) for v in (ids, val, old, out))
+        pick = np.argsort(done[live], axis=1, kind="stable")[:, :wide]  # the pool is sorted, so these are the nearest
+        open_ = ~np.take_along_axis(done[live], pick, axis=1)
+        node = np.where(open_, np.take_along_axis(pool[live], pick, axis=1), -1)
+        done[live[:, None], pick] = True
+        r, c = np.nonzero(open_)
+        spread[live[r], node[r, c]] = True
+        near = np.where(node[:, :, None] >= 0, edges[node], -1).reshape(len(live), -1)
+        col = np.broadcast_to(np.arange(near.shape[1], dtype=np.int16), near.shape)
+        last[live[:, None], near] = col  # of equal ones in a row the last counts
+        fresh = (near >= 0) & ~met[live[:, None], near] & (last[live[:, None], near] == col)
+        r, c = np.nonzero(fresh)
+        to = near[r, c]
+        met[live[r], to] = True
+        score = np.full(near.shape, -np.inf, np.float32)
+        score[r, c] = got = np.einsum("nd,nd->n", queries[live[r]], x[to])
+        hit = got >= least
+        found.append((live[r[hit]], to[hit], got[hit]))
+        ids, vals = np.concatenate([pool[live], near], axis=1), np.concatenate([val[live], score], axis=1)
+        old = np.concatenate([done[live], ~fresh], axis=1)
+        best = np.argsort(-vals, axis=1, kind="stable")[:, : s.beam]
+        if pool.shape[1] < best.shape[1]:
+            pad = ((0, 0), (0, best.shape[1] - pool.shape[1]))
+            pool, val, done = np.pad(pool, pad), np.pad(val, pad, constant_values=-np.inf), np.pad(done, pad, constant_values=True)
+        pool[live], val[live], done[live] = (np.take_along_axis(v, best, axis=1) for v in (ids, vals, old))
         live = live[(~done[live]).any(axis=1)]
-    within = sims >= wide
-    found = [(np.nonzero(pool >= 0)[0], pool[pool >= 0], sims[pool >= 0])]
-    more = []
-    for i in np.flatnonzero(within.all(axis=1) | (within & inside[pool] & ~spread).any(axis=1)):
-        seen = np.zeros(len(x), bool)
-        seen[pool[i][pool[i] >= 0]] = True
-        front = pool[i][within[i] & inside[pool[i]]]
-        spread[i] |= within[i] & inside[pool[i]]
-        while len(front):
-            near = np.unique(edges[front])
-            near = near[near >= 0]
-            near = near[~seen[near]]
-            seen[near] = True
-            score = x[near] @ queries[i]
-            near, score = near[score >= wide], score[score >= wide]
-            more.append((np.full(len(near), i), near, score))
-            front = near[inside[near]]
-    expanded = [spread[pool >= 0], *(inside[node] for _, node, _ in more)]
-    query, node, sim = (np.concatenate(c) for c in zip(*found, *more))
-    return query, node, sim, np.concatenate(expanded)
-
-
-def table(lists: list[np.ndarray]) -> np.ndarray:
-    """Edge lists as rows of one width, filled up with -1."""
-    edges = np.full((len(lists), max(1, max(map(len, lists), default=0))), -1, np.int64)
-    for i, e in enumerate(lists):
-        edges[i, : len(e)] = e
-    return edges
-
-
-def in_range(x: np.ndarray, lists: list[np.ndarray], s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, found) of one graph held whole, within the range that is expanded."""
-    n, out = len(x), []
-    start, edges, inside = int((x @ x.mean(axis=0)).argmax()), table(lists), np.ones(len(x), bool)
-    for a in range(0, n, 512):
-        own = np.arange(a, min(n, a + 512))
-        entries = np.column_stack([own, np.where(own == start, -1, start)])
-        query, node, sim, _ = walk(x, edges, inside, x[own], entries, np.full(len(own), -np.inf), s)
-        out.append((query[sim >= s.threshold - s.margin] + a, node[sim >= s.threshold - s.margin]))
+    q, node, _ = (np.concatenate(c) for c in zip(*found))
+    open_ = ~spread[q, node]
+    q, node = q[open_], node[open_]
+    while len(q):
+        near, who = edges[node], np.repeat(q, edges.shape[1])
+        near = near.ravel()
+        fresh = near >= 0
+        fresh[fresh] = ~met[who[fresh], near[fresh]]
+        key = np.unique(who[fresh] * n + near[fresh])
+        q, node = key // n, key % n
+        met[q, node] = True
+        score = np.einsum("nd,nd->n", queries[q], x[node])
+        hit = score >= least
+        q, node = q[hit], node[hit]
+        found.append((q, node, score[hit]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def in_range(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, found) of one graph, within the range that is expanded; several hundred queries at a time."""
+    starts, out, step = medoids(x, s.medoids), [(np.zeros(0, np.int64),) * 2], max(16, min(512, (4 << 20) // max(1, len(x))))
+    for a in range(0, len(queries), step):
+        q, node, _ = greedy(x, edges, starts, queries[a : a + step], s)
+        out.append((q + a, node))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def _pairs_once(spark: SparkSession, rows: DataFrame, n: int, s: Settings) -> DataFrame:
-    """Pairs of nodes by beam search over the united graph.
+    """Pairs of nodes, each once and verified.
 
-    A shard holds its members with all their edges and, as its border, the vectors that these lead to elsewhere. It
-    expands members only; a vector of the border that belongs to a query's beam, or lies within the range, is expanded
-    in its home shard in the next round, until no query has any left.
+    What is in one task is bounded: the members of a shard, and a few thousand queries at a time. Copies of a query go to
+    every cluster that may hold a partner, so that a pair is missed only where neither finds the other's shards.
     """
     centres = spark.sparkContext.broadcast(cluster(spark, rows, n, s))
+    k = len(centres.value)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                own = nearest(matrix(b.column("vec")).astype(np.float64), centres.value, s.overlap)
-                row = pa.array(np.repeat(np.arange(b.num_rows), own.shape[1]))
-                home = pa.array(np.repeat(own[:, 0], own.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(own.ravel()), home, b.column("id").take(row), b.column("vec").take(row)], names=["shard", "home", "id", "vec"])
-
-    members = written(spark, rows.mapInArrow(route, "shard long, home long, id long, vec array<double>"), "members")
+            for a in range(0, b.num_rows, 1024):
+                part = b.slice(a, 1024)
+                sims = matrix(part.column("vec")) @ centres.value.T
+                over = min(s.overlap, k)
+                least = np.partition(sims, k - over, axis=1)[:, k - over]
+                row, to = np.nonzero(sims >= np.minimum(least, sims.max(axis=1) - s.route)[:, None])
+                take, own = pa.array(row), sims[row, to] >= least[row]
+                yield pa.RecordBatch.from_arrays([pa.array(to), part.column("id").take(take), part.column("vec").take(take), pa.array(own)], names=["cluster", "id", "vec", "member"])
+
+    routed = written(spark, rows.select("id", "vec").mapInArrow(route, "cluster long, id long, vec array<float>, member boolean"), "routed")
+    sizes = routed.groupBy("cluster").agg(F.sum(F.col("member").cast("long")).alias("m"), F.count("*").alias("q"))
+    sizes = F.broadcast(sizes.select("cluster", F.ceil(F.greatest(F.col("m"), F.lit(1)) / (4 * s.shard)).alias("subs"), F.ceil(F.col("q") / 8192).alias("chunks")))  # a row a cluster
+    placed = routed.join(sizes, "cluster").withColumn("sub", F.pmod(F.xxhash64("id", F.lit(s.seed)), F.col("subs")))
+    members = placed.where("member").select("cluster", "sub", "chunks", "id", "vec")
 
     def graph(part: pa.Table) -> pa.Table:
+        part = part.sort_by("id")
         ids = part.column("id").to_numpy()
-        lists = build(matrix(part.column("vec").combine_chunks()), s)
-        return pa.table({"id": ids, "edges": pa.array([ids[e] for e in lists], pa.list_(pa.int64()))})
+        edges = build(matrix(part.column("vec").combine_chunks()), s)
+        have = edges >= 0
+        at = np.concatenate([[0], np.cumsum(have.sum(axis=1))]).astype(np.int32)
+        return pa.table({"id": ids, "edges": pa.ListArray.from_arrays(pa.array(at), pa.array(ids[edges[have]]))})
 
-    lists = members.select("shard", "id", "vec").groupBy("shard").applyInArrow(graph, "id long, edges array<long>")
+    lists = members.select("cluster", "sub", "id", "vec").groupBy("cluster", "sub").applyInArrow(graph, "id long, edges array<long>")
     united = written(spark, lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("edges")), "graph")
-    local = members.join(united, "id").select("shard", "home", "id", "vec", "edges")
-    border = members.select("shard", "id").join(united, "id").select("shard", F.explode("edges").alias("id")).distinct().join(members.select("shard", "id"), ["shard", "id"], "left_anti")
-    border = border.join(members.where("shard = home").select("home", "id", "vec"), "id").select("shard", "home", "id", "vec", F.lit(None).cast("array<long>").alias("edges"))
-    places = written(spark, local.unionByName(border), "shards")
-
-    def visit(asks: pa.Table, part: pa.Table) -> pa.Table:
-        names = ["query", "node", "sim", "done", "home"]
-        if not asks.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int64())], names=names)
-        order = np.argsort(part.column("id").to_numpy())
-        ids, homes = part.column("id").to_numpy()[order], part.column("home").to_numpy()[order]
-        x = matrix(part.column("vec").combine_chunks())[order].astype(np.float64)
-        held = part.column("edges").combine_chunks()
-        inside = held.is_valid().to_numpy(zero_copy_only=False)[order]
-        flat, at = held.flatten().to_numpy(), np.concatenate([[0], np.cumsum(held.value_lengths().fill_null(0).to_numpy())])
-        flat = np.searchsorted(ids, flat)
-        edges = table([flat[at[k] : at[k + 1]] for k in order])
-        start = int(np.where(inside, x @ x[inside].mean(axis=0), -np.inf).argmax())
-        asked, floor = asks.column("query").to_numpy(), asks.column("floor").to_numpy()
-        given = asks.column("entries").combine_chunks()
-        bounds, given = np.concatenate([[0], np.cumsum(given.value_lengths().to_numpy())]), np.searchsorted(ids, given.flatten().to_numpy())
-        vecs, out = asks.column("vec").combine_chunks(), []
-        for a in range(0, len(asked), 512):
-            z = min(len(asked), a + 512)
-            entries = table([given[bounds[k] : bounds[k + 1]] for k in range(a, z)])
-            medoid = np.where(np.isneginf(floor[a:z]) & (entries != start).all(axis=1), start, -1)  # a second way in, on the first visit
-            q = matrix(vecs.slice(a, z - a)).astype(np.float64)
-            query, node, sim, done = walk(x, edges, inside, q, np.column_stack([entries, medoid]), floor[a:z], s)
-            kept = (sim >= np.minimum(floor[a:z], s.threshold - s.margin)[query]) | done
-            query, node, sim, done = query[kept], node[kept], sim[kept], done[kept]
-            hit = sim >= s.threshold - s.margin
-            sim[hit] = (q[query[hit]] * x[node[hit]]).sum(axis=1)  # the same from either side
-            out.append((asked[a:z][query], ids[node], sim, done, homes[node]))
-        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], names=names)
-
-    shards, shape = places.groupBy("shard"), "query long, node long, sim double, done boolean, home long"
-    asks = members.select("shard", F.col("id").alias("query"), "vec", F.array("id").alias("entries"), F.lit(float("-inf")).alias("floor"))
-    state = None
-    best = W.partitionBy("query").orderBy(F.desc("sim"), "node")
-    while True:
-        met = asks.groupBy("shard").cogroup(shards).applyInArrow(visit, shape)
-        met = met if state is None else met.unionByName(state.select("query", "node", "sim", "done", "home"))
-        met = met.groupBy("query", "node").agg(F.max("sim").alias("sim"), F.max("done").alias("done"), F.max("home").alias("home"))
-        met = met.withColumn("place", F.row_number().over(best)).where((F.col("place") <= s.beam) | (F.col("sim") >= s.threshold - s.margin))
-        state = written(spark, met, "beams")
-        left = state.where("not done")
-        if left.isEmpty():
-            break
-        floors = state.where(F.col("place") == s.beam).select("query", F.col("sim").alias("floor"))
-        asks = left.groupBy(F.col("home").alias("shard"), "query").agg(F.collect_list("node").alias("entries")).join(floors, "query", "left")
-        asks = asks.join(rows.select(F.col("id").alias("query"), "vec"), "query").select("shard", "query", "vec", "entries", F.coalesce("floor", F.lit(-2.0)).alias("floor"))
-    found = state.where("query <> node").withColumn("similarity", F.round("sim", 6)).where(F.col("similarity") >= s.threshold)
-    return found.select(F.least("query", "node").alias("id_a"), F.greatest("query", "node").alias("id_b"), "similarity").dropDuplicates(["id_a", "id_b"])
-
-
-def _spread(pairs: DataFrame, equal: DataFrame) -> DataFrame:
-    """Pairs of nodes as pairs of the vectors that are equal to them, and the pairs of equal vectors."""
-    a, b = (equal.select(F.col("id").alias(x), F.col("ids").alias(y)) for x, y in (("id_a", "a"), ("id_b", "b")))
-    apart = pairs.join(a, "id_a").join(b, "id_b").select(F.explode("a").alias("x"), "b", "similarity").select("x", F.explode("b").alias("y"), "similarity")
-    same = equal.where(F.size("ids") > 1).select(F.explode("ids").alias("x"), "ids").select("x", F.explode("ids").alias("y"), F.lit(1.0).alias("similarity")).where("x < y")
-    return apart.union(same).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity")
-
-
-def audit(spark: SparkSession, rows: DataFrame, pairs: DataFrame, s: Settings) -> float:
-    """Recall of ``pairs`` among unequal vectors, on the partners of sampled vectors, found by comparing these with all.
-
-    The sample of ``s.audit`` vectors grows eightfold, twice at most, until ``s.partnered`` of them have partners; 1 if none has.
+    held = members.join(united, "id").select("cluster", "sub", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "id", "vec", "edges")
+    asks = placed.select(F.col("cluster").alias("of"), F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("at"), F.pmod(F.xxhash64("id"), F.col("chunks")).alias("run"), F.col("id").alias("query"), F.col("vec").alias("asked"))
+
+    def visit(asked: pa.Table, part: pa.Table) -> pa.Table:
+        if not asked.num_rows or not part.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names=["id_a", "id_b", "similarity"])
+        part, asked = part.sort_by("id"), asked.sort_by("query")
+        ids, names = part.column("id").to_numpy(), asked.column("query").to_numpy()
+        x, queries = (matrix(c.combine_chunks()) for c in (part.column("vec"), asked.column("asked")))
+        lists = part.column("edges").combine_chunks()
+        flat, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+        to = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
+        edges = np.full((len(ids), max(1, sizes.max())), -1, np.int64)
+        edges[np.arange(edges.shape[1]) < sizes[:, None]] = np.where(ids[to] == flat, to, -1)  # ends in other shards are followed there
+        q, node = in_range(x, edges, queries, s)
+        apart = names[q] != ids[node]
+        q, node = q[apart], node[apart]
+        sim = np.empty(len(q))
+        for a in range(0, len(q), 1 << 16):
+            u, v = (unit(t[i[a : a + (1 << 16)]].astype(np.float64)) for t, i in ((queries, q), (x, node)))
+            sim[a : a + len(u)] = np.round((u * v).sum(axis=1), 6)
+        kept = sim >= s.threshold
+        one, other = names[q[kept]], ids[node[kept]]
+        return pa.table([pa.array(np.minimum(one, other)), pa.array(np.maximum(one, other)), pa.array(sim[kept])], names=["id_a", "id_b", "similarity"])
+
+    found = asks.groupBy("of", "at", "run").cogroup(held.groupBy("cluster", "sub", "chunk")).applyInArrow(visit, PAIRS)
+    return found.groupBy("id_a", "id_b").agg(F.max("similarity").alias("similarity"))
+
+
+def audit(spark: SparkSession, rows: DataFrame, pairs: DataFrame, s: Settings) -> float | None:
+    """Recall of ``pairs`` among unequal vectors, on partners of sampled vectors, found by comparing these with all.
+
+    The sample of ``s.audit`` vectors grows eightfold, twice at most, until ``s.partnered`` of them have partners; of each one's
+    partners those of least hash count, ``s.partners`` at most. None if no partner is seen.
     """
-    size, whole, have = s.audit, rows.count(), 0
+    whole = rows.count()
     for more in (1, 8, 64):
         size = s.audit * more
-        sample = rows.orderBy(F.xxhash64("id", F.lit(s.seed + 1)), "id").limit(size).toArrow()
+        sample = rows.orderBy(F.xxhash64("id", F.lit(s.seed + 1)), "id").limit(size).select("id", "vec").toArrow()
         if not sample.num_rows:
-            return 1.0
-        shared = spark.sparkContext.broadcast((sample.column("id").to_numpy(), matrix(sample.column("vec").combine_chunks()).astype(np.float64)))
+            return None
+        shared = spark.sparkContext.broadcast((sample.column("id").to_numpy(), unit(matrix(sample.column("vec").combine_chunks()).astype(np.float64))))
 
         def partners(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, x = shared.value
             for b in batches:
+                met = []
                 for a in range(0, b.num_rows, 256):
-                    other, y = b.column("id").to_numpy()[a : a + 256], matrix(b.column("vec").slice(a, 256)).astype(np.float64)
+                    other, y = b.column("id").to_numpy()[a : a + 256], unit(matrix(b.column("vec").slice(a, 256)).astype(np.float64))
                     q, o = np.nonzero(np.round(x @ y.T, 6) >= s.threshold)
                     apart = ids[q] != other[o]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[q][apart]), pa.array(other[o][apart])], names=["query", "node"])
-
-        true = written(spark, rows.mapInArrow(partners, "query long, node long"), "audit")
-        have = true.select("query").distinct().count()
-        if have >= s.partnered or size >= whole:
+                    met.append((ids[q][apart], other[o][apart]))
+                q, o = (np.concatenate(c) for c in zip(*met)) if met else (np.zeros(0, np.int64),) * 2
+                turn = mix64(q.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + o.astype(np.uint64)).astype(np.int64)
+                order = np.lexsort((turn, q))
+                q, o, turn = q[order], o[order], turn[order]
+                place = np.arange(len(q)) - np.searchsorted(q, q)
+                few = place < s.partners
+                yield pa.RecordBatch.from_arrays([pa.array(v[few]) for v in (q, o, turn)], names=["query", "node", "turn"])
+
+        true = rows.select("id", "vec").mapInArrow(partners, "query long, node long, turn long")
+        true = true.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy("turn", "node"))).where(F.col("place") <= s.partners)
+        true = written(spark, true.select("query", "node"), "audit")
+        if size >= whole or true.select("query").distinct().count() >= s.partnered:
             break
     true = true.select(F.least("query", "node").alias("id_a"), F.greatest("query", "node").alias("id_b")).distinct()
     n = true.count()
-    return true.join(pairs, ["id_a", "id_b"], "left_semi").count() / n if n else 1.0
+    return true.join(pairs, ["id_a", "id_b"], "left_semi").count() / n if n else None
 
 
-def near_duplicates(spark: SparkSession, df: DataFrame, settings: Settings = Settings(), id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """``id_a`` < ``id_b`` and ``similarity``: the pairs of vectors whose cosine, rounded to 6 places, is at least ``threshold``.
+@dataclass
+class Found:
+    """``rows`` (id, node, copies): the node that stands for each vector, the least id among its equals, and how many are equal.
+    ``pairs`` (id_a, id_b, similarity): nodes within the threshold. ``recall``: what the audit says of them."""
+
+    rows: DataFrame
+    pairs: DataFrame
+    recall: float | None
+
 
-    Every vector is a query. The pairs are found by graph search and each is verified exactly, so none is wrong; some
-    may be missed, and an audit of unequal vectors against all measures how many: under 0.9 of them it raises. Left out: null ids, null, empty, zero vectors
-    and such with a null or NaN. Rows of one id are one vector, the greatest in array order. Only vectors of the most
-    frequent length are compared (of equally frequent ones, the longest). An empty table gives no row.
+def similar(spark: SparkSession, df: DataFrame, settings: Settings = Settings(), id_col: str = "vec_id", vec_col: str = "embedding") -> Found | None:
+    """The pairs of unequal vectors whose cosine, rounded to 6 places, is at least ``threshold``, as pairs of nodes, and the nodes' members.
+
+    The pairs are found by graph search and each is verified exactly, so none is wrong; some may be missed, and an audit
+    against all vectors measures how many: under 0.9 of them it raises. Vectors that are equal once scaled to length 1 are one node.
     """
     s = settings
-    rows = vectors(df, id_col, vec_col)
+    rows = vectors(bounded(df), id_col, vec_col)
     lengths = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     if lengths is None:
-        return spark.createDataFrame([], PAIRS)
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda t, v: t + v.cast("double") * v.cast("double")))
-    rows = rows.where(F.size("vec") == lengths.d).withColumn("norm", norm).where("norm > 0 and norm < double('infinity')")
-    every = written(spark, rows.select("id", F.transform("vec", lambda v: v.cast("double") / F.col("norm")).alias("vec")), "unit")
-    # equal vectors are one node of the graph, and meet each other and each other's partners without a search
-    nodes = written(spark, every.groupBy("vec").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids")), "nodes")
-    rows, equal = nodes.select("id", "vec"), nodes.select("id", "ids")
-    n = rows.count()
+        return None
+
+    def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = matrix(b.column("vec")).astype(np.float64)
+            norm = np.sqrt((x * x).sum(axis=1))
+            real = norm > 0
+            y = (x[real] / norm[real, None] + 0.0).astype(np.float32)
+            bits, keys = y.view(np.uint32).astype(np.uint64), []
+            for salt in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
+                key = np.full(len(y), salt, np.uint64)
+                for d in range(y.shape[1]):
+                    key = mix64(key * np.uint64(salt | 1) + bits[:, d])
+                keys.append(pa.array(key.astype(np.int64)))
+            at = pa.array(np.arange(len(y) + 1, dtype=np.int32) * y.shape[1])
+            yield pa.RecordBatch.from_arrays([b.column("id").filter(pa.array(real)), pa.ListArray.from_arrays(at, pa.array(y.ravel())), *keys], names=["id", "vec", "h", "g"])
+
+    every = rows.where(F.size("vec") == lengths.d).select("id", "vec").mapInArrow(scaled, "id long, vec array<float>, h long, g long")
+    every = written(spark, every, "unit")
+    # equal vectors (by a 128-bit hash) are one node of the graph, and need no search to meet
+    equal = every.groupBy("h", "g").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    rows = every.join(equal, ["h", "g"], "left").select("id", F.coalesce("least", "id").alias("node"), F.coalesce("n", F.lit(1)).alias("copies"), "vec")
+    rows = written(spark, rows, "nodes")
+    nodes = rows.where("id = node").select("id", "vec")
+    n = nodes.count()
     if not n:
-        return spark.createDataFrame([], PAIRS)
+        return None
     best, best_recall = None, -1.0
     for _ in range(s.attempts):
-        pairs = written(spark, _pairs_once(spark, rows, n, s), "pairs")
-        got = audit(spark, rows, pairs, s)
-        if got > best_recall:
+        pairs = written(spark, _pairs_once(spark, nodes, n, s), "pairs")
+        got = audit(spark, nodes, pairs, s)
+        if got is None or got > best_recall:
             best, best_recall = pairs, got
-        if got >= s.recall:
+        if got is None or got >= s.recall:
             break
-        s = replace(s, overlap=s.overlap + 1, beam=2 * s.beam)
-    if best_recall < s.least:
+        s = replace(s, overlap=s.overlap + 1, route=s.route + 0.04, beam=2 * s.beam)
+    if best_recall is not None and best_recall < s.least:
         raise RuntimeError(f"the audit found a recall of {best_recall:.3f} among unequal vectors, under {s.least}")
-    return _spread(best, equal)
+    return Found(rows.select("id", "node", "copies"), best, best_recall)
+
+
+def near_duplicates(spark: SparkSession, df: DataFrame, settings: Settings = Settings(), id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """One row a vector: ``vec_id``, ``class_id`` (the least id that near pairs lead to), ``links`` and ``recall``.
+
+    ``links`` counts the other vectors, copies too, whose cosine with this one, rounded to 6 places, is at least
+    ``threshold``; see ``similar`` for how they are found. ``recall`` is the audited share of the true pairs among unequal
+    vectors that was found, at least 0.9, and null where the audit met no true pair. Every vector is a query.
+
+    Left out: null ids, null, empty, zero vectors and such with a null, NaN or infinity. Rows of one id are one vector, the
+    greatest in array order. Only vectors of the most frequent length are compared (of equally frequent ones, the
+    longest), others have no row. An empty table gives no row.
+    """
+    found = similar(spark, df, settings, id_col, vec_col)
+    if found is None:
+        return spark.createDataFrame([], CLASSES)
+    nodes = found.rows.where("id = node").select(F.col("node").alias("partner"), "copies")
+    both = found.pairs.select(F.col("id_a").alias("node"), F.col("id_b").alias("partner")).union(found.pairs.select("id_b", "id_a"))
+    links = both.join(nodes, "partner").groupBy("node").agg(F.sum("copies").alias("others"))
+    classes = components(spark, found.pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), "classes").withColumnRenamed("id", "node")
+    known = links.join(classes, "node", "left")  # of nodes that have a partner
+    rows = found.rows.join(known, "node", "left")
+    return rows.select(
+        F.col("id").alias("vec_id"), F.coalesce("root", "node").alias("class_id"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).cast("long").alias("links"), F.lit(found.recall).cast("double").alias("recall")
+    )
