@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bounded, gather, id_text, mix64, slices, split_chunks
+from ._common import bounded, gather, id_text, mix64, no_null, slices, split_chunks
 
 _RUN = 16_384
 SCHEMA = "doc_id long, predicted string, confidence double, rejected boolean"
@@ -21,7 +22,7 @@ SCHEMA = "doc_id long, predicted string, confidence double, rejected boolean"
 class Settings:
     """``max_train`` bounds the labelled rows that the classifier is fitted on; ``held_out`` of them calibrate it.
 
-    ``false_reject`` is the share of held-out documents that the rejection threshold may refuse.
+    ``least`` is the calibrated probability under which a prediction is rejected.
     """
 
     buckets: int = 1 << 16
@@ -32,17 +33,20 @@ class Settings:
     rate: float = 2.0
     max_train: int = 2400
     held_out: float = 0.45
-    false_reject: float = 0.001
+    least: float = 0.5
     seed: int = 11
 
 
 @dataclass
 class Model:
+    """The last class, after those of ``languages``, is that of texts in none of them."""
+
     languages: list[str]
-    table: np.ndarray  # buckets x languages: what one subword adds to each language's score
+    table: np.ndarray  # buckets x classes: what one subword adds to each class's score
     bias: np.ndarray
     temperature: float
     threshold: float
+    accuracy: float  # on held-out labelled rows
 
 
 def subwords(pieces: pa.Array, s: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -78,20 +82,43 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([np.zeros((1, values.shape[1])), np.cumsum(values, axis=0, dtype=np.float64)])[bounds], axis=0)
 
 
+#: First letters of runs of 256 that are letters in other scripts.
+_SCRIPTS = (0x0410, 0x4E00, 0x5A00, 0x6F00, 0xAC00, 0xB900, 0xC600)
+
+
+def foreign(text: str) -> str:
+    """The text made into one of no known language: its characters in another order, its letters swapped for each other, or moved to another script.
+
+    Which of the three, and how, depends on the text alone.
+    """
+    draw = np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+    kind = draw.integers(3)
+    if kind == 0:
+        return "".join(draw.permutation(list(text)).tolist())
+    letters = sorted({c for c in text if c.isalpha()})
+    if kind == 1:
+        return text.translate(dict(zip(map(ord, letters), draw.permutation(letters).tolist()))) if letters else text
+    first = _SCRIPTS[draw.integers(len(_SCRIPTS))]
+    return text.translate({ord(c): chr(first + (ord(c) * 7) % (64 if first < 0x4E00 else 256)) for c in letters})
+
+
 def features(docs: DataFrame, s: Settings) -> DataFrame:
-    """``label``, the buckets of a text and their shares; a text without letters has none."""
+    """``label``, the buckets of a text and their shares; a text without letters has none. Every fourth text, by a hash of it, also comes made foreign, without a label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x for batch in batches for x in slices(batch, limit=1 << 20)):
-            codes, bounds, pieces = split_chunks(b.column("text"))
-            flat, at = subwords(pieces, s)
-            ids, shares = [], []
-            for i in range(b.num_rows):
-                total = np.bincount(gather(flat, at, codes[bounds[i] : bounds[i + 1]])[0], minlength=s.buckets)
-                k = np.flatnonzero(total)
-                ids.append(k.astype(np.int32))
-                shares.append((total[k] / max(1, total.sum())).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(ids, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], names=["label", "ids", "shares"])
+            texts = no_null(b.column("text"))
+            strange = [foreign(t) for t in texts.to_pylist() if zlib.crc32(t.encode()) >> 8 & 3 == 0]
+            for labels, part in ((b.column("label"), texts), (pa.nulls(len(strange), pa.string()), pa.array(strange, pa.string()))):
+                codes, bounds, pieces = split_chunks(part)
+                flat, at = subwords(pieces, s)
+                ids, shares = [], []
+                for i in range(len(part)):
+                    total = np.bincount(gather(flat, at, codes[bounds[i] : bounds[i + 1]])[0], minlength=s.buckets)
+                    k = np.flatnonzero(total)
+                    ids.append(k.astype(np.int32))
+                    shares.append((total[k] / max(1, total.sum())).astype(np.float32))
+                yield pa.RecordBatch.from_arrays([labels, pa.array(ids, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], names=["label", "ids", "shares"])
 
     return docs.select("label", "text").mapInArrow(run, "label string, ids array<int>, shares array<float>")
 
@@ -101,16 +128,22 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(labels: list[str], ids: list[np.ndarray], shares: list[np.ndarray], s: Settings) -> Model:
-    """Stochastic gradient descent, a document a step, then a temperature and a threshold from the held-out rows."""
-    languages = sorted(set(labels))
-    y = np.array([languages.index(x) for x in labels])
+def fit(labels: list[str | None], ids: list[np.ndarray], shares: list[np.ndarray], s: Settings) -> Model:
+    """Stochastic gradient descent, a document a step, then a temperature from the held-out rows.
+
+    Rows without a label are texts of no known language and a class like the languages. The temperature makes held-out
+    probabilities right on average, so one threshold serves any number of rows and languages.
+    """
+    languages = sorted({x for x in labels if x is not None})
+    n = len(languages) + 1
+    place = {x: k for k, x in enumerate([*languages, None])}
+    y = np.array([place[x] for x in labels])
     draw = np.random.default_rng(s.seed)
     order = draw.permutation(len(y))
     held = order[: int(len(y) * s.held_out)]
     kept = order[len(held) :]
     embed = draw.uniform(-1 / s.dims, 1 / s.dims, (s.buckets, s.dims)).astype(np.float32)
-    weights, bias = np.zeros((s.dims, len(languages)), np.float32), np.zeros(len(languages), np.float32)
+    weights, bias = np.zeros((s.dims, n), np.float32), np.zeros(n, np.float32)
     steps, step = s.epochs * len(kept), 0
     for _ in range(s.epochs):
         for i in draw.permutation(kept):
@@ -129,45 +162,39 @@ def fit(labels: list[str], ids: list[np.ndarray], shares: list[np.ndarray], s: S
     scores = np.array([shares[i] @ table[ids[i]] for i in judged]).reshape(len(judged), -1) + bias
     grid = np.geomspace(0.2, 5, 60)
     loss = [-np.log(_softmax(scores / t)[np.arange(len(judged)), y[judged]] + 1e-12).mean() for t in grid]
-    temperature = float(grid[int(np.argmin(loss))])
-    sure = np.sort(_softmax(scores / temperature).max(axis=1))
-    allowed = int(s.false_reject * (len(sure) + 1))  # as conformal prediction counts: so many may fall below
-    least = 1.05 / len(languages)
-    threshold = max(least, float(sure[allowed - 1])) if allowed else least
-    return Model(languages, table.astype(np.float32), bias, temperature, threshold)
+    named = y[judged] < n - 1
+    accuracy = float((scores[named, : n - 1].argmax(axis=1) == y[judged][named]).mean()) if named.any() else 1.0
+    return Model(languages, table.astype(np.float32), bias, float(grid[int(np.argmin(loss))]), s.least, accuracy)
 
 
 def train(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model | None:
-    """Fit on at most ``max_train`` labelled rows, chosen by a hash of the id; their whole texts count.
+    """Fit on at most ``max_train`` labelled rows, chosen by a hash of id and text, and on foreign ones made of a quarter of them; their whole texts count.
 
     Only hashed features of the chosen rows reach the driver, at most ``buckets`` numbers a row. None if no row has
     a label and letters.
     """
     s = settings
-    rows = id_text(docs.where(F.col(f"`{label_col}`").isNotNull()), id_col, text_col).select("id")
-    n = rows.count()
-    chosen = docs.where(F.col(f"`{label_col}`").isNotNull()).select(
+    chosen = bounded(docs).where(F.col(f"`{label_col}`").isNotNull()).select(
         F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{label_col}`").cast("string").alias("label")
     )
-    place = F.xxhash64(F.col("id"), F.lit(s.seed))
-    if n > s.max_train:
-        cut = rows.select(place.alias("place")).orderBy("place").limit(s.max_train).agg(F.max("place")).first()[0]
-        chosen = chosen.where(place <= cut)
-    got = features(chosen, s).limit(s.max_train).toArrow()
+    place = F.xxhash64(F.col("id"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")), F.lit(s.seed))
+    cut = chosen.select(place.alias("place"), "label").orderBy("place", "label").limit(s.max_train).agg(F.max("place")).first()[0]
+    chosen = chosen.where(place <= cut)
+    got = features(chosen, s).toArrow() if cut is not None else pa.table({"label": [], "ids": pa.array([], pa.list_(pa.int32())), "shares": pa.array([], pa.list_(pa.float32()))})
     ids, shares = (got.column(c).combine_chunks() for c in ("ids", "shares"))
     at = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())])
     ids, shares = ids.flatten().to_numpy(), shares.flatten().to_numpy()
     rows = [(label, ids[x:y], shares[x:y]) for label, x, y in zip(got.column("label").to_pylist(), at, at[1:]) if y > x]
-    if not rows:
+    if not any(r[0] is not None for r in rows):
         return None
-    rows.sort(key=lambda r: (r[0], len(r[1]), r[1][:4].tolist(), r[2][:4].tolist()))  # whatever order they came in
+    rows.sort(key=lambda r: (r[0] is None, r[0] or "", len(r[1]), r[1][:4].tolist(), r[2][:4].tolist()))  # whatever order they came in
     return fit([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], s)
 
 
 def scores(texts: pa.Array, model: Model, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Calibrated probabilities of each text and its number of subwords."""
+    """Calibrated probabilities of each text, the last for no known language, and its number of subwords."""
     codes, bounds, pieces = split_chunks(texts)
-    per_piece = np.zeros((len(pieces), len(model.languages) + 1))
+    per_piece = np.zeros((len(pieces), len(model.bias) + 1))
     for first in range(0, len(pieces), _RUN):  # the subwords of a piece take some hundred times its bytes
         flat, at = subwords(pieces.slice(first, _RUN), s)
         per_piece[first : first + _RUN] = np.column_stack([_sums(model.table[flat], at), np.diff(at)])
@@ -182,10 +209,11 @@ def identify(
     """One row a document: predicted language, calibrated confidence, and whether it is rejected.
 
     The classifier is fitted on a bounded sample of the labelled rows unless ``model`` is given; every whole text is
-    then judged, without a shuffle. A document is rejected when its confidence is under the calibrated threshold, or
-    when it has no letters (null and empty texts too): then prediction and confidence are null. Equal scores go to the
-    language that sorts first. Without any labelled row nothing can be told: all predictions are null, none rejected.
-    Null ids and repeated rows have a row each. An empty table gives no row.
+    then judged, without a shuffle. A document is rejected when the calibrated probability of its most likely language is
+    under ``least``, as with texts of no known language, or when it has no letters (null and empty texts too): then
+    prediction and confidence are null. So one labelled language is enough: the other class is "none of them". Equal
+    scores go to the language that sorts first. Without any labelled row nothing can be told: all predictions are null,
+    none rejected. Null ids and repeated rows have a row each. An empty table gives no row.
     """
     s = settings
     model = model or train(docs, s, id_col, text_col, label_col)
@@ -199,7 +227,7 @@ def identify(
         for b in (x for batch in batches for x in slices(batch)):
             p, n = scores(b.column("text"), m, s)
             none = pa.array(n == 0)
-            best = p.argmax(axis=1)
+            best = p[:, :-1].argmax(axis=1)
             sure = p[np.arange(len(p)), best]
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), pc.if_else(none, None, names.take(pa.array(best))), pc.if_else(none, None, pa.array(sure)), pa.array((n == 0) | (sure < m.threshold))],
@@ -212,7 +240,10 @@ def identify(
 def keep_identified(
     spark: SparkSession, docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", model: Model | None = None
 ) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text ``identify`` doesn't reject."""
+    """The rows of ``docs``, all columns as they are, whose text ``identify`` doesn't reject: null and empty texts go, null ids stay.
+
+    Without any labelled row all rows stay.
+    """
     model = model or train(docs, settings, id_col, text_col, label_col)
     if model is None:
         return docs
@@ -221,6 +252,6 @@ def keep_identified(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x for batch in batches for x in slices(batch, text_col)):
             p, n = scores(b.column(text_col), shared.value, settings)
-            yield b.filter(pa.array((n > 0) & (p.max(axis=1) >= shared.value.threshold)))
+            yield b.filter(pa.array((n > 0) & (p[:, :-1].max(axis=1) >= shared.value.threshold)))
 
     return bounded(docs).mapInArrow(run, docs.schema)

@@ -244,11 +244,38 @@ def labelled(spark):
 SMALL = langid.Settings(max_train=400, buckets=1 << 14)
 
 
-def test_held_out_accuracy_and_clean_rejections(spark, labelled):
-    model = langid.train(labelled.where("doc_id < 450"), SMALL)
-    assert model.languages == ["de", "en", "fr"]
+OTHER = "het een van niet zijn voor maar ook naar heeft wordt deze door over".split(), "и в не на что как это по но из у за от так для".split(), "の に は を た が で て と し れ さ".split()
+
+
+@pytest.mark.parametrize("n", (120, 450))
+def test_held_out_accuracy_and_calibrated_rejection(spark, labelled, n):
+    """The same at every size: clean texts stay, gibberish and foreign texts go."""
+    model = langid.train(labelled.where(f"doc_id < {n}"), SMALL)
+    assert model.languages == ["de", "en", "fr"] and model.accuracy > 0.95
     got = langid.identify(spark, labelled.where("doc_id >= 450"), SMALL, model=model).join(labelled.select("doc_id", "lang"), "doc_id").collect()
     assert len(got) == 450 and sum(r.predicted == r.lang for r in got) >= 440 and sum(r.rejected for r in got) <= 9
+    draw = random.Random(n)
+    texts = [" ".join(draw.choices(words, k=30)) for words in OTHER[1:] for _ in range(20)]
+    texts += [" ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(2, 9))) for _ in range(30)) for _ in range(40)]
+    texts += ["".join(draw.sample(t, len(t))) for t in (" ".join(draw.choices(WORDS["en"], k=40)) for _ in range(20))]
+    p, _ = langid.scores(pa.array(texts), model, SMALL)
+    assert (p[:, :-1].max(axis=1) < model.threshold).mean() > 0.95
+
+
+def test_a_language_left_out_is_rejected(labelled):
+    model = langid.train(labelled.where("lang <> 'de'"), SMALL)
+    german = [r.text for r in labelled.where("lang = 'de'").collect()]
+    assert model.languages == ["en", "fr"]
+    assert (langid.scores(pa.array(german), model, SMALL)[0][:, :-1].max(axis=1) < model.threshold).mean() > 0.9
+
+
+def test_one_language_is_enough(spark, labelled):
+    english = labelled.where("lang = 'en'")
+    model = langid.train(english, SMALL)
+    assert langid.keep_identified(spark, english, SMALL, model=model).count() >= 0.99 * english.count()
+    assert langid.keep_identified(spark, labelled.where("lang <> 'en'"), SMALL, model=model).count() <= 0.1 * labelled.count()
+    one = english.limit(1)
+    assert langid.keep_identified(spark, one, SMALL).count() == 1
 
 
 def test_scores_equal_brute_force(labelled):
