@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import id_text, mix64, split_chunks, written
@@ -18,13 +18,17 @@ from .components import components
 
 @dataclass(frozen=True)
 class Settings:
-    """Shingles of ``shingle`` words; ``bands`` bands of ``rows`` samples; ``bits`` parity bits; least estimated Jaccard ``threshold``."""
+    """Shingles of ``shingle`` words; ``bands`` bands of ``rows`` samples; ``bits`` parity bits; least estimated Jaccard ``threshold``.
+
+    A bucket of more than ``bucket`` sketches is compared in parts, each part with each.
+    """
 
     shingle: int = 3
     bands: int = 40
     rows: int = 5
     bits: int = 1024
     threshold: float = 0.55
+    bucket: int = 20_000
     seed: int = 7
 
     @property
@@ -118,7 +122,7 @@ def link(ids: np.ndarray, sketches: np.ndarray, limit: int) -> list[tuple[int, i
 
 
 def signatures(docs: DataFrame, s: Settings) -> DataFrame:
-    """``id``, ``sketch`` and ``bands`` (hashes) of every text with a word; no shuffle."""
+    """``id``, ``text_hash``, ``sketch`` and ``bands`` (hashes) of every text with a word; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,9 +139,13 @@ def signatures(docs: DataFrame, s: Settings) -> DataFrame:
             size = bits.shape[1]
             sketch = pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(np.arange(len(m) + 1, dtype=np.int32) * size), pa.py_buffer(bits.tobytes())])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * s.bands), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("id").filter(pa.array(have)), sketch, lists], names=["id", "sketch", "bands"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(pa.array(have)) for c in ("id", "text_hash")), sketch, lists], names=["id", "text_hash", "sketch", "bands"])
+
+    return docs.withColumn("text_hash", text_hash("text")).mapInArrow(run, "id long, text_hash long, sketch binary, bands array<long>")
 
-    return docs.mapInArrow(run, "id long, sketch binary, bands array<long>")
+
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.col(f"`{text_col}`").cast("string"))
 
 
 def _linked(s: Settings):
@@ -177,29 +185,85 @@ def _linked(s: Settings):
     return run
 
 
+def _edges(spark: SparkSession, reps: DataFrame, s: Settings) -> DataFrame:
+    """Links between the sketches of ``reps`` (rep, sketch, bands) that share a band and are near.
+
+    Nothing holds a whole bucket: buckets with the same members, by count, extremes and two sums of hashes, are one, and large
+    ones are cut into parts by hash, of which every two meet in a task.
+    """
+    keys = reps.select("rep", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("key")
+    keys = written(spark, keys.join(shared, "key", "left_semi"), "buckets")
+    alike = ["n", "low", "high", "x", "y"]
+    buckets = keys.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.shiftright(F.xxhash64("rep", F.lit(1)), 24)).alias("y")
+    )
+    buckets = buckets.groupBy(*alike).agg(F.min("key").alias("key")).select("key", F.ceil(2 * F.col("n") / s.bucket).alias("parts"))
+    rows = keys.join(buckets, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    small = rows.where("parts <= 2").select(F.col("key").alias("bucket"), "rep")
+    large = rows.where("parts > 2").select("key", "rep", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    large = large.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("bucket"), "rep")
+    rows = small.union(large).join(reps.select("rep", "sketch"), "rep").repartition("bucket").sortWithinPartitions("bucket", "rep")
+    return rows.select("bucket", "rep", "sketch").mapInArrow(_linked(s), "a long, b long")
+
+
+def grouped(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id``, ``text_hash``, ``n`` (rows that have both), ``group_id`` and ``kept``, for all rows of groups of more than one row.
+
+    One (``id``, ``text_hash``) of a group is ``kept``: the least id, null last, then the least hash; ``group_id`` is its id.
+    """
+    s = settings
+    sigs = written(spark, signatures(id_text(docs, id_col, text_col), s), "signatures")
+    reps = sigs.groupBy("sketch").agg(F.min("bands").alias("bands"))  # equal sketches are estimated at 1
+    reps = written(spark, reps.withColumn("rep", F.monotonically_increasing_id()), "representatives")  # numbered once, in the table
+    groups = components(spark, _edges(spark, reps, s), "near-duplicates")
+    rows = sigs.select("id", "text_hash", "sketch").join(reps.select("sketch", "rep"), "sketch").groupBy("id", "text_hash", "rep").agg(F.count("*").alias("n"))
+    rows = rows.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("id", "text_hash", "n", F.coalesce("root", "rep").alias("root"))
+    rows = written(spark, rows, "grouped")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("first")
+    several = rows.groupBy("root").agg(F.sum("n").alias("size"), first).where("size > 1")
+    kept = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    return rows.join(several, "root").select("id", "text_hash", "n", F.col("first.id").alias("group_id"), kept.alias("kept"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``group_id``, the least id of its group, for every document that duplicates an earlier one.
+    """``doc_id``, ``group_id``, the least id of its group, and ``n_rows``, for the documents that duplicate an earlier one.
 
     Two documents are near duplicates when some band of their MinHash samples agrees and their odd sketches estimate
     a Jaccard of at least ``threshold`` over word shingles (lower case; white space doesn't count); groups are the
     connected components, so copies of copies meet. Documents with equal sketches are estimated at 1 and are joined
     before the bands, so thousands of equal copies cost one row each. No bucket is capped.
 
-    A null or blank text has no shingles and is in no group; a text shorter than a shingle has one, of all its words.
-    Rows with a null id are left out. Rows with the same id are one document: it is near whatever any of them is near.
-    Which copy is kept doesn't depend on the order of rows: the least id. An empty table gives no row.
+    One row for each id and text of a group but the one that is kept: the least id, null ids last, then the text of least
+    hash; ``n_rows`` rows have that id and text. Where the one that is kept occurs n times, it has a row too, of n - 1.
+    So different texts under one id, and texts under null ids, are documents of their own. A null or blank text has no
+    shingles and is in no group; a text shorter than a shingle has one, of all its words. An empty table gives no row.
     """
-    s = settings
-    sigs = written(spark, signatures(id_text(docs, id_col, text_col).where("id is not null"), s), "signatures")
-    reps = sigs.groupBy("sketch").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"))
-    reps = written(spark, reps, "representatives")
-    equal = sigs.select("id", "sketch").join(reps.select("sketch", "rep"), "sketch").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    rows = grouped(spark, docs, settings, id_col, text_col).withColumn("n_rows", F.col("n") - F.col("kept").cast("long"))
+    return rows.where("n_rows > 0").select(F.col("id").alias("doc_id"), "group_id", "n_rows")
 
-    keys = reps.select("rep", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("key")
-    members = keys.join(shared, "key", "left_semi").groupBy("key").agg(F.sort_array(F.collect_set("rep")).alias("members"))
-    buckets = members.select("members").distinct()  # close copies meet in many bands with the same members
-    rows = buckets.select(F.xxhash64("members").alias("bucket"), F.explode("members").alias("rep"))
-    rows = rows.join(reps.select("rep", "sketch"), "rep").repartition("bucket").sortWithinPartitions("bucket", "rep")
-    near = rows.select("bucket", "rep", "sketch").mapInArrow(_linked(s), "a long, b long")
-    return components(spark, equal.union(near), "near-duplicates").select(F.col("id").alias("doc_id"), F.col("root").alias("group_id"))
+
+def keep_one(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", few: int = 2_000_000) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, without near duplicates: one row of each group stays, by the rule of ``near_duplicates``.
+
+    Rows outside groups stay, so null and blank texts do. Of several rows with the id and text that is kept, the one of least
+    values in the other columns stays. Up to ``few`` decisions are sent to every executor, more are joined by a shuffle;
+    texts are shuffled only then, and those of repeated rows.
+    """
+    taken = {c.lower() for c in docs.columns}
+    own, other, best = (next(n for n in (f"{x}_{k}" for k in range(len(taken) + 1)) if n not in taken) for x in ("own", "other", "best"))
+    rows = grouped(spark, docs, settings, id_col, text_col).where("not kept or n > 1")
+    rows = written(spark, rows.select(F.col("id").alias(own), F.col("text_hash").alias(other), "kept"), "decisions")
+    count = dict(rows.groupBy("kept").count().collect())
+    doc, text = F.col(f"`{id_col}`").cast("long"), text_hash(text_col)
+
+    def meet(part: DataFrame, how: str) -> DataFrame:
+        part = part.select(own, other)
+        return docs.join(F.broadcast(part) if sum(count.values()) <= few else part, doc.eqNullSafe(F.col(own)) & (text == F.col(other)), how)
+
+    rest = meet(rows, "left_anti")
+    if not count.get(True):
+        return rest
+    whole = [F.col(f"`{c}`") for c in docs.columns]
+    again = meet(rows.where("kept"), "left_semi").groupBy(doc.alias(own), text.alias(other)).agg(F.min_by(F.struct(*whole), F.to_json(F.struct(*whole))).alias(best))
+    return rest.unionByName(again.select(f"{best}.*"))

@@ -230,11 +230,38 @@ def test_many_copies_and_awkward_documents(spark):
     edited = copies.replace(copies.split()[5], "changed", 1)
     rows = [(i, copies if i % 2 else edited) for i in range(100, 900)] + [(1, None), (2, ""), (3, "  \n "), (4, "short"), (5, "Short"), (6, "a b"), (None, copies), (7, LONG), (8, LONG + "end"), (7, LONG), (9, "entirely other words stand here alone")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rep", F.lit(1)).withColumn("bands", F.lit(1)).repartition(6)
-    got = {r.doc_id: r.group_id for r in minhash.near_duplicates(spark, df).collect()}
-    assert got == {i: 100 for i in range(101, 900)} | {5: 4, 8: 7}
+    got = {r.doc_id: (r.group_id, r.n_rows) for r in minhash.near_duplicates(spark, df).collect()}
+    assert got == {i: (100, 1) for i in range(101, 900)} | {5: (4, 1), 7: (7, 1), 8: (7, 1), None: (100, 1)}
     assert minhash.near_duplicates(spark, nothing(df)).collect() == []
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Also under null ids, ids with several texts, repeated rows, and columns that are called as ours."""
+    a, b, c = (" ".join(corpus(1, k)) for k in (31, 32, 33))
+    near = a.replace(a.split()[3], "changed", 1)
+    rows = [(1, a, "x"), (1, b, "x"), (2, near, "x"), (None, a, "x"), (None, c, "x"), (None, c, "y"), (None, c, None), (3, b, "x"), (4, None, "x"), (4, None, "x"), (5, "", "x"), (6, c + " end", "x"), (1, a, "x"), (7, "alone", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, own_0 string").withColumn("other_0", F.lit(1)).withColumn("kept", F.lit(2)).withColumn("Best_0", F.map_from_arrays(F.array(F.lit("k")), F.array(F.lit(1))))
+    for few in (1000, 0):
+        out = minhash.keep_one(spark, df, few=few)
+        assert out.columns == df.columns
+        got = sorted(((r.doc_id, r.text, r.own_0) for r in out.collect()), key=repr)
+        assert got == sorted([(1, a, "x"), (1, b, "x"), (4, None, "x"), (4, None, "x"), (5, "", "x"), (6, c + " end", "x"), (7, "alone", "x")], key=repr)
+    assert minhash.keep_one(spark, nothing(df)).collect() == []
+
+
+def test_buckets_in_parts_link_what_whole_ones_do(spark):
+    draw = random.Random(41)
+    base = draw.choices([f"w{k}" for k in range(900)], k=80)
+    docs = []
+    for i in range(300):
+        w = list(base)
+        w[draw.randrange(80)] = f"own{i}"
+        docs.append((i, " ".join(w)))
+    df = spark.createDataFrame(docs + [(1000 + i, t) for i, t in enumerate(corpus(60, 5))], "doc_id long, text string")
+    whole = sorted(tuple(r) for r in minhash.near_duplicates(spark, df).collect())
+    assert sorted(tuple(r) for r in minhash.near_duplicates(spark, df, minhash.Settings(bucket=40)).collect()) == whole and len(whole) >= 299
+
+
 def test_components_of_a_long_chain(spark):
     chain = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1002), (5000, 5000)]
     random.Random(1).shuffle(chain)
@@ -411,7 +438,7 @@ def test_stages(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         at = stage(spark, at, str(tmp_path))
         assert at.columns == docs.columns, name
-    gone = {r.doc_id: r.group_id for r in minhash.near_duplicates(spark, docs.where("doc_id <> 901")).collect()}
+    gone = {r.doc_id: r.group_id for r in minhash.near_duplicates(spark, docs.where("doc_id <> 901")).collect() if r.doc_id != r.group_id}
     left = {r.doc_id: r for r in at.collect()}
     assert 901 not in left and 902 not in left and 903 not in left and None in left
     clean = {i for i, *_ in rows[:300] if i not in gone}
