@@ -7,25 +7,19 @@ next. Filtering and rewriting run on the rows in place, without moving texts.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillmere.llm import langid, minhash, packing, secrets, vocab
 from quillmere.llm._common import written
 
-#: Above so many ids to drop, they are joined by a shuffle instead of being sent to every executor.
-_BROADCAST_IDS = 2_000_000
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with enough confidence; those that are rejected go."""
+    """Documents whose language is told with enough confidence; those that are rejected go, null and empty texts and such without letters too."""
     return langid.keep_identified(spark, docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one of least id; rows with a null id stay, rows of one id share their fate."""
-    gone = minhash.near_duplicates(spark, docs).select("doc_id")
-    few = gone.count() <= _BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near copies, the one of least id; null ids come last. Texts without words stay."""
+    return minhash.keep_one(spark, docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +28,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of 2048 tokens; one row a piece of a document."""
+    """Windows of 2048 tokens; one row a piece of a document. Null and empty texts have no piece; null ids are packed like others."""
     return packing.pack_documents(spark, docs, vocab.path("byte_bpe_50k.tiktoken"))
 
 
