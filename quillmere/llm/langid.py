@@ -50,7 +50,13 @@ class Model:
 
 
 def subwords(pieces: pa.Array, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of each piece's subwords, end to end, and the pieces' bounds.
+    """Buckets of each piece's subwords, end to end, and the pieces' bounds; a run of pieces at a time, as working on one takes some hundred times its bytes."""
+    flat, sizes = zip(*(_subwords(pieces.slice(a, _RUN), s) for a in range(0, max(1, len(pieces)), _RUN)))
+    return np.concatenate(flat), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(at) for at in sizes]))])
+
+
+def _subwords(pieces: pa.Array, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """The same for one run.
 
     A piece is its letters in lower case between boundary marks; a subword is any run of ``shortest`` to ``longest``
     bytes of it. A piece without letters has none.
@@ -59,7 +65,7 @@ def subwords(pieces: pa.Array, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     marked = pc.if_else(pc.equal(words, ""), "", pc.binary_join_element_wise("<", words, ">", ""))
     n = len(marked)
     if n == 0:
-        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+        return np.zeros(0, np.int32), np.zeros(1, np.int64)
     _, offsets, data = marked.buffers()
     at = np.frombuffer(offsets, np.int32)[marked.offset : marked.offset + n + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]].astype(np.uint64) if data is not None else np.zeros(0, np.uint64)
@@ -71,7 +77,7 @@ def subwords(pieces: pa.Array, s: Settings) -> tuple[np.ndarray, np.ndarray]:
         gram[: len(raw) - size + 1] |= raw[size - 1 :] << np.uint64(8 * (size - 1))
         if size >= s.shortest:
             fits = room >= size
-            found.append((mix64(gram[fits] + np.uint64(size << 56)) % np.uint64(s.buckets)).astype(np.int64))
+            found.append((mix64(gram[fits] + np.uint64(size << 56)) % np.uint64(s.buckets)).astype(np.int32))
             owners.append(owner[fits])
     flat, who = np.concatenate(found), np.concatenate(owners)
     return flat[np.argsort(who, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(who, minlength=n))])
@@ -195,7 +201,7 @@ def scores(texts: pa.Array, model: Model, s: Settings) -> tuple[np.ndarray, np.n
     """Calibrated probabilities of each text, the last for no known language, and its number of subwords."""
     codes, bounds, pieces = split_chunks(texts)
     per_piece = np.zeros((len(pieces), len(model.bias) + 1))
-    for first in range(0, len(pieces), _RUN):  # the subwords of a piece take some hundred times its bytes
+    for first in range(0, len(pieces), _RUN):
         flat, at = subwords(pieces.slice(first, _RUN), s)
         per_piece[first : first + _RUN] = np.column_stack([_sums(model.table[flat], at), np.diff(at)])
     total = _sums(per_piece[codes], bounds)
