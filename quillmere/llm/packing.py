@@ -82,26 +82,34 @@ def token_lengths(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     return id_text(docs, id_col, text_col).mapInArrow(run, "id long, n long")
 
 
-def pack_lengths(spark: SparkSession, lengths: DataFrame, capacity: int = 2048, salts: int = 64) -> DataFrame:
+def pack_lengths(spark: SparkSession, lengths: DataFrame, capacity: int = 2048, share: int = 250_000) -> DataFrame:
     """Place pieces of documents (``id``, ``n`` tokens) in windows of ``capacity``.
 
     A document longer than the capacity is cut into full windows and a remainder. Gives one row a piece: document,
-    number of the piece in it, length, window and the piece's start in the window. What reaches the driver is the
-    histogram of (length, salt), at most ``capacity * salts`` rows whatever the input. Documents of no tokens (null or
-    empty texts) take no place and have no row; equal lengths are ranked by id, then piece; null ids and repeated rows
-    are pieces like any other. An empty table gives no row.
+    number of the piece in it, length, window and the piece's start in the window. Pieces of one length are spread over
+    parts of about ``share`` pieces, which are ranked side by side (by id, then piece), so that a length which most pieces
+    have needs no task of its own. What reaches the driver is the number of pieces of each length, and of each part. Documents of no tokens
+    (null or empty texts) take no place and have no row; null ids and repeated rows are pieces like any other. An empty
+    table gives no row.
     """
     if not 1 <= capacity < 1 << 16:
         raise ValueError("capacity must be from 1 to 65535")
     pieces = lengths.where("n > 0").select(
         "id", F.posexplode(F.expr(f"transform(sequence(0L, (n - 1) div {capacity}), i -> cast(least({capacity}L, n - i * {capacity}) as int))")).alias("chunk", "length")
     )
-    pieces = written(spark, pieces.select("id", F.col("chunk").cast("long").alias("chunk"), "length", F.expr(f"cast(pmod(xxhash64(id, chunk), {salts}) as int)").alias("salt")), "pieces")
-    histogram = pieces.groupBy("length", "salt").agg(F.count("*").alias("n")).toPandas()
-    table = np.zeros((capacity + 1, salts), np.int64)
-    table[histogram.length, histogram.salt] = histogram.n
-    base = np.cumsum(table, axis=1) - table
-    totals = table.sum(axis=1)
+    pieces = written(spark, pieces.select("id", F.col("chunk").cast("long").alias("chunk"), "length", F.when(F.col("id").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("id", "chunk")).alias("h")), "pieces")
+    totals = np.zeros(capacity + 1, np.int64)
+    for length, n in pieces.groupBy("length").count().collect():
+        totals[length] = n
+    parts = np.maximum(1, -(-totals // share))
+    first_part = np.cumsum(parts) - parts
+    spread = F.broadcast(spark.createDataFrame([(k, int(parts[k]), int(first_part[k])) for k in np.flatnonzero(totals).tolist()], "length int, parts long, first_part long"))  # a row a length
+    pieces = pieces.join(spread, "length").select("id", "chunk", "length", (F.col("first_part") + F.pmod("h", "parts")).alias("part"))
+    sizes = np.zeros(parts.sum(), np.int64)
+    for part, n in pieces.groupBy("part").count().collect():
+        sizes[part] = n
+    before = np.cumsum(sizes) - sizes
+    base = before - np.repeat(before[first_part], parts)
 
     used, rows, first = np.zeros(capacity + 1, np.int64), [], 0
     for contents, times in plan({k: int(n) for k, n in enumerate(totals) if n}, capacity):
@@ -117,7 +125,7 @@ def pack_lengths(spark: SparkSession, lengths: DataFrame, capacity: int = 2048,
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             length = b.column("length").to_numpy().astype(np.int64)
-            rank = base[length, b.column("salt").to_numpy()] + b.column("rank").to_numpy()
+            rank = base[b.column("part").to_numpy()] + b.column("rank").to_numpy()
             k = np.searchsorted(at[:, 0], (length << _RANK_BITS) + rank, side="right") - 1
             nth = rank - at[k, 1]
             yield pa.RecordBatch.from_arrays(
@@ -125,7 +133,7 @@ def pack_lengths(spark: SparkSession, lengths: DataFrame, capacity: int = 2048,
                 names=["doc_id", "chunk", "length", "window_id", "start"],
             )
 
-    ranked = pieces.withColumn("rank", F.row_number().over(W.partitionBy("length", "salt").orderBy("id", "chunk")).cast("long") - 1)
+    ranked = pieces.withColumn("rank", F.row_number().over(W.partitionBy("part").orderBy("id", "chunk")).cast("long") - 1)
     return ranked.mapInArrow(place, SCHEMA)
 
 

@@ -138,10 +138,10 @@ def test_packing_covers_everything(spark):
     draw = random.Random(5)
     want = {i: draw.choice([1, 2, 3, 5, 8, 13, 64, 65, 200]) for i in range(500)}
     lengths = spark.createDataFrame(list(want.items()), "id long, n long").repartition(4)
-    rows = packing.pack_lengths(spark, lengths, 64, salts=4).collect()
+    rows = packing.pack_lengths(spark, lengths, 64, share=20).collect()
     check_windows(rows, want, 64)
     assert len({r.window_id for r in rows}) <= -(-sum(want.values()) // 64) + 1
-    assert [tuple(r) for r in packing.pack_lengths(spark, lengths.repartition(7), 64, salts=4).orderBy("doc_id", "chunk").collect()] == sorted((tuple(r) for r in rows))
+    assert [tuple(r) for r in packing.pack_lengths(spark, lengths.repartition(7), 64, share=20).orderBy("doc_id", "chunk").collect()] == sorted((tuple(r) for r in rows))
 
 
 def test_packing_awkward(spark, awkward):
