@@ -33,10 +33,10 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
+def written(spark: SparkSession, df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends there, so a lost executor costs a reread."""
     path = new_folder(spark, tag)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -18,10 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytebpe
-from ._common import id_text, new_folder, written
+from ._common import id_text, mix64, new_folder, written
 
 SCHEMA = "doc_id long, n_tokens long, log_prob double, perplexity double"
-_RUN, _BLOCK = 1_000_000, 8_000_000
+_RUN, _BLOCK, _PART = 1_000_000, 8_000_000, 4_000_000  # tokens
 
 
 @dataclass(frozen=True)
@@ -38,13 +38,17 @@ class Settings:
 
 @dataclass
 class Model:
-    """``grams`` (ngram_order, ctx, tok, lp) and ``backoffs`` (ngram_order, ctx, la) as tables partitioned by order; natural logarithms."""
+    """``grams`` (ngram_order, ctx, tok, lp) and ``backoffs`` (ngram_order, ctx, la) as tables partitioned by order; natural logarithms.
+
+    ``solved`` has the values of the longest order once more, a compressed row a part, for scoring the corpus.
+    """
 
     settings: Settings
     vocab: int
     unseen: float
     grams: DataFrame
-    backoffs: DataFrame
+    backoffs: DataFrame | None
+    solved: DataFrame | None = None
 
 
 def blocks(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -102,33 +106,127 @@ def keys(blobs: pa.Array, order: int, vocab: int) -> tuple[np.ndarray, np.ndarra
     return key, bounds
 
 
-def counted(encoded: DataFrame, order: int, vocab: int) -> DataFrame:
-    """``block``, ``ctx``, ``tok``, ``n``: n-grams counted inside each block before anything is shuffled."""
+def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams in order and their counts."""
+    key, n = (np.concatenate(p) for p in zip(*parts))
+    key, place = np.unique(key, return_inverse=True)
+    return key, np.bincount(place, weights=n, minlength=len(key)).astype(np.int64)
+
+
+def squeeze(values: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(values).tobytes(), "zstd", asbytes=True)
+
+
+def unsqueeze(blob: bytes, n: int, kind) -> np.ndarray:
+    kind = np.dtype(kind)
+    return np.frombuffer(pa.decompress(blob, n * kind.itemsize, "zstd", asbytes=True), kind)
+
+
+def squeezed_floats(values: np.ndarray) -> tuple[bytes, bytes, int]:
+    """Few distinct values as a table of them and places in it."""
+    distinct, place = np.unique(values, return_inverse=True)
+    return squeeze(distinct), squeeze(place.astype(np.uint32)), len(distinct)
+
+
+def unsqueezed_floats(table: bytes, places: bytes, distinct: int, n: int) -> np.ndarray:
+    return unsqueeze(table, distinct, np.float64)[unsqueeze(places, n, np.uint32)]
+
+
+@dataclass(frozen=True)
+class Split:
+    """How n-grams are spread over ``parts``: by the token before the last, and where that is frequent by the one before it too.
+
+    All n-grams of a context are in one part, and so are all that back off to one another wherever ``salts`` is 1.
+    """
+
+    order: int
+    parts: int
+    salts: np.ndarray  # by token, at most 65,536
+
+    def of(self, near: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        return (mix64((near.astype(np.uint64) << np.uint64(32)) + salt.astype(np.uint64)) % np.uint64(self.parts)).astype(np.int64)
+
+    def part(self, key: np.ndarray, order: int | None = None) -> np.ndarray:
+        """The part of each n-gram; of shorter ones only where their own tokens tell."""
+        order = order or self.order
+        if self.order == 1:
+            return np.zeros(len(key), np.int64)
+        near = (key >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.int64)
+        salt = mix64(key >> np.uint64(32) & np.uint64(0xFFFF)) % self.salts[near].astype(np.uint64) if order > 2 else np.zeros(len(key), np.uint64)
+        return self.of(near, salt)
+
+
+@dataclass
+class Corpus:
+    """``encoded`` texts; ``messages``: the n-grams of each block for each part; ``grams``: their sums, a row a part."""
+
+    vocab: int
+    split: Split
+    encoded: DataFrame
+    messages: DataFrame
+    grams: DataFrame
 
-    def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
-        key, n = (np.concatenate(p) for p in zip(*parts))
-        key, place = np.unique(key, return_inverse=True)
-        return key, np.bincount(place, weights=n, minlength=len(key)).astype(np.int64)
 
-    def rows(block: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        columns = [np.full(len(key), block), (key >> np.uint64(16)).astype(np.int64), (key & np.uint64(0xFFFF)).astype(np.int32), n]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "ctx", "tok", "n"])
+MESSAGE = "part long, block long, n long, ngrams binary, counts binary"
+GRAMS = "part long, n long, ngrams binary, counts binary, few array<long>"
+
+
+def count(spark: SparkSession, docs: DataFrame, vocabulary: str, s: Settings) -> Corpus:
+    """Count all n-grams of the longest order.
+
+    They are counted inside each block first. A block's n-grams travel as one compressed message a part, at some 2 bytes
+    each; a part holds those of about ``_PART`` tokens, whatever the corpus' size.
+    """
+    vocab, order = bytebpe.load(vocabulary).vocab, s.order
+    encoded = written(spark, blocks(docs, vocabulary), "encoded", compression="zstd")
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(vocab + 2, np.int64)
+        for b in batches:
+            for part in runs(b.column("ids")):
+                key, bounds = keys(part, 1, vocab)
+                n += np.bincount(key.astype(np.int64), minlength=vocab + 2)
+                n[vocab] += (order - 1) * (len(bounds) - 1)
+        have = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(have), pa.array(n[have])], names=["tok", "n"])
+
+    frequent = np.zeros(vocab + 2, np.int64)
+    for tok, n in encoded.select("ids").mapInArrow(tokens, "tok long, n long").groupBy("tok").agg(F.sum("n")).collect():  # at most a row a token
+        frequent[tok] = n
+    split = Split(order, max(1, int(-(-frequent.sum() // _PART))), np.maximum(1, -(-frequent // _PART)))
+    shared = spark.sparkContext.broadcast(split)
+
+    def send(block: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        part = shared.value.part(key)
+        order = np.argsort(part, kind="stable")
+        key, n, part = key[order], n[order], part[order]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+        rows = [(int(part[a]), block, int(z - a), squeeze(key[a:z]), squeeze(n[a:z])) for a, z in zip(cuts[:-1], cuts[1:]) if z > a]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["part", "block", "n", "ngrams", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_block, held = None, []
         for b in batches:
             block = b.column("block").to_numpy()
-            for x in np.unique(block):
+            for x in np.unique(block).tolist():
                 if x != open_block and held:
-                    yield rows(open_block, *merged(held))
+                    yield send(open_block, *held[0])
                     held = []
                 open_block = x
-                held += [np.unique(keys(part, order, vocab)[0], return_counts=True) for part in runs(b.column("ids").filter(pa.array(block == x)))]
-                held = [merged(held)]
+                for part in runs(b.column("ids").filter(pa.array(block == x))):
+                    held = [merged([*held, np.unique(keys(part, order, vocab)[0], return_counts=True)])]
         if held:
-            yield rows(open_block, *merged(held))
+            yield send(open_block, *held[0])
 
-    return encoded.mapInArrow(run, "block long, ctx long, tok int, n long")
+    messages = written(spark, encoded.select("block", "ids").mapInArrow(run, MESSAGE), "messages")
+
+    def add(rows: pa.Table) -> pa.Table:
+        got = [(unsqueeze(k, n, np.uint64), unsqueeze(c, n, np.int64)) for n, k, c in zip(*(rows.column(x).to_pylist() for x in ("n", "ngrams", "counts")))]
+        key, n = merged(got)
+        few = np.bincount(n[n <= s.discounted + 1], minlength=s.discounted + 2)
+        return pa.table({"part": rows.column("part").slice(0, 1), "n": [len(key)], "ngrams": [squeeze(key)], "counts": [squeeze(n)], "few": pa.array([few.tolist()], pa.list_(pa.int64()))})
+
+    return Corpus(vocab, split, encoded, messages, written(spark, messages.groupBy("part").applyInArrow(add, GRAMS), "grams"))
 
 
 def discounts(counts: dict[int, int], k: int) -> dict[int, float]:
@@ -150,14 +248,11 @@ def suffix(ctx: Column, order: int) -> Column:
     return ctx.bitwiseAND(F.lit((1 << 16 * (order - 1)) - 1))
 
 
-def train(spark: SparkSession, needs: DataFrame, vocab: int, settings: Settings = Settings()) -> Model:
-    """The model of all n-grams of ``needs``. Only counts of counts, ``discounted + 1`` numbers an order, reach the driver."""
-    s = settings
-    folder = new_folder(spark, "katz")
-    top = written(spark, needs.groupBy("ctx", "tok").agg(F.sum("n").alias("c")), "grams")
+def _tables(spark: SparkSession, top: DataFrame, vocab: int, highest: int, s: Settings, folder: str) -> tuple[Model, DataFrame]:
+    """The model of orders 1 to ``highest`` from the counts (ctx, tok, c) of the highest, and ``lp`` of all its n-grams."""
     lower, unseen = None, 0.0
-    for order in range(1, s.order + 1):
-        table = top if order == s.order else top.groupBy(suffix(F.col("ctx"), order).alias("ctx"), "tok").agg(F.sum("c").alias("c"))
+    for order in range(1, highest + 1):
+        table = top if order == highest else top.groupBy(suffix(F.col("ctx"), order).alias("ctx"), "tok").agg(F.sum("c").alias("c"))
         few = {r.c: r.n for r in table.where(F.col("c") <= s.discounted + 1).groupBy("c").agg(F.count("*").alias("n")).collect()}
         d = discounts(few, s.discounted)
         factor = F.element_at(F.create_map(*[x for r, f in d.items() for x in (F.lit(r).cast("long"), F.lit(f))]), F.col("c"))
@@ -172,25 +267,113 @@ def train(spark: SparkSession, needs: DataFrame, vocab: int, settings: Settings
             unseen = float(np.log(max(1.0 - (seen[1] or 0.0), 1e-300) / missing)) if missing > 0 else 0.0
             if missing <= 0:  # every event was seen: nothing to back off to, so the mass returns to them
                 probs = probs.withColumn("p", F.col("p") / F.lit(seen[1]))
-            probs = probs.withColumn("lp", F.log("p"))
-            backs = None
         else:
-            low = probs.withColumn("low", suffix(F.col("ctx"), order - 1)).join(lower.select(F.col("ctx").alias("low"), "tok", F.col("lp").alias("low_lp")), ["low", "tok"], "left")
-            low = low.withColumn("low_lp", F.coalesce("low_lp", F.lit(unseen))) if order == 2 else low
+            low = probs.withColumn("low", suffix(F.col("ctx"), order - 1)).join(lower.select(F.col("ctx").alias("low"), "tok", F.col("lp").alias("low_lp")), ["low", "tok"])
             backs = low.groupBy("ctx").agg(F.sum("p").alias("used"), F.sum(F.exp("low_lp")).alias("low_used"))
             backs = backs.select("ctx", F.log(F.greatest(1 - F.col("used"), F.lit(1e-300)) / F.greatest(1 - F.col("low_used"), F.lit(1e-300))).alias("la"))
-            probs = probs.withColumn("lp", F.log("p"))
-        probs.select("ctx", "tok", "lp").repartition("ctx").write.parquet(f"{folder}/grams/ngram_order={order}")
-        lower = spark.read.parquet(f"{folder}/grams/ngram_order={order}")
-        if order >= 3:  # dropped n-grams are worth what their backoff gives, wherever a longer one leans on them
-            lower = None
-        if backs is not None:
-            backs.repartition("ctx").write.parquet(f"{folder}/backoffs/ngram_order={order}")
-        if order >= 2 and order < s.order:
-            partial = Model(s, vocab, unseen, spark.read.parquet(f"{folder}/grams"), spark.read.parquet(f"{folder}/backoffs"))
-            lower = written(spark, evaluate(partial, table.select("ctx", "tok"), order), "lower")
-    backoffs = spark.read.parquet(f"{folder}/backoffs") if s.order > 1 else spark.createDataFrame([], "ngram_order int, ctx long, la double")
-    return Model(s, vocab, unseen, spark.read.parquet(f"{folder}/grams"), backoffs)
+            backs.write.parquet(f"{folder}/backoffs/ngram_order={order}")
+        probs.select("ctx", "tok", F.log("p").alias("lp")).write.parquet(f"{folder}/grams/ngram_order={order}")
+        model = Model(s, vocab, unseen, spark.read.parquet(f"{folder}/grams"), spark.read.parquet(f"{folder}/backoffs") if order > 1 else None)
+        lower = written(spark, evaluate(model, table.select("ctx", "tok"), order), "lower")
+    return model, lower
+
+
+SOLVED = "part long, n long, ngrams binary, kept binary, lp binary, lp_at binary, n_lp long, n_ctx long, ctx binary, la binary"
+
+
+def train(spark: SparkSession, corpus: Corpus, settings: Settings = Settings()) -> Model:
+    """The model of all n-grams of the corpus.
+
+    Shorter orders, whose tables grow less and less, are made by joins; the longest is solved part by part, as a part has
+    whole contexts. Only counts of counts, ``discounted + 1`` numbers an order, reach the driver, and for order 2 the
+    unigrams, at most one a token.
+    """
+    s, split, vocab = settings, corpus.split, corpus.vocab
+    order, folder = s.order, new_folder(spark, "katz")
+    shared = spark.sparkContext.broadcast(split)
+    highest = max(1, order - 1)
+    mask = np.uint64((1 << 16 * highest) - 1)
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n, k, c in zip(*(b.column(x).to_pylist() for x in ("n", "ngrams", "counts"))):
+                key, n = merged([(unsqueeze(k, n, np.uint64) & mask, unsqueeze(c, n, np.int64))])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in ((key >> np.uint64(16)).astype(np.int64), (key & np.uint64(0xFFFF)).astype(np.int32), n)], names=["ctx", "tok", "c"])
+
+    shorter = corpus.grams.select("n", "ngrams", "counts").mapInArrow(shorten, "ctx long, tok int, c long").groupBy("ctx", "tok").agg(F.sum("c").alias("c"))
+    model, lower = _tables(spark, written(spark, shorter, "shorter"), vocab, highest, s, folder)
+    sums = corpus.grams.select(F.posexplode("few").alias("c", "n")).groupBy("c").agg(F.sum("n").alias("n")).collect()
+    factor = np.ones(s.discounted + 2)
+    for r, d in discounts({r.c: r.n for r in sums if r.c}, s.discounted).items():
+        factor[r] = d
+    least = s.least(order)
+
+    def solve(row: dict, low_key: np.ndarray, low_lp: np.ndarray) -> pa.Table:
+        key, c = unsqueeze(row["ngrams"], row["n"], np.uint64), unsqueeze(row["counts"], row["n"], np.int64)
+        low_lp = low_lp[np.searchsorted(low_key, key & mask)]
+        kept, lp, ctx, la = np.ones(len(key), bool), low_lp, np.zeros(0, np.uint64), np.zeros(0)
+        if order > 1:
+            kept = c >= least
+            first = np.flatnonzero(np.diff(key >> np.uint64(16), prepend=np.uint64(1 << 63)))
+            of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+            worth = np.where(kept, c * factor[np.minimum(c, s.discounted + 1)], 0.0)
+            total, mass = np.add.reduceat(c, first), np.add.reduceat(worth, first)
+            p = worth / np.where(mass >= total, total + 1, total)[of]
+            used, low_used = np.add.reduceat(p, first), np.add.reduceat(np.where(kept, np.exp(low_lp), 0.0), first)
+            some = np.logical_or.reduceat(kept, first)
+            weight = np.where(some, np.log(np.maximum(1 - used, 1e-300) / np.maximum(1 - low_used, 1e-300)), 0.0)
+            lp = np.where(kept, np.log(np.where(kept, p, 1.0)), weight[of] + low_lp)
+            ctx, la = (key[first] >> np.uint64(16))[some], weight[some]
+        table, at, n_lp = squeezed_floats(lp)
+        out = {"part": row["part"], "n": row["n"], "ngrams": row["ngrams"], "kept": squeeze(kept), "lp": table, "lp_at": at, "n_lp": n_lp, "n_ctx": len(ctx), "ctx": squeeze(ctx), "la": squeeze(la)}
+        return pa.table({k: [v] for k, v in out.items()})
+
+    grams = corpus.grams.select("part", "n", "ngrams", "counts")
+    if order == 2:
+        rows = lower.toPandas().sort_values("tok")
+        every = spark.sparkContext.broadcast((rows.tok.to_numpy().astype(np.uint64), rows.lp.to_numpy()))
+        solved = grams.groupBy("part").applyInArrow(lambda part: solve(part.to_pylist()[0], *every.value), SOLVED)
+    else:
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                key = b.column("ctx").to_numpy().astype(np.uint64) << np.uint64(16) | b.column("tok").to_numpy().astype(np.uint64)
+                row, part = np.arange(len(key)), shared.value.part(key, highest)
+                if order == 3:  # the token that salts is not in the shorter n-gram: it goes to all parts it may be asked in
+                    near = (key >> np.uint64(16)).astype(np.int64)
+                    salts = shared.value.salts[near]
+                    row = np.repeat(row, salts)
+                    salt = np.arange(len(row)) - np.repeat(np.cumsum(salts) - salts, salts)
+                    row, part = np.unique(np.column_stack([row, shared.value.of(near[row], salt)]), axis=0).T
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(key[row].astype(np.int64)), b.column("lp").take(pa.array(row))], names=["at", "low", "lp"])
+
+        def meet(part: pa.Table, low: pa.Table) -> pa.Table:
+            low = low.sort_by("low")
+            return pa.concat_tables(solve(row, low.column("low").to_numpy().astype(np.uint64), low.column("lp").to_numpy()) for row in part.to_pylist()) if part.num_rows else pa.table(part.schema.empty_table())
+
+        placed = lower.select("ctx", "tok", "lp").mapInArrow(place, "at long, low long, lp double")
+        solved = grams.groupBy("part").cogroup(placed.groupBy("at")).applyInArrow(meet, SOLVED)
+    solved = written(spark, solved, "solved")
+    model.solved = solved
+    if order == 1:
+        return model
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                key, kept = unsqueeze(r["ngrams"], r["n"], np.uint64), unsqueeze(r["kept"], r["n"], bool)
+                key, lp = key[kept], unsqueezed_floats(r["lp"], r["lp_at"], r["n_lp"], r["n"])[kept]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in ((key >> np.uint64(16)).astype(np.int64), (key & np.uint64(0xFFFF)).astype(np.int32), lp)], names=["ctx", "tok", "lp"])
+
+    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(unsqueeze(r["ctx"], r["n_ctx"], np.uint64).astype(np.int64)), pa.array(unsqueeze(r["la"], r["n_ctx"], np.float64))], names=["ctx", "la"])
+
+    for name, f, shape in (("grams", rows, "ctx long, tok int, lp double"), ("backoffs", weights, "ctx long, la double")):
+        solved.mapInArrow(f, shape).write.option("compression", "zstd").parquet(f"{folder}/{name}/ngram_order={order}")
+    model.grams, model.backoffs = (spark.read.parquet(f"{folder}/{name}") for name in ("grams", "backoffs"))
+    return model
 
 
 def evaluate(model: Model, grams: DataFrame, order: int) -> DataFrame:
@@ -205,19 +388,34 @@ def evaluate(model: Model, grams: DataFrame, order: int) -> DataFrame:
     return found.select("ctx", "tok", F.coalesce("own", F.coalesce("la", F.lit(0.0)) + F.col("low_lp")).alias("lp"))
 
 
-def score_blocks(model: Model, encoded: DataFrame, needs: DataFrame) -> DataFrame:
+def score_blocks(model: Model, corpus: Corpus) -> DataFrame:
     """One row a text: tokens with the end mark, log-probability and perplexity.
 
-    Each block receives the values of its own distinct n-grams; no table is held whole anywhere.
+    Each part answers every message with the values of its n-grams, and each block scores its texts with the answers; no
+    table is held whole anywhere.
     """
-    order, vocab = model.settings.order, model.vocab
-    values = evaluate(model, needs.select("ctx", "tok").distinct(), order)
-    values = needs.select("block", "ctx", "tok").join(values, ["ctx", "tok"]).select("block", F.shiftleft("ctx", 16).bitwiseOR(F.col("tok").cast("long")).alias("key"), "lp")
+    order, vocab = corpus.split.order, corpus.vocab
+
+    def answer(asked: pa.Table, part: pa.Table) -> pa.Table:
+        rows, names = part.to_pylist(), ["to", "n", "ngrams", "lp", "lp_at", "n_lp"]
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+        if not rows or not asked.num_rows:
+            return pa.table([pa.array([], k) for k in kinds], names=names)
+        key, lp = unsqueeze(rows[0]["ngrams"], rows[0]["n"], np.uint64), unsqueezed_floats(*(rows[0][c] for c in ("lp", "lp_at", "n_lp", "n")))
+        out = []
+        for block, n, own in zip(*(asked.column(c).to_pylist() for c in ("block", "n", "ngrams"))):
+            out.append((block, n, own, *squeezed_floats(lp[np.searchsorted(key, unsqueeze(own, n, np.uint64))])))
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+
+    solved = model.solved.select(F.col("part").alias("at"), "n", "ngrams", "lp", "lp_at", "n_lp")
+    answers = corpus.messages.select("part", "block", "n", "ngrams").groupBy("part").cogroup(solved.groupBy("at")).applyInArrow(answer, "to long, n long, ngrams binary, lp binary, lp_at binary, n_lp long")
 
     def run(texts: pa.Table, table: pa.Table) -> pa.Table:
-        known = table.column("key").to_numpy().view(np.uint64)
+        rows = table.to_pylist()
+        known = np.concatenate([unsqueeze(r["ngrams"], r["n"], np.uint64) for r in rows] or [np.zeros(0, np.uint64)])
+        lp = np.concatenate([unsqueezed_floats(r["lp"], r["lp_at"], r["n_lp"], r["n"]) for r in rows] or [np.zeros(0)])
         rank = np.argsort(known, kind="stable")
-        known, lp = known[rank], table.column("lp").to_numpy()[rank]
+        known, lp = known[rank], lp[rank]
         ids, blobs = texts.column("id").combine_chunks(), texts.column("ids").combine_chunks()
         total, length = [], []
         for part in runs(blobs):
@@ -227,7 +425,7 @@ def score_blocks(model: Model, encoded: DataFrame, needs: DataFrame) -> DataFram
         total, length = np.concatenate(total or [np.zeros(0)]), np.concatenate(length or [np.zeros(0, np.int64)])
         return pa.table([ids, pa.array(length), pa.array(total), pa.array(np.exp(-total / np.maximum(length, 1)))], names=["doc_id", "n_tokens", "log_prob", "perplexity"])
 
-    return encoded.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(run, SCHEMA)
+    return corpus.encoded.groupBy("block").cogroup(answers.groupBy("to")).applyInArrow(run, SCHEMA)
 
 
 def score_documents(
@@ -242,10 +440,8 @@ def score_documents(
     s = settings
     if not 1 <= s.order <= 4:
         raise ValueError("order must be from 1 to 4")
-    vocab = bytebpe.load(vocabulary).vocab
     rows = id_text(docs, id_col, text_col)
-    encoded = written(spark, blocks(rows, vocabulary), "encoded")
-    needs = written(spark, counted(encoded, s.order, vocab), "needs")
-    model = train(spark, needs, vocab, s)
+    corpus = count(spark, rows, vocabulary, s)
+    model = train(spark, corpus, s)
     blank = rows.where("text is null or text = ''").select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.lit(None).cast("double").alias("log_prob"), F.lit(None).cast("double").alias("perplexity"))
-    return score_blocks(model, encoded, needs).unionByName(blank)
+    return score_blocks(model, corpus).unionByName(blank)

@@ -4,9 +4,10 @@ from math import exp, isclose, log
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quillmere.llm import bytebpe, katz, queries, vocab
-from quillmere.llm._common import id_text, written
+from quillmere.llm._common import id_text
 
 BYTES = vocab.path("byte_bpe_50k.tiktoken")
 
@@ -69,7 +70,7 @@ def brute(texts, order, k=5, min_count=2):
 TEXTS = ["the cat sat on the mat", "the cat sat on the hat", "the dog sat on the mat the dog sat on the mat", "a cat", "", None, "Ünïcode the the the", "the cat sat on the mat"]
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_scores_equal_brute_force(spark, order):
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, tok string").repartition(2)
     got = {r.doc_id: r for r in katz.score_documents(spark, docs, BYTES, katz.Settings(order=order)).collect()}
@@ -86,15 +87,15 @@ def test_scores_equal_brute_force(spark, order):
         assert isclose(got[i].perplexity, exp(-want / got[i].n_tokens), rel_tol=1e-9)
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_every_context_sums_to_one(spark, order):
     enc = bytebpe.load(BYTES)
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
-    encoded = written(spark, katz.blocks(id_text(docs), BYTES), "t")
-    needs = written(spark, katz.counted(encoded, order, enc.vocab), "t")
-    model = katz.train(spark, needs, enc.vocab, katz.Settings(order=order))
+    s = katz.Settings(order=order)
+    model = katz.train(spark, katz.count(spark, id_text(docs), BYTES, s), s)
     the, cat = enc.encoding.encode_ordinary(" the")[0], enc.encoding.encode_ordinary(" cat")[0]
     contexts = [0] if order == 1 else [the, cat, 7, enc.vocab] if order == 2 else [(the << 16) + cat, (7 << 16) + the, (enc.vocab << 16) + enc.vocab]
+    contexts += [(enc.vocab << 32) + (the << 16) + cat] if order == 4 else []
     events = spark.range(enc.vocab + 2).where(f"id <> {enc.vocab}").selectExpr("cast(id as int) tok")
     for ctx in contexts:
         lp = katz.evaluate(model, events.selectExpr(f"{ctx}L ctx", "tok"), order).toPandas().lp
@@ -116,6 +117,36 @@ def test_keys_pad_and_mark():
     assert key.tolist() == [(10 << 16) + 5, (5 << 16) + 6, (6 << 16) + 11, (10 << 16) + 7, (7 << 16) + 11]
 
 
+def test_many_parts_give_the_same(spark, monkeypatch):
+    """Parts of a few tokens, so that frequent ones are salted, and blocks of a few texts."""
+    texts = [t for t in TEXTS if t] * 2 + ["the mat the cat the hat the dog the park", "on the on the on the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for order in (1, 2, 3, 4):
+        s = katz.Settings(order=order)
+        want = {r.doc_id: r.log_prob for r in katz.score_documents(spark, docs, BYTES, s).collect()}
+        monkeypatch.setattr(katz, "_PART", 9)
+        monkeypatch.setattr(katz, "_RUN", 4)
+        assert order == 1 or katz.count(spark, id_text(docs), BYTES, s).split.salts.max() > 1
+        got = {r.doc_id: r.log_prob for r in katz.score_documents(spark, docs, BYTES, s).collect()}
+        monkeypatch.undo()
+        assert set(got) == set(want) and all(isclose(got[i], want[i], rel_tol=1e-9) for i in want)
+
+
+def test_katz_awkward(spark):
+    """Null ids, repeated rows, a very long text, and columns that are called as ours."""
+    long = "the cat sat on the mat and " * 60_000
+    rows = [(None, "the cat sat"), (1, "the cat sat"), (1, "the cat sat"), (2, None), (3, ""), (4, long), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("ctx", "tok", "n", "block", "part", "id"):
+        df = df.withColumn(name, F.lit("x"))
+    got = katz.score_documents(spark, df, BYTES, katz.Settings(order=3, min_count=1)).collect()
+    assert sorted((r.doc_id, r.log_prob is None) for r in got if r.doc_id is not None) == [(1, False), (1, False), (2, True), (3, True), (4, False)]
+    assert [r.log_prob is None for r in sorted((r for r in got if r.doc_id is None), key=lambda r: r.n_tokens)] == [True, False]
+    p, v, enc = brute([t for _, t in rows], 3, min_count=1)
+    ids = [v, v, *enc.encoding.encode_ordinary(long), v + 1]
+    assert isclose(next(r.log_prob for r in got if r.doc_id == 4), sum(log(p(tuple(ids[k - 2 : k]), ids[k])) for k in range(2, len(ids))), rel_tol=1e-9)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert katz.score_documents(spark, docs, BYTES).collect() == []
