@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir
+
 
 def _apart(x: np.ndarray, rows, q: np.ndarray) -> np.ndarray:
     return ((x[rows] - q) ** 2).sum(axis=-1)
@@ -181,9 +183,7 @@ def reachable(edges: DataFrame, start: int) -> DataFrame:
     """``node``: all that can be reached from ``start``; a round for each step outward, each ended by a checkpoint."""
     spark = edges.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillmere-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     seen = front = spark.createDataFrame([(start,)], "node long")
     while True:
         front = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").checkpoint()

@@ -2,31 +2,86 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.porter2 import stem
 
 BLOCK = 256
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs`` over all cores where it is read from fewer files: a file of one row group would be one task's."""
+    cores, files = docs.sparkSession.sparkContext.defaultParallelism, docs.inputFiles()
+    return docs.repartition(cores) if 0 < len(files) < cores else docs
+
+
+def _ascii_runs(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Runs of a-z and 0-9 of lower-case texts, and how many each text has."""
+    n = len(texts)
+    _, offsets, data = texts.buffers()
+    if n == 0 or data is None:
+        return pa.array([], pa.string()), np.zeros(n, np.int64)
+    at = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + n + 1]
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]]
+    inside = np.zeros(len(raw) + 1, bool)
+    inside[:-1] = (raw >= 97) & (raw <= 122) | (raw >= 48) & (raw <= 57)
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    ends = at[1:-1] - at[0]  # a run doesn't go on in the next text
+    first[ends[inside[ends]]] = True
+    starts, outside = np.flatnonzero(first), np.flatnonzero(~inside)
+    stop = np.minimum(np.append(starts[1:], len(raw)), outside[np.searchsorted(outside, starts)])
+    gaps = np.empty(2 * len(starts) + 1, np.int32)  # runs and what lies between them take turns
+    gaps[0:-1:2], gaps[1::2], gaps[-1] = starts, stop, len(raw)
+    both = pa.StringArray.from_buffers(2 * len(starts), pa.py_buffer(gaps + at[0]), data)
+    return both.take(pa.array(np.arange(0, 2 * len(starts), 2))), np.diff(np.searchsorted(starts, at - at[0]))
+
+
 def postings(docs: DataFrame, profile: text.Profile = text.ASCII, id_col: str = "doc_id", text_col: str = "text", positions: bool = True) -> DataFrame:
-    """``term``, ``row_id``, ``tf`` and, if asked, the sorted ``positions``.
+    """``term``, ``row_id``, ``tf``, ``dl`` and, if asked, the sorted ``positions``.
 
-    One shuffle, by term and row; counts are combined before it. A filter on ``term`` is applied before it too.
+    A row holds a document, so its postings are made where it is, in Arrow batches, and nothing is shuffled. ``row_id``
+    must be unique. A null text has none.
     """
-    if profile.stemmer != "none":
-        found = text.tokens(docs, profile, id_col, text_col)
-        aggs = [F.count("*").cast("int").alias("tf")] + ([F.sort_array(F.collect_list("pos")).alias("positions")] if positions else [])
-        return found.groupBy("term", "row_id").agg(*aggs)
-    words = docs.select(F.col(id_col).alias("row_id"), text.words(F.col(text_col), profile).alias("words"))
-    if not positions:
-        return words.select("row_id", F.explode("words").alias("term")).groupBy("term", "row_id").agg(F.count("*").cast("int").alias("tf"))
-    rows = words.select("row_id", F.posexplode("words").alias("pos", "term"))
-    return rows.groupBy("term", "row_id").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    ascii_ = profile.tokenizer == "ascii" and not profile.stopwords
+    found = F.lower(F.col(text_col)) if ascii_ else text.words(F.col(text_col), profile)
+    schema = "term string, row_id long, tf int, dl int" + (", positions array<int>" if positions else "")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x for batch in batches for x in (batch.slice(a, 512) for a in range(0, batch.num_rows, 512))):
+            column = b.column("words")
+            if ascii_:
+                flat, counts = _ascii_runs(column.fill_null(""))
+            else:
+                flat, counts = column.flatten(), column.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+            coded = flat.dictionary_encode()
+            terms, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            if profile.stemmer == "english":
+                stemmed = pa.array([stem(w) for w in terms.to_pylist()], pa.string()).dictionary_encode()
+                terms, code = stemmed.dictionary, stemmed.indices.to_numpy(zero_copy_only=False).astype(np.int64)[code]
+            doc = np.repeat(np.arange(b.num_rows), counts)
+            begin = np.cumsum(counts) - counts
+            key = doc * max(1, len(terms)) + code
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            doc, code = doc[order[first]], code[order[first]]
+            sizes = np.diff(np.append(first, len(key)))
+            columns = [terms.take(pa.array(code)), b.column("row_id").cast(pa.int64()).take(pa.array(doc)), pa.array(sizes.astype(np.int32)), pa.array(counts[doc].astype(np.int32))]
+            if positions:
+                place = np.arange(len(order)) - np.repeat(begin, counts)
+                columns.append(pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(place[order].astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "row_id", "tf", "dl", "positions"][: len(columns)])
+
+    return docs.select(F.col(id_col).alias("row_id"), found.alias("words")).mapInArrow(run, schema)
 
 
 def doc_lengths(docs: DataFrame, profile: text.Profile = text.ASCII, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,22 +119,33 @@ def ordinals(table: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """A stored index; every field is a partition of its tables, so opening one reads only its files."""
+    """A stored index; every field is a partition of its tables, so opening one reads only its files.
+
+    ``postings`` are sorted by term and row in files that carry the terms' ranges and Bloom filters, so that a lookup
+    reads its term's row groups; ``terms`` (term, doc_freq, cf) and ``stats`` (n_docs, avdl) are kept beside them.
+    """
 
     spark: SparkSession
     path: str
 
     def add_field(self, docs: DataFrame, field: str, profile: text.Profile = text.ASCII, id_col: str = "doc_id", text_col: str = "text", positions: bool = True) -> None:
         """Analyze and store a field; a field that is there already is an error."""
-        post = postings(docs, profile, id_col, text_col, positions)
-        out = f"{self.path}/postings/field={field}"
-        post.repartition("term").sortWithinPartitions("term", "row_id").write.mode("errorifexists").option("parquet.bloom.filter.enabled#term", "true").parquet(out)
-        doc_lengths(docs, profile, id_col, text_col).write.mode("errorifexists").parquet(f"{self.path}/doc_lengths/field={field}")
+        docs = spread(docs)
+        self.add_postings(postings(docs, profile, id_col, text_col, positions), doc_lengths(docs, profile, id_col, text_col), field)
 
     def add_postings(self, post: DataFrame, lengths: DataFrame, field: str) -> None:
-        """Store a field from rows of term, row_id, tf (and positions), such as an import gives."""
-        post.repartition("term").sortWithinPartitions("term", "row_id").write.mode("errorifexists").parquet(f"{self.path}/postings/field={field}")
+        """Store a field from rows of term, row_id, tf (and positions), such as an import gives; ``dl`` is joined if it isn't there.
+
+        One shuffle, by term; a term that fills more than its share of a partition is split by the engine's rebalancing.
+        """
         lengths.write.mode("errorifexists").parquet(f"{self.path}/doc_lengths/field={field}")
+        lengths = self.doc_lengths(field)
+        if "dl" not in post.columns:
+            post = post.join(lengths.select("row_id", F.col("dl").cast("int").alias("dl")), "row_id")
+        rows = post.hint("rebalance", "term").sortWithinPartitions("term", "row_id")
+        rows.write.mode("errorifexists").option("parquet.bloom.filter.enabled#term", "true").option("parquet.block.size", 32 << 20).parquet(f"{self.path}/postings/field={field}")
+        terms(self.postings(field)).hint("rebalance", "term").sortWithinPartitions("term").write.parquet(f"{self.path}/terms/field={field}")
+        stats(lengths).write.parquet(f"{self.path}/stats/field={field}")
 
     def _table(self, name: str, field: str) -> DataFrame:
         from pyspark.errors import AnalysisException
@@ -95,6 +161,12 @@ class Index:
     def doc_lengths(self, field: str) -> DataFrame:
         return self._table("doc_lengths", field)
 
+    def terms(self, field: str) -> DataFrame:
+        return self._table("terms", field)
+
+    def stats(self, field: str) -> DataFrame:
+        return self._table("stats", field)
+
     def register(self, field: str, view: str) -> None:
         """The field as an SQL view (row_id, term, term_freq)."""
         self.postings(field).select(F.col("row_id").cast("long"), "term", F.col("tf").cast("int").alias("term_freq")).createOrReplaceTempView(view)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from .index import stats
+from .index import stats as stats_of
 
 
 def lookup(post: DataFrame, term: str) -> DataFrame:
@@ -20,22 +20,26 @@ def skip(post: DataFrame, term: str, target: int) -> DataFrame:
     return first.where("p is not null").select("p.*")
 
 
-def with_stats(post: DataFrame, lengths: DataFrame, terms: list[str]) -> DataFrame:
+def with_stats(post: DataFrame, lengths: DataFrame, terms: list[str], stats: DataFrame | None = None) -> DataFrame:
     """Postings of the terms with ``dl``, ``df``, ``n_docs`` and ``avdl``.
 
-    Document frequencies are one row a query term and the collection's statistics one row, so they are sent to every
-    executor; postings meet lengths on ``row_id``.
+    Document frequencies are one row a query term and the collection's statistics (``stats``, or made of ``lengths``) one
+    row, so they are sent to every executor. Postings that don't have their document's length meet it on ``row_id``.
     """
-    rows = post.where(F.col("term").isin(*terms)).select("term", "row_id", "tf")
-    dfs = rows.groupBy("term").agg(F.count("*").alias("df"))
-    return rows.join(lengths, "row_id").join(F.broadcast(dfs), "term").crossJoin(F.broadcast(stats(lengths)))
+    rows = post.where(F.col("term").isin(*terms))
+    rows = rows.select("term", "row_id", "tf", "dl") if "dl" in post.columns else rows.select("term", "row_id", "tf").join(lengths, "row_id")
+    dfs = post.where(F.col("term").isin(*terms)).groupBy("term").agg(F.count("*").alias("df"))
+    return rows.join(F.broadcast(dfs), "term").crossJoin(F.broadcast(stats_of(lengths) if stats is None else stats))
 
 
-def bm25(post: DataFrame, lengths: DataFrame, terms: list[str], profile: str = "plain") -> DataFrame:
+def bm25(post: DataFrame, lengths: DataFrame, terms: list[str], profile: str = "plain", stats: DataFrame | None = None) -> DataFrame:
     """``row_id``, ``score``: the sum over the query's terms of plain or quantized BM25; all matches."""
     formula = {"plain": scoring.bm25, "quantized": scoring.bm25_quantized}[profile]
-    rows = with_stats(post, lengths, terms)
-    return rows.groupBy("row_id").agg(F.sum(formula(F.col("tf"), F.col("dl"), F.col("df"), F.col("n_docs"), F.col("avdl"))).alias("score"))
+    rows = with_stats(post, lengths, terms, stats)
+    score = formula(F.col("tf"), F.col("dl"), F.col("df"), F.col("n_docs"), F.col("avdl"))
+    if len(set(terms)) == 1:  # a row has one posting of a term
+        return rows.select("row_id", score.alias("score"))
+    return rows.groupBy("row_id").agg(F.sum(score).alias("score"))
 
 
 def bm25_by_segment(post: DataFrame, lengths: DataFrame, term: str, segment) -> DataFrame:

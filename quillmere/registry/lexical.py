@@ -1,4 +1,4 @@
-"""Lexical queries. The index is built from ``documents`` with ASCII words."""
+"""Lexical queries over a stored index of ``documents`` (and two more fields) with ASCII words, built once a session and folder."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..operators import index, search
+from ..storage import new_folder, written
 from . import query, table
 
 TOK = """tok AS (SELECT doc_id AS row_id, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos
@@ -25,8 +26,33 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
+FIELDS = {"body": "documents", "benchmark": "benchmark", "conversations": "conversations"}
+_STORED: dict[tuple[str, str, str], index.Index] = {}
+
+
+def stored(spark: SparkSession, d: str, field: str = "body") -> index.Index:
+    """The index of the folder's table for ``field``, in the session's shared folder."""
+    key = (spark.sparkContext.applicationId, d, field)
+    if key not in _STORED:
+        ix = index.Index(spark, new_folder(spark, "index"))
+        rows = table(spark, d, FIELDS[field])
+        if field == "conversations":
+            rows = rows.withColumn("doc_id", F.col("conv_id") * 1_000_000 + F.col("turn"))
+        elif field == "benchmark":
+            rows = rows.withColumnRenamed("item_id", "doc_id")
+        ix.add_field(rows, field)
+        _STORED[key] = ix
+    return _STORED[key]
+
+
 def post(spark: SparkSession, d: str, positions: bool = False) -> DataFrame:
-    return index.postings(docs(spark, d), positions=positions)
+    rows = stored(spark, d).postings("body")
+    return rows.select("term", "row_id", "tf", "positions") if positions else rows.select("term", "row_id", "tf")
+
+
+def scored(spark: SparkSession, d: str, terms: list[str], profile: str = "plain") -> DataFrame:
+    ix = stored(spark, d)
+    return search.bm25(ix.postings("body"), ix.doc_lengths("body"), terms, profile, ix.stats("body"))
 
 
 def tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -34,7 +60,11 @@ def tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lengths(spark: SparkSession, d: str) -> DataFrame:
-    return index.doc_lengths(docs(spark, d))
+    return stored(spark, d).doc_lengths("body")
+
+
+def dictionary(spark: SparkSession, d: str) -> DataFrame:
+    return stored(spark, d).terms("body")
 
 
 @query("s2_scan", "SELECT doc_id, lang FROM documents WHERE lang = 'fr'")
@@ -49,7 +79,7 @@ def _(spark, d):
 
 @query("s4_dictionary", POST + " SELECT term, doc_freq, row_number() OVER (ORDER BY term COLLATE \"C\") - 1 AS ordinal FROM (SELECT term, count(*) AS doc_freq FROM post GROUP BY term)")
 def _(spark, d):
-    return index.ordinals(index.terms(post(spark, d)).select("term", "doc_freq")).select("term", "doc_freq", "ordinal")
+    return index.ordinals(dictionary(spark, d).select("term", "doc_freq")).select("term", "doc_freq", "ordinal")
 
 
 @query("s16_corpus_stride", "SELECT doc_id, text FROM documents WHERE doc_id % 4 = 0")
@@ -64,7 +94,7 @@ def _(spark, d):
 
 @query("p3_term_in", POST + " SELECT term, count(*) AS doc_freq FROM post WHERE term IN ('the', 'der', 'les') GROUP BY term")
 def _(spark, d):
-    return post(spark, d).where(F.col("term").isin("the", "der", "les")).groupBy("term").agg(F.count("*").alias("doc_freq"))
+    return dictionary(spark, d).where(F.col("term").isin("the", "der", "les")).select("term", "doc_freq")
 
 
 @query("p4_lookup_miss", POST + " SELECT row_id, tf FROM post WHERE term = 'giraffe'")
@@ -84,7 +114,7 @@ def _(spark, d):
 
 @query("p7_positions_for_doc", f"WITH {TOK} SELECT pos FROM tok WHERE term = 'the' AND row_id = 1")
 def _(spark, d):
-    return tokens(spark, d).where("term = 'the' and row_id = 1").select(F.col("pos").cast("long").alias("pos"))
+    return post(spark, d, True).where("term = 'the' and row_id = 1").select(F.explode(F.col("positions").cast("array<bigint>")).alias("pos"))
 
 
 @query("p14_stopwords", f"WITH {TOK} SELECT row_id, count(*) AS kept FROM tok WHERE term NOT IN ({', '.join(repr(w) for w in text.STOPWORDS)}) GROUP BY row_id")
@@ -116,7 +146,7 @@ def _(spark, d):
 
 @query("a2_doc_freq", POST + " SELECT term, count(*) AS doc_freq FROM post GROUP BY term")
 def _(spark, d):
-    return index.terms(post(spark, d)).select("term", "doc_freq")
+    return dictionary(spark, d).select("term", "doc_freq")
 
 
 @query("a3_doc_len", "SELECT doc_id AS row_id, CAST(len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS BIGINT) AS dl FROM documents")
@@ -126,17 +156,17 @@ def _(spark, d):
 
 @query("a4_collection", "SELECT count(*) AS n_docs, round(avg(len(regexp_extract_all(lower(text), '[a-z0-9]+'))), 6) AS avdl FROM documents")
 def _(spark, d):
-    return index.stats(lengths(spark, d)).select("n_docs", F.round("avdl", 6).alias("avdl"))
+    return stored(spark, d).stats("body").select("n_docs", F.round("avdl", 6).alias("avdl"))
 
 
 @query("a5_cf", POST + " SELECT term, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY term")
 def _(spark, d):
-    return index.terms(post(spark, d)).select("term", "cf")
+    return dictionary(spark, d).select("term", "cf")
 
 
 @query("a6_vocab", f"WITH {TOK} SELECT count(DISTINCT term) AS vocabulary, count(*) AS n_tokens FROM tok")
 def _(spark, d):
-    return tokens(spark, d).agg(F.count_distinct("term").alias("vocabulary"), F.count("*").alias("n_tokens"))
+    return dictionary(spark, d).agg(F.count("*").alias("vocabulary"), F.sum("cf").alias("n_tokens"))
 
 
 @query("a15_percentiles", "SELECT quantile_disc(l, 0.5) AS p50, quantile_disc(l, 0.9) AS p90, quantile_disc(l, 0.99) AS p99 FROM (SELECT n_chars AS l FROM documents)")
@@ -155,7 +185,7 @@ SELECT CAST(decile AS INTEGER) AS decile, count(*) AS n_terms, min(doc_freq) AS
   SELECT doc_freq, least(10, (row_number() OVER (ORDER BY doc_freq, term COLLATE "C") - 1) * 10 // (SELECT count(*) FROM t) + 1) AS decile FROM t) GROUP BY 1""")
 def _(spark, d):
     """Terms with the same frequency share a row of the histogram, so the deciles come from running sums over distinct frequencies, not from a sort of all terms."""
-    h = index.terms(post(spark, d)).groupBy("doc_freq").agg(F.count("*").alias("n"))
+    h = dictionary(spark, d).groupBy("doc_freq").agg(F.count("*").alias("n"))
     total = h.agg(F.sum("n").alias("total"))
     w = W.orderBy("doc_freq").rowsBetween(W.unboundedPreceding, W.currentRow)
     h = h.withColumn("until", F.sum("n").over(w)).crossJoin(F.broadcast(total))
@@ -177,11 +207,13 @@ def _(spark, d):
     return post(spark, d).select("term", "row_id", gap.alias("gap"))
 
 
-@query("w3_prefix", POST + " SELECT term, row_id, row_id AS decoded FROM post")
+@query("w3_prefix", POST + " SELECT term, tf, sum(tf) OVER (PARTITION BY term ORDER BY row_id) AS tokens_until, row_id FROM post")
 def _(spark, d):
-    order = W.partitionBy("term").orderBy("place")
-    gaps = placed(spark, d).withColumn("gap", F.col("row_id") - F.lag("row_id", 1, 0).over(order))
-    return gaps.select("term", "row_id", F.sum("gap").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("decoded"))
+    """Row ids from gaps that a table holds, by a running sum; and the term's occurrences so far."""
+    order = W.partitionBy("term").orderBy("row_id")
+    gaps = written(spark, placed(spark, d).select("term", "place", "tf", (F.col("row_id") - F.lag("row_id", 1, 0).over(order)).alias("gap")), "gaps")
+    until = W.partitionBy("term").orderBy("place").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return gaps.select("term", "tf", F.sum("tf").over(until).alias("tokens_until"), F.sum("gap").over(until).alias("row_id"))
 
 
 @query("w4_block_max", PLACED + " SELECT term, place // 256 AS block, max(row_id) AS block_max, count(*) AS n FROM placed GROUP BY term, place // 256")
@@ -204,13 +236,13 @@ def _(spark, d):
 
 @query("f10_idf", POST + LENGTHS + f" SELECT term, round({IDF}, 6) AS idf FROM (SELECT term, count(*) AS df FROM post GROUP BY term), st")
 def _(spark, d):
-    t = index.terms(post(spark, d)).crossJoin(F.broadcast(index.stats(lengths(spark, d))))
+    t = dictionary(spark, d).crossJoin(F.broadcast(stored(spark, d).stats("body")))
     return t.select("term", F.round(scoring.idf(F.col("doc_freq"), F.col("n_docs")), 6).alias("idf"))
 
 
 @query("f13_idf_positive", POST + LENGTHS + " SELECT term, round(ln(1 + (n_docs - df + 0.5) / (df + 0.5)), 6) AS idf FROM (SELECT term, count(*) AS df FROM post GROUP BY term), st")
 def _(spark, d):
-    t = index.terms(post(spark, d)).crossJoin(F.broadcast(index.stats(lengths(spark, d))))
+    t = dictionary(spark, d).crossJoin(F.broadcast(stored(spark, d).stats("body")))
     return t.select("term", F.round(scoring.idf_positive(F.col("doc_freq"), F.col("n_docs")), 6).alias("idf"))
 
 
@@ -226,22 +258,22 @@ BYTE4 = "(CASE WHEN dl < 24 THEN dl ELSE 24 + (((dl - 24) >> greatest(len(bin(dl
 
 @query("f11_bm25", _bm25_sql("p.term = 'the'") + " SELECT row_id, round(score, 6) AS score FROM scored")
 def _(spark, d):
-    return search.bm25(post(spark, d), lengths(spark, d), ["the"]).select("row_id", F.round("score", 6).alias("score"))
+    return scored(spark, d, ["the"]).select("row_id", F.round("score", 6).alias("score"))
 
 
 @query("o1_bm25_top10", _bm25_sql("p.term = 'the'") + " SELECT row_id, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, row_id LIMIT 10")
 def bm25_top10(spark, d):
-    return search.top(search.bm25(post(spark, d), lengths(spark, d), ["the"]), 10).select("row_id", F.round("score", 6).alias("score"))
+    return search.top(scored(spark, d, ["the"]), 10).select("row_id", F.round("score", 6).alias("score"))
 
 
 @query("f12_bm25_multi", _bm25_sql(f"p.term IN ({', '.join(map(repr, TERMS))})") + " SELECT row_id, round(score, 6) AS score FROM scored")
 def _(spark, d):
-    return search.bm25(post(spark, d), lengths(spark, d), TERMS).select("row_id", F.round("score", 6).alias("score"))
+    return scored(spark, d, TERMS).select("row_id", F.round("score", 6).alias("score"))
 
 
 @query("f14_quantized", _bm25_sql("p.term = 'the'", "ln(1 + (n_docs - df + 0.5) / (df + 0.5))", BYTE4) + " SELECT row_id, round(score, 6) AS score FROM scored")
 def _(spark, d):
-    return search.bm25(post(spark, d), lengths(spark, d), ["the"], "quantized").select("row_id", F.round("score", 6).alias("score"))
+    return scored(spark, d, ["the"], "quantized").select("row_id", F.round("score", 6).alias("score"))
 
 
 @query("f15_byte4", f"WITH dls AS (SELECT doc_id AS row_id, CAST(len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS BIGINT) AS dl FROM documents) SELECT row_id, dl, {BYTE4} AS quantized FROM dls")
@@ -279,15 +311,16 @@ def _(spark, d):
 
 @query("h4_bm25_rowid", _bm25_sql("p.term = 'and'") + " SELECT row_id + 1000000 AS row_id, round(score, 6) AS score FROM scored")
 def _(spark, d):
-    found = search.bm25(post(spark, d), lengths(spark, d), ["and"])
+    found = scored(spark, d, ["and"])
     return found.select((F.col("row_id") + 1_000_000).alias("row_id"), F.round("score", 6).alias("score"))
 
 
 @query("s5_open_field", """SELECT 'conversations' AS field, count(DISTINCT term) AS vocabulary FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM conversations)
 UNION ALL SELECT 'benchmark', count(DISTINCT term) FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark)""")
 def _(spark, d):
-    parts = [table(spark, d, n).select(F.lit(n).alias("field"), F.explode(text.ascii_words(F.col("text"))).alias("term")) for n in ("conversations", "benchmark")]
-    return parts[0].union(parts[1]).groupBy("field").agg(F.count_distinct("term").alias("vocabulary"))
+    """Each field is opened by its name; its dictionary has a row a term."""
+    parts = [stored(spark, d, n).terms(n).agg(F.lit(n).alias("field"), F.count("*").alias("vocabulary")) for n in ("conversations", "benchmark")]
+    return parts[0].union(parts[1])
 
 
 @query("f4_stem")

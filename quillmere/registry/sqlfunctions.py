@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import sql
 from ..operators import graph
 from ..plans.table import Table
+from ..storage import new_folder
 from . import lexical, query, table
 from .vectors import BASE, l2
 
@@ -74,13 +73,7 @@ def _(spark, d):
 @query("m1_commits", "SELECT doc_id AS row_id FROM documents WHERE doc_id % 7 <> 0")
 def _(spark, d):
     """Two appends, a deletion and a read of a table in the session's shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="quillmere-")
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/table-{uuid.uuid4().hex}")
-    t = Table.open(spark, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString())
+    t = Table.open(spark, new_folder(spark, "table"))
     t.create(keep_last=1)
     docs = table(spark, d, "documents").select("doc_id")
     half = docs.count() // 2

@@ -229,7 +229,7 @@ def _(spark, d):
 
 def hybrid(spark, d, keep=None):
     """BM25 top 100 and vector top 100 over the same row ids, fused."""
-    words, near = search.bm25(lexical.post(spark, d), lexical.lengths(spark, d), ["of"]), ann.exact(vecs(spark, d), asked(spark, d))
+    words, near = lexical.scored(spark, d, ["of"]), ann.exact(vecs(spark, d), asked(spark, d))
     if keep is not None:
         words, near = words.where(keep), near.where(keep)
     a = fusion.ranked(search.top(words, 100), 0, F.desc("score"), "row_id")
