@@ -49,6 +49,7 @@ class Model:
     grams: DataFrame
     backoffs: DataFrame | None
     solved: DataFrame | None = None
+    factor: np.ndarray | None = None  # of the longest order's counts
 
 
 def blocks(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -122,14 +123,30 @@ def unsqueeze(blob: bytes, n: int, kind) -> np.ndarray:
     return np.frombuffer(pa.decompress(blob, n * kind.itemsize, "zstd", asbytes=True), kind)
 
 
-def squeezed_floats(values: np.ndarray) -> tuple[bytes, bytes, int]:
-    """Few distinct values as a table of them and places in it."""
-    distinct, place = np.unique(values, return_inverse=True)
-    return squeeze(distinct), squeeze(place.astype(np.uint32)), len(distinct)
+def squeezed_counts(values: np.ndarray) -> bytes:
+    """Counts in as few bytes as the largest needs, told by the first byte."""
+    kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if not len(values) or values.max() <= np.iinfo(k).max)
+    return kind[2].encode() + squeeze(values.astype(kind))
 
 
-def unsqueezed_floats(table: bytes, places: bytes, distinct: int, n: int) -> np.ndarray:
-    return unsqueeze(table, distinct, np.float64)[unsqueeze(places, n, np.uint32)]
+def unsqueezed_counts(blob: bytes, n: int) -> np.ndarray:
+    return unsqueeze(blob[1:], n, f"<u{blob[:1].decode()}").astype(np.int64)
+
+
+#: Columns that hold the values of n-grams: the count of one that has a probability of its own, else 0, and the total of its context, and the logarithms of the others.
+VALUES = ("c", "total", "rest")
+
+
+def values(row: dict, factor: np.ndarray) -> np.ndarray:
+    """Logarithms of the probabilities of a row's n-grams."""
+    c, total = (unsqueezed_counts(row[x], row["n"]) for x in ("c", "total"))
+    lp = np.log(np.where(c, c * factor[np.minimum(c, len(factor) - 1)], 1.0) / total)
+    lp[c == 0] = unsqueeze(row["rest"], int((c == 0).sum()), np.float64)
+    return lp
+
+
+def put(c: np.ndarray, total: np.ndarray, lp: np.ndarray) -> dict[str, bytes]:
+    return {"c": squeezed_counts(c), "total": squeezed_counts(total), "rest": squeeze(lp[c == 0])}
 
 
 @dataclass(frozen=True)
@@ -278,7 +295,7 @@ def _tables(spark: SparkSession, top: DataFrame, vocab: int, highest: int, s: Se
     return model, lower
 
 
-SOLVED = "part long, n long, ngrams binary, kept binary, lp binary, lp_at binary, n_lp long, n_ctx long, ctx binary, la binary"
+SOLVED = "part long, n long, ngrams binary, c binary, total binary, rest binary, n_ctx long, ctx binary, la binary"
 
 
 def train(spark: SparkSession, corpus: Corpus, settings: Settings = Settings()) -> Model:
@@ -310,22 +327,22 @@ def train(spark: SparkSession, corpus: Corpus, settings: Settings = Settings())
 
     def solve(row: dict, low_key: np.ndarray, low_lp: np.ndarray) -> pa.Table:
         key, c = unsqueeze(row["ngrams"], row["n"], np.uint64), unsqueeze(row["counts"], row["n"], np.int64)
-        low_lp = low_lp[np.searchsorted(low_key, key & mask)]
-        kept, lp, ctx, la = np.ones(len(key), bool), low_lp, np.zeros(0, np.uint64), np.zeros(0)
+        lp = low_lp = low_lp[np.searchsorted(low_key, key & mask)]
+        own, total, ctx, la = np.zeros(len(key), np.int64), np.ones(len(key), np.int64), np.zeros(0, np.uint64), np.zeros(0)
         if order > 1:
             kept = c >= least
+            own = np.where(kept, c, 0)
             first = np.flatnonzero(np.diff(key >> np.uint64(16), prepend=np.uint64(1 << 63)))
             of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
-            worth = np.where(kept, c * factor[np.minimum(c, s.discounted + 1)], 0.0)
+            worth = own * factor[np.minimum(c, s.discounted + 1)]
             total, mass = np.add.reduceat(c, first), np.add.reduceat(worth, first)
-            p = worth / np.where(mass >= total, total + 1, total)[of]
-            used, low_used = np.add.reduceat(p, first), np.add.reduceat(np.where(kept, np.exp(low_lp), 0.0), first)
+            total = np.where(mass >= total, total + 1, total)[of]
+            used, low_used = np.add.reduceat(worth / total, first), np.add.reduceat(np.where(kept, np.exp(low_lp), 0.0), first)
             some = np.logical_or.reduceat(kept, first)
             weight = np.where(some, np.log(np.maximum(1 - used, 1e-300) / np.maximum(1 - low_used, 1e-300)), 0.0)
-            lp = np.where(kept, np.log(np.where(kept, p, 1.0)), weight[of] + low_lp)
+            lp = weight[of] + low_lp
             ctx, la = (key[first] >> np.uint64(16))[some], weight[some]
-        table, at, n_lp = squeezed_floats(lp)
-        out = {"part": row["part"], "n": row["n"], "ngrams": row["ngrams"], "kept": squeeze(kept), "lp": table, "lp_at": at, "n_lp": n_lp, "n_ctx": len(ctx), "ctx": squeeze(ctx), "la": squeeze(la)}
+        out = {"part": row["part"], "n": row["n"], "ngrams": row["ngrams"]} | put(own, total, lp) | {"n_ctx": len(ctx), "ctx": squeeze(ctx), "la": squeeze(la)}
         return pa.table({k: [v] for k, v in out.items()})
 
     grams = corpus.grams.select("part", "n", "ngrams", "counts")
@@ -354,15 +371,15 @@ def train(spark: SparkSession, corpus: Corpus, settings: Settings = Settings())
         placed = lower.select("ctx", "tok", "lp").mapInArrow(place, "at long, low long, lp double")
         solved = grams.groupBy("part").cogroup(placed.groupBy("at")).applyInArrow(meet, SOLVED)
     solved = written(spark, solved, "solved")
-    model.solved = solved
+    model.solved, model.factor = solved, factor
     if order == 1:
         return model
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                key, kept = unsqueeze(r["ngrams"], r["n"], np.uint64), unsqueeze(r["kept"], r["n"], bool)
-                key, lp = key[kept], unsqueezed_floats(r["lp"], r["lp_at"], r["n_lp"], r["n"])[kept]
+                kept = unsqueezed_counts(r["c"], r["n"]) > 0
+                key, lp = unsqueeze(r["ngrams"], r["n"], np.uint64)[kept], values(r, factor)[kept]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in ((key >> np.uint64(16)).astype(np.int64), (key & np.uint64(0xFFFF)).astype(np.int32), lp)], names=["ctx", "tok", "lp"])
 
     def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,26 +411,28 @@ def score_blocks(model: Model, corpus: Corpus) -> DataFrame:
     Each part answers every message with the values of its n-grams, and each block scores its texts with the answers; no
     table is held whole anywhere.
     """
-    order, vocab = corpus.split.order, corpus.vocab
+    order, vocab, factor = corpus.split.order, corpus.vocab, model.factor
 
     def answer(asked: pa.Table, part: pa.Table) -> pa.Table:
-        rows, names = part.to_pylist(), ["to", "n", "ngrams", "lp", "lp_at", "n_lp"]
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+        rows, names = part.to_pylist(), ["to", "n", "ngrams", *VALUES]
+        kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
         if not rows or not asked.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names=names)
-        key, lp = unsqueeze(rows[0]["ngrams"], rows[0]["n"], np.uint64), unsqueezed_floats(*(rows[0][c] for c in ("lp", "lp_at", "n_lp", "n")))
+        (row,) = rows
+        key, c, total, lp = unsqueeze(row["ngrams"], row["n"], np.uint64), unsqueezed_counts(row["c"], row["n"]), unsqueezed_counts(row["total"], row["n"]), values(row, factor)
         out = []
-        for block, n, own in zip(*(asked.column(c).to_pylist() for c in ("block", "n", "ngrams"))):
-            out.append((block, n, own, *squeezed_floats(lp[np.searchsorted(key, unsqueeze(own, n, np.uint64))])))
+        for block, n, own in zip(*(asked.column(x).to_pylist() for x in ("block", "n", "ngrams"))):
+            at = np.searchsorted(key, unsqueeze(own, n, np.uint64))
+            out.append((block, n, own, *put(c[at], total[at], lp[at]).values()))
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    solved = model.solved.select(F.col("part").alias("at"), "n", "ngrams", "lp", "lp_at", "n_lp")
-    answers = corpus.messages.select("part", "block", "n", "ngrams").groupBy("part").cogroup(solved.groupBy("at")).applyInArrow(answer, "to long, n long, ngrams binary, lp binary, lp_at binary, n_lp long")
+    solved = model.solved.select(F.col("part").alias("at"), F.col("n").alias("n"), F.col("ngrams").alias("ngrams"), *VALUES)
+    answers = corpus.messages.select("part", "block", "n", "ngrams").groupBy("part").cogroup(solved.groupBy("at")).applyInArrow(answer, "to long, n long, ngrams binary, c binary, total binary, rest binary")
 
     def run(texts: pa.Table, table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         known = np.concatenate([unsqueeze(r["ngrams"], r["n"], np.uint64) for r in rows] or [np.zeros(0, np.uint64)])
-        lp = np.concatenate([unsqueezed_floats(r["lp"], r["lp_at"], r["n_lp"], r["n"]) for r in rows] or [np.zeros(0)])
+        lp = np.concatenate([values(r, factor) for r in rows] or [np.zeros(0)])
         rank = np.argsort(known, kind="stable")
         known, lp = known[rank], lp[rank]
         ids, blobs = texts.column("id").combine_chunks(), texts.column("ids").combine_chunks()
