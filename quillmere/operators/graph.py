@@ -88,21 +88,36 @@ def build_shards(vectors: DataFrame, degree: int = 16, width: int = 32, alpha: f
     return vectors.select("shard", "row_id", F.col("vec").cast("array<double>").alias("vec")).groupBy("shard").applyInPandas(one, "shard long, node long, vec array<double>, neighbors array<long>, entry long")
 
 
-def search_shards(nodes: DataFrame, queries: pd.DataFrame, k: int, width: int) -> DataFrame:
-    """``query_id``, ``row_id``, ``dist``: every query walks every shard's graph; the best of all shards are kept."""
-    from pyspark.sql import Window as W
+def search_shards(nodes: DataFrame, queries: DataFrame | pd.DataFrame, k: int, width: int, deletes: DataFrame | None = None, shards: int | None = None) -> DataFrame:
+    """``query_id``, ``row_id``, ``dist``: every query walks every shard's graph; the best of all shards are kept.
 
-    asked = [(int(i), np.array(v, float)) for i, v in zip(queries.query_id, queries.vec)]
+    Walks pass through rows of ``deletes``, which then take no place. ``shards`` is their number where it is known.
+    """
+    from pyspark.sql import Window as W
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node", ignore_index=True)
-        x, ids = np.stack(pdf.vec.to_numpy()), pdf.node.to_numpy()
-        graph = [np.searchsorted(ids, g) for g in pdf.neighbors]
-        start = int(np.searchsorted(ids, pdf.entry[0]))
-        rows = [(qid, ids[i], float(_apart(x, i, q))) for qid, q in asked for i in greedy_search(x, graph, start, q, k, width)[0]]
-        return pd.DataFrame(rows, columns=["query_id", "row_id", "dist"])
-
-    found = nodes.groupBy("shard").applyInPandas(one, "query_id long, row_id long, dist double")
+    if isinstance(queries, pd.DataFrame):
+        queries = nodes.sparkSession.createDataFrame([(int(i), [float(x) for x in v]) for i, v in zip(queries.query_id, queries.vec)], "query_id long, vec array<double>")
+    shards = shards or (nodes.agg(F.max("shard")).first()[0] or 0) + 1
+    asks = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vec").cast("array<double>").alias("asked"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("at"))
+    if deletes is None:
+        rows = nodes.withColumn("gone", F.lit(False))
+    else:
+        rows = nodes.join(deletes.select(F.col("row_id").alias("node"), F.lit(True).alias("gone")).distinct(), "node", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+
+    def one(pdf: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(pdf):
+            pdf = pdf.sort_values("node", ignore_index=True)
+            x, ids, gone = np.stack(pdf.vec.to_numpy()), pdf.node.to_numpy(), pdf.gone.to_numpy()
+            graph = [np.searchsorted(ids, g) for g in pdf.neighbors]
+            start = int(np.searchsorted(ids, pdf.entry[0]))
+            for name, q in zip(asked.query_id, asked.asked):
+                met = [i for i in greedy_search(x, graph, start, np.asarray(q), max(k, width), width)[0] if not gone[i]][:k]
+                found += [(name, ids[i], float(_apart(x, i, q))) for i in met]
+        return pd.DataFrame(found, columns=["query_id", "row_id", "dist"])
+
+    rows = rows.select(F.col("shard").cast("long").alias("shard"), "node", "vec", "neighbors", "entry", "gone")
+    found = rows.groupBy("shard").cogroup(asks.groupBy("at")).applyInPandas(one, "query_id long, row_id long, dist double")
     place = F.row_number().over(W.partitionBy("query_id").orderBy("dist", "row_id"))
     return found.withColumn("place", place).where(F.col("place") <= k).drop("place")
 

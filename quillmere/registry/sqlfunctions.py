@@ -60,14 +60,12 @@ def _(spark, d):
 @query("p12_graph_deleted")
 def _(spark, d):
     """Walks go through deleted nodes; only the result leaves them out."""
-    import pandas as pd
-
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec"))
-    n = rows.count()
-    nodes = graph.build_shards(rows.withColumn("shard", F.pmod(F.xxhash64("row_id"), F.lit(max(1, n // 250)))))
-    asked = pd.DataFrame({"query_id": [0], "vec": [[float(x) for x in rows.where("row_id = 0").first().vec]]})
-    found = graph.search_shards(nodes, asked, 20, 40)
-    return found.join(rows.where("row_id % 7 = 0").select("row_id"), "row_id", "left_anti").select("query_id", "row_id", "dist")
+    shards = max(1, rows.count() // 250)
+    nodes = graph.build_shards(rows.withColumn("shard", F.pmod(F.xxhash64("row_id"), F.lit(shards))))
+    asked = rows.where("row_id % 50 = 0").withColumnRenamed("row_id", "query_id")
+    gone = rows.where("row_id % 7 = 0").select("row_id")
+    return graph.search_shards(nodes, asked, 10, 40, deletes=gone, shards=shards)
 
 
 @query("m1_commits", "SELECT doc_id AS row_id FROM documents WHERE doc_id % 7 <> 0")

@@ -1,12 +1,16 @@
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quillmere import registry
 from quillmere.functions import rabitq
-from quillmere.operators import ann, fusion, graph, search
+from quillmere.operators import ann, fusion, graph, search, vector_index
 from quillmere.operators.index import doc_lengths, postings
 
+DATA = os.environ.get("QUILLMERE_TESTDATA", "/root/testdata/sf0.001")
 X = np.array([[4, -8, 14, 2, -6, 8, -1, 16]]) / 4
 C = np.array([1, -2, 4, 2, -2, 3, 0, 6]) / 2
 
@@ -188,3 +192,77 @@ def test_sql_functions(spark):
     vectors = "array(array(0D,0D),array(1D,0D),array(0D,1D),array(1D,1D),array(2D,2D))"
     edges = "array(array(1,2),array(0,3),array(3,0),array(1,4),array(3))"
     assert [r.node for r in spark.sql(f"SELECT node FROM greedy_search({vectors}, {edges}, 0, array(0.9D, 0.1D), 1, 2)").collect()] == [1]
+
+
+@pytest.fixture(scope="module")
+def indexed(spark, clustered, tmp_path_factory):
+    x, vecs, centroids = clustered
+    return vector_index.VectorIndex.build(spark, str(tmp_path_factory.mktemp("vectors")), vecs, centroids, replicas=2, part=30)
+
+
+def nearest_of_all(x, asked, k, leave_out=()):
+    x = x.astype(np.float32).astype(float)
+    out = {}
+    for q in asked:
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        out[q] = [i for i in np.lexsort((np.arange(len(x)), d)).tolist() if i != q and i not in leave_out][:k]
+    return out
+
+
+def places(df):
+    out = {}
+    for r in df.orderBy("query_id", "place").collect():
+        out.setdefault(r.query_id, []).append(r.row_id)
+    return out
+
+
+def test_stored_index_searches_all_rows(spark, clustered, indexed):
+    x, vecs, _ = clustered
+    asked = vecs.where("row_id % 50 = 0").withColumnRenamed("row_id", "query_id")
+    names = range(0, 400, 50)
+    want = nearest_of_all(x, names, 10)
+    assert places(vector_index.exact(vecs, asked, 10, others=True)) == want
+    assert indexed.lists().groupBy("row_id").count().where("count <> 2").count() == 0 and indexed._table("sizes").agg(F.max("parts")).first()[0] > 1
+    assert places(indexed.search(asked, 10, probes=1.0, others=True)) == want
+    gone = vecs.where("row_id % 3 = 0").select("row_id")
+    assert places(indexed.search(asked, 10, probes=1.0, deletes=gone, others=True)) == nearest_of_all(x, names, 10, set(range(0, 400, 3)))
+    assert places(indexed.search(asked, 500, probes=1.0)) == {q: [q, *n] for q, n in nearest_of_all(x, names, 400).items()}
+    share = indexed.needed(vecs, 10)
+    got = places(indexed.search(asked, 10, probes=share, others=True))
+    assert 0 < share <= 1 and sum(len(set(got[q]) & set(want[q])) for q in names) >= 0.9 * 80
+    assert vector_index.VectorIndex(spark, indexed.path).options == indexed.options and indexed.options.replicas == 2
+    assert indexed.search(asked.where("false"), 10).collect() == []
+
+
+@pytest.mark.parametrize("bits", [1, 4])
+def test_stored_codes_keep_the_nearest(spark, clustered, tmp_path, bits):
+    x, vecs, centroids = clustered
+    ix = vector_index.VectorIndex.build(spark, str(tmp_path / "ix"), vecs, centroids, bits=bits)
+    asked = vecs.where("row_id % 50 = 0").withColumnRenamed("row_id", "query_id")
+    found = ix.scan(asked, 11, probes=1.0)
+    rows = found.collect()
+    apart = ((x.astype(np.float32)[[r.query_id for r in rows]].astype(float) - x.astype(np.float32)[[r.row_id for r in rows]]) ** 2).sum(axis=1)
+    inside = [r.lower_bound - 1e-6 <= d <= r.upper_bound + 1e-6 for r, d in zip(rows, apart)]
+    assert np.mean(inside) > 0.9 and len(rows) < 8 * 400
+    got, want = places(ix.rerank(found, vecs, asked, 10, others=True)), nearest_of_all(x, range(0, 400, 50), 10)
+    assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.95 * 80
+
+
+def test_probed_lists_are_pushed_to_the_scan(indexed):
+    plan = indexed.lists([1, 2])._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(cid, [1,2])]" in plan or "PushedFilters: [In(cid" in plan
+
+
+@pytest.mark.parametrize("name", ["v5_ivf", "j4_rerank", "o3_candidates_ranked", "p12_graph_deleted"])
+def test_recall_over_every_50th_row(spark, name):
+    if not os.path.isdir(DATA):
+        pytest.skip("no test tables")
+    registry.load()
+    rows = spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", "embedding").toPandas().sort_values("vec_id")
+    x = np.stack(rows.embedding.to_numpy())
+    gone = set(range(0, len(x), 7)) if name == "p12_graph_deleted" else set()
+    want = nearest_of_all(x, range(0, len(x), 50), 10, gone)
+    got = {}
+    for r in registry.QUERIES[name](spark, DATA).collect():
+        got.setdefault(r.query_id, set()).add(r.row_id)
+    assert set(got) == set(want) and sum(len(got[q] & set(want[q])) for q in want) >= 0.9 * 10 * len(want)
