@@ -99,8 +99,8 @@ def test_ids_and_texts_equal_the_library():
     assert own.encode_batch(pa.array([], pa.string()))[0].tolist() == []
 
 
-def unigram(pieces, fallback):
-    """A model file of a unigram model: pieces with scores."""
+def unigram(pieces, fallback, own=(), charsmap=b"", kind=1, trim=False):
+    """A model file: pieces with scores, user-defined ones, and a character map."""
     import struct
 
     def varint(n):
@@ -120,8 +120,19 @@ def unigram(pieces, fallback):
     if fallback:
         out += b"".join(piece(f"<0x{b:02X}>", 0, 6) for b in range(256))
     out += b"".join(piece(t, s, 1) for t, s in pieces)
-    trainer = field(3, 1) + (field(35, 1) if fallback else b"")
-    return out + field(2, trainer) + field(3, field(1, b"identity") + field(3, 1) + field(4, 0) + field(5, 1))
+    out += b"".join(piece(t, 0, 4) for t in own)
+    trainer = field(3, kind) + (field(35, 1) if fallback else b"")
+    return out + field(2, trainer) + field(3, field(1, b"identity") + (field(2, charsmap) if charsmap else b"") + field(3, 1) + field(4, int(trim)) + field(5, 1))
+
+
+def merges(chars, n, draw):
+    """Pieces of a BPE model: each joins two earlier ones, and is merged after them."""
+    made = list(chars)
+    while len(made) < len(chars) + n:
+        t = draw.choice(made) + draw.choice(made)
+        if len(t) <= 5 and t not in made:
+            made.append(t)
+    return [(t, -1000.0 - k if k < len(chars) else float(len(chars) - k)) for k, t in enumerate(made)]
 
 
 @pytest.mark.parametrize("fallback", [False, True])
@@ -137,6 +148,44 @@ def test_unigram_shortest_path_equals_the_library(tmp_path, fallback):
         assert own.encode(t) == w, repr(t)
 
 
+def test_character_map_equals_the_library(tmp_path):
+    import sentencepiece
+
+    spec = dict(sentencepiece_fst._fields(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()))
+    charsmap = dict(sentencepiece_fst._fields(spec[3]))[2]
+    draw = random.Random(6)
+    pieces = {c: draw.uniform(-9, -5) for c in "▁abcdeéfi1"} | {"".join(draw.choice("▁abcdei1") for _ in range(draw.randint(2, 4))): draw.uniform(-9, -2) for _ in range(60)}
+    many = ["".join(draw.choice(["a", "b", "ﬁ", "①", "é", "e\u0301", "Ａ", "ｂ", " ", "\u3000", "\t", "\u200b", "ｶﾞ", "ⅷ", "ｱ", "\xa0", "日", "c"]) for _ in range(draw.randint(0, 25))) for _ in range(600)]
+    for kind in (1, 2):
+        path = tmp_path / f"m{kind}"
+        path.write_bytes(unigram(sorted(pieces.items()) if kind == 1 else merges("▁abcdeéfi1", 60, draw), True, charsmap=charsmap, kind=kind, trim=True))
+        own, ref = sentencepiece_fst.load(str(path)), sentencepiece.SentencePieceProcessor(model_file=str(path))
+        ids, at = own.encode_batch(pa.array(many))
+        for k, (t, w) in enumerate(zip(many, ref.encode(many))):
+            assert own.encode(t) == w == ids[at[k] : at[k + 1]].tolist(), repr(t)
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+def test_user_defined_pieces_equal_the_library(tmp_path, kind):
+    import sentencepiece
+
+    draw = random.Random(7)
+    pieces = {c: draw.uniform(-9, -5) for c in "▁abcde"} | {"".join(draw.choice("▁abcde") for _ in range(draw.randint(2, 4))): draw.uniform(-9, -2) for _ in range(60)}
+    pieces = sorted(pieces.items()) if kind == 1 else merges("▁abcde", 60, draw)
+    own_pieces = [t for t in ("[x]", "ab", "abc", "d▁d") if t not in dict(pieces)]
+    path = tmp_path / "m"
+    path.write_bytes(unigram(pieces, True, own=own_pieces, kind=kind))
+    own, ref = sentencepiece_fst.load(str(path)), sentencepiece.SentencePieceProcessor(model_file=str(path))
+    many = ["".join(draw.choice(["a", "b", "c", "d", "e", " ", "[x]", "ab", "z"]) for _ in range(draw.randint(0, 20))) for _ in range(500)]
+    for t, w in zip(many, ref.encode(many)):
+        assert own.encode(t) == w, repr(t)
+
+
+def test_a_model_that_merges_before_its_parts_is_refused():
+    with pytest.raises(ValueError, match="merged before"):
+        sentencepiece_fst.Transducer(unigram([("a", -9), ("b", -9), ("ab", -3), ("aba", -2)], True, kind=2))
+
+
 def test_encode_awkward(spark):
     rows = [(1, "a b"), (1, "a b"), (2, None), (3, ""), (None, "x"), (4, LONG), (5, "  two  spaces\n\n"), (6, "日本 \x00 🎉")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit("x")).withColumn("n_ids", F.lit(0)).repartition(3)
