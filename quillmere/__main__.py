@@ -44,10 +44,9 @@ def main(args: list[str] | None = None) -> int:
             f.write(puffin.write(gone, segment.path))
     else:
         fates = Table.open(spark, a.table).sweep(not a.delete, a.window_millis if a.window_millis is not None else lifecycle.THREE_DAYS)
-        for fate, keys in fates.items():
-            print(fate, len(keys))
-            for key in keys if fate == "orphan" else ():
-                print(" ", key)
+        fates.groupBy("fate").count().show()
+        for r in fates.where("fate = 'orphan'").orderBy("key").toLocalIterator():
+            print(" ", r.key)
     return 0
 
 

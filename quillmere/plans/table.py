@@ -7,24 +7,57 @@ a race only takes a new range and writes no data again.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import time
 import uuid
-from collections.abc import Callable
-from dataclasses import asdict, dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import asdict, dataclass, field, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import written
 from . import lifecycle
 
 
 class Conflict(Exception):
-    """The object is there already."""
+    """The object is there already, or isn't what it was."""
 
 
-class LocalStore:
+def tag(data: bytes | None) -> str | None:
+    """What ``put_if_match`` knows an object's contents by; None for none."""
+    return None if data is None else hashlib.sha256(data).hexdigest()
+
+
+class Store:
+    """Objects below a root. ``_create`` puts a whole object where nothing is, or raises ``Conflict``; ``_replace`` puts one where one is."""
+
+    def put_if_absent(self, key: str, data: bytes) -> None:
+        self._create(key, data)
+
+    def put_if_match(self, key: str, data: bytes, expected: str | None) -> None:
+        """Replace an object whose ``tag`` is ``expected`` (None: that isn't there), else ``Conflict``.
+
+        Writers of one key take turns by a lock object; one who dies holding it leaves it to be removed by hand.
+        """
+        if expected is None:
+            return self._create(key, data)
+        lock = f"{key}.lock"
+        self._create(lock, b"")
+        try:
+            if tag(self.get(key)) != expected:
+                raise Conflict(key)
+            self._replace(key, data)
+        finally:
+            self.delete(lock)
+
+
+class LocalStore(Store):
     """Objects as files of a local or mounted folder; exclusive creation by the operating system."""
 
     def __init__(self, root: str):
@@ -40,7 +73,7 @@ class LocalStore:
         except FileNotFoundError:
             return None
 
-    def put_if_absent(self, key: str, data: bytes) -> None:
+    def _staged(self, key: str, data: bytes) -> tuple[str, str]:
         path = self._path(key)
         os.makedirs(os.path.dirname(path), exist_ok=True)
         temporary = f"{path}.{uuid.uuid4().hex}.tmp"
@@ -48,6 +81,13 @@ class LocalStore:
             f.write(data)
             f.flush()
             os.fsync(f.fileno())
+        return temporary, path
+
+    def _replace(self, key: str, data: bytes) -> None:
+        os.replace(*self._staged(key, data))
+
+    def _create(self, key: str, data: bytes) -> None:
+        temporary, path = self._staged(key, data)
         try:
             os.link(temporary, path)  # whole or not at all, and only where nothing is
         except FileExistsError:
@@ -56,9 +96,9 @@ class LocalStore:
             os.unlink(temporary)
 
     def list(self, prefix: str) -> list[tuple[str, int]]:
-        """Keys and times of change in milliseconds, in byte order."""
+        """Keys and times of change in milliseconds, in byte order; only the prefix's folder is walked."""
         found = []
-        for folder, _, files in os.walk(self.root):
+        for folder, _, files in os.walk(os.path.join(self.root, prefix.rpartition("/")[0])):
             for f in files:
                 path = os.path.join(folder, f)
                 key = os.path.relpath(path, self.root)
@@ -73,37 +113,57 @@ class LocalStore:
             pass
 
 
-class HadoopStore:
-    """The same over any Hadoop file system whose ``create(overwrite=False)`` is exclusive, such as HDFS."""
+class HadoopStore(Store):
+    """The same over a Hadoop file system whose rename is atomic, such as HDFS: an object is written aside and moved whole to where nothing may be.
+
+    What the JVM raises comes as ``OSError``, so that a commit of unknown outcome is looked up.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.jvm, self.root = spark._jvm, root.rstrip("/")
-        self.fs = self.jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.fs = self.jvm.org.apache.hadoop.fs.Path(root).getFileSystem(conf)
+        self.files = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), conf)
+        self.array = spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
 
     def _path(self, key: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{key}")
 
     def get(self, key: str) -> bytes | None:
-        path = self._path(key)
-        if not self.fs.exists(path):
-            return None
-        stream = self.fs.open(path)
+        from py4j.protocol import Py4JJavaError
+
+        try:
+            stream = self.fs.open(self._path(key))
+        except Py4JJavaError as e:
+            if "FileNotFound" in e.java_exception.getClass().getName():
+                return None
+            raise OSError(str(e.java_exception)) from e
         try:
             return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
         finally:
             stream.close()
 
-    def put_if_absent(self, key: str, data: bytes) -> None:
+    def _put(self, key: str, data: bytes, how) -> None:
         from py4j.protocol import Py4JJavaError
 
+        aside = f"{key}.{uuid.uuid4().hex}.tmp"
+        self.array[0] = how
         try:
-            out = self.fs.create(self._path(key), False)
+            out = self.fs.create(self._path(aside), False)
+            out.write(bytearray(data))
+            out.close()
+            self.files.rename(self._path(aside), self._path(key), self.array)
         except Py4JJavaError as e:
-            if "AlreadyExists" in str(e.java_exception) or "already exists" in str(e.java_exception):
+            self.fs.delete(self._path(aside), False)
+            if "AlreadyExists" in e.java_exception.getClass().getName():
                 raise Conflict(key) from None
-            raise
-        out.write(bytearray(data))
-        out.close()
+            raise OSError(str(e.java_exception)) from e
+
+    def _create(self, key: str, data: bytes) -> None:
+        self._put(key, data, self.jvm.org.apache.hadoop.fs.Options.Rename.NONE)
+
+    def _replace(self, key: str, data: bytes) -> None:
+        self._put(key, data, self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE)
 
     def list(self, prefix: str) -> list[tuple[str, int]]:
         base = self._path(prefix.rpartition("/")[0] or ".")
@@ -114,7 +174,7 @@ class HadoopStore:
         while files.hasNext():
             f = files.next()
             key = f.getPath().toString().removeprefix(start)
-            if key.startswith(prefix):
+            if key.startswith(prefix) and not key.endswith(".tmp"):
                 found.append((key, f.getModificationTime()))
         return sorted(found)
 
@@ -124,10 +184,14 @@ class HadoopStore:
 
 @dataclass
 class Segment:
+    """``deletes`` is a folder of local ordinals; ``deleted`` and ``checksum`` are their number and an order-free hash of them."""
+
     path: str
     row_id_base: int
     row_id_count: int
     deletes: str | None = None
+    deleted: int = 0
+    checksum: int = 0
 
 
 @dataclass
@@ -219,22 +283,16 @@ class Table:
         raise Conflict("too many lost races")
 
     def write_segment(self, rows: DataFrame) -> Segment:
-        """Store rows under a new name, with dense ordinals: places inside a partition, added up over partitions."""
+        """Store rows once, under a new name. Dense ordinals are places inside a written partition plus the rows of those before, which ``starts`` beside the data holds."""
         name = f"segments/{uuid.uuid4().hex}"
-        staged = f"{self.path}/{name}/staged"
-        rows.withColumn("_place", F.monotonically_increasing_id()).write.parquet(staged)
-        kept = self.spark.read.parquet(staged)
+        rows.withColumn("_place", F.monotonically_increasing_id()).write.parquet(f"{self.path}/{name}/data")
+        kept = self.spark.read.parquet(f"{self.path}/{name}/data")
         sizes = {r.part: r.n for r in kept.groupBy(F.shiftright("_place", 33).alias("part")).agg(F.count("*").alias("n")).collect()}
         before, total = [], 0
-        for part in sorted(sizes):
+        for part in sorted(sizes):  # one row a written partition
             before.append((part, total))
             total += sizes[part]
-        starts = F.broadcast(self.spark.createDataFrame(before or [(0, 0)], "part long, before long"))  # one row a written partition
-        numbered = kept.withColumn("part", F.shiftright("_place", 33)).join(starts, "part")
-        numbered = numbered.withColumn("_ordinal", F.col("before") + F.col("_place").bitwiseAND((1 << 33) - 1)).drop("part", "before", "_place")
-        numbered.write.parquet(f"{self.path}/{name}/data")
-        for key, _ in self.store.list(f"{name}/staged/"):
-            self.store.delete(key)
+        self.spark.createDataFrame(before, "_part long, _before long").coalesce(1).write.parquet(f"{self.path}/{name}/starts")
         return Segment(f"{name}/data", 0, total)
 
     def append(self, rows: DataFrame, batch: tuple[str, int] | None = None) -> Snapshot:
@@ -247,36 +305,79 @@ class Table:
 
         return self.commit(change, batch=batch)
 
+    def _deletes(self, segments: list[Segment]) -> DataFrame | None:
+        """``segment`` (its place among them) and ``ordinal`` of all deleted rows, by one scan."""
+        have = {s.deletes: k for k, s in enumerate(segments) if s.deletes}
+        if not have:
+            return None
+        rows = self.spark.read.parquet(*[f"{self.path}/{p}" for p in have])
+        places = self.spark.createDataFrame(list(have.items()), "at string, segment int")
+        return rows.select("ordinal", F.regexp_extract(F.col("_metadata.file_path"), r"(deletes/[0-9a-f]+/segment=\d+)/[^/]*$", 1).alias("at")).join(places, "at").select("segment", "ordinal")
+
     def delete(self, row_ids: DataFrame) -> Snapshot:
-        """Mark rows (``row_id``) as deleted: each segment's new list holds its old one too."""
+        """Mark rows (``row_id``) as deleted: each segment's new list holds its old one too. An id of no segment is an error.
+
+        One job for all segments, and one folder with a part for each that changes.
+        """
+        given = written(self.spark, row_ids.select(F.col("row_id").cast("long").alias("row_id")).where("row_id is not null"), "row-ids")
 
         def change(now: Snapshot):
-            out = []
-            for s in now.segments:
-                mine = row_ids.where(F.col("row_id").between(s.row_id_base, s.row_id_base + s.row_id_count - 1)).select((F.col("row_id") - s.row_id_base).alias("ordinal"))
-                if s.deletes:
-                    mine = mine.union(self.spark.read.parquet(f"{self.path}/{s.deletes}"))
-                mine = mine.distinct()
-                if mine.isEmpty():
-                    out.append(s)
-                    continue
-                name = f"deletes/{uuid.uuid4().hex}"
-                mine.write.parquet(f"{self.path}/{name}")
-                out.append(Segment(s.path, s.row_id_base, s.row_id_count, name))
+            bases = np.array([s.row_id_base for s in now.segments] or [0], np.int64)
+            ends = bases + np.array([s.row_id_count for s in now.segments] or [0], np.int64)
+            order = np.argsort(bases, kind="stable")
+
+            def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    ids = b.column("row_id").to_numpy()
+                    k = order[np.maximum(np.searchsorted(bases[order], ids, side="right") - 1, 0)]
+                    inside = (ids >= bases[k]) & (ids < ends[k])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.where(inside, k, -1).astype(np.int32)), pc.subtract(b.column("row_id"), pa.array(bases[k]))], names=["segment", "ordinal"])
+
+            new = given.mapInArrow(place, "segment int, ordinal long")
+            touched = {r.segment for r in new.select("segment").distinct().collect()}  # at most a row a segment
+            if -1 in touched:
+                raise ValueError("a row id is in no segment of the table")
+            old = self._deletes([s if k in touched else replace(s, deletes=None) for k, s in enumerate(now.segments)])
+            name = f"deletes/{uuid.uuid4().hex}"
+            rows = (new if old is None else new.unionByName(old)).distinct()
+            rows.write.partitionBy("segment").parquet(f"{self.path}/{name}")
+            sums = {}
+            if touched:
+                stored = self.spark.read.parquet(f"{self.path}/{name}")
+                sums = {r.segment: (r.n, r.h) for r in stored.groupBy("segment").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("ordinal")).alias("h")).collect()}
+            out = [Segment(s.path, s.row_id_base, s.row_id_count, f"{name}/segment={k}", *sums[k]) if k in touched else s for k, s in enumerate(now.segments)]
             return out, now.next_row_id
 
         return self.commit(change)
 
+    def verify(self, version: int | None = None) -> None:
+        """Raise if some segment's deleted rows aren't those that were committed: another number or another hash."""
+        segments = self.snapshot(version).segments
+        rows = self._deletes(segments)
+        found = {} if rows is None else {r.segment: (r.n, r.h) for r in rows.groupBy("segment").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("ordinal")).alias("h")).collect()}
+        for k, s in enumerate(segments):
+            if s.deletes and found.get(k) != (s.deleted, s.checksum):
+                raise ValueError(f"the deletions of {s.path} don't match their checksum")
+
     def read(self, version: int | None = None) -> DataFrame | None:
-        """All rows that aren't deleted, with ``row_id`` and ``segment_path``; None for a table without segments."""
-        out = None
-        for s in self.snapshot(version).segments:
-            part = self.spark.read.parquet(f"{self.path}/{s.path}")
-            if s.deletes:
-                part = part.join(self.spark.read.parquet(f"{self.path}/{s.deletes}").select(F.col("ordinal").alias("_ordinal")), "_ordinal", "left_anti")
-            part = part.withColumn("row_id", F.col("_ordinal") + s.row_id_base).withColumn("segment_path", F.lit(s.path)).drop("_ordinal")
-            out = part if out is None else out.unionByName(part)
-        return out
+        """All rows that aren't deleted, with ``row_id`` and ``segment_path``; None for a table without segments.
+
+        One scan of all segments and at most one of their deletions, however many commits made them.
+        """
+        segments = self.snapshot(version).segments
+        if not segments:
+            return None
+        places = self.spark.createDataFrame([(k, s.path, s.row_id_base) for k, s in enumerate(segments)], "_segment int, segment_path string, _base long")
+        rows = self.spark.read.parquet(*[f"{self.path}/{s.path}" for s in segments])
+        columns = [c for c in rows.columns if c != "_place"]
+        named = lambda df, kind: df.withColumn("segment_path", F.concat(F.regexp_extract(F.col("_metadata.file_path"), rf"(segments/[0-9a-f]+/){kind}/[^/]*$", 1), F.lit("data")))
+        starts = named(self.spark.read.parquet(*[f"{self.path}/{s.path.removesuffix('data')}starts" for s in segments]), "starts").join(places, "segment_path")
+        rows = named(rows, "data").withColumn("_part", F.shiftright("_place", 33)).join(starts, ["segment_path", "_part"])
+        rows = rows.withColumn("_ordinal", F.col("_before") + F.col("_place").bitwiseAND((1 << 33) - 1))
+        gone = self._deletes(segments)
+        if gone is not None:
+            rows = rows.join(gone.select(F.col("segment").alias("_segment"), F.col("ordinal").alias("_ordinal")), ["_segment", "_ordinal"], "left_anti")
+        return rows.withColumn("row_id", F.col("_ordinal") + F.col("_base")).select(*columns, "row_id", "segment_path")
 
     def compact(self) -> Snapshot:
         """Rewrite the rows that are left as one segment with new row ids. If another commit comes between, it is done again."""
@@ -297,28 +398,36 @@ class Table:
             except Conflict:
                 continue
 
-    def inspect(self) -> DataFrame:
-        """One row a segment of the current snapshot."""
-        rows = [(s.path, s.row_id_base, s.row_id_count, s.deletes) for s in self.snapshot().segments]
-        return self.spark.createDataFrame(rows, "path string, row_id_base long, row_id_count long, deletes string")
+    def inspect(self, version: int | None = None) -> DataFrame:
+        """One row a segment of the current snapshot, or a given one."""
+        rows = [(s.path, s.row_id_base, s.row_id_count, s.deletes, s.deleted) for s in self.snapshot(version).segments]
+        return self.spark.createDataFrame(rows, "path string, row_id_base long, row_id_count long, deletes string, deleted long")
 
-    def sweep(self, dry_run: bool = True, window_millis: int = lifecycle.THREE_DAYS) -> dict[str, list[str]]:
-        """Delete objects that no retained snapshot needs and that are older than the window; tells the fate of each."""
+    def fates(self, window_millis: int = lifecycle.THREE_DAYS) -> DataFrame:
+        """``key``, ``fate`` of every object below the table: referenced by a retained snapshot, within the window, or orphan.
+
+        Objects are listed by the engine's file source; no contents are read and no list is held by the driver.
+        """
         policy, now = self.metadata(), self.clock()
         all_of = [self.snapshot(v) for v in self._versions()]
         if not all_of:
-            return {"referenced": [], "within_window": [], "orphan": []}
+            return self.spark.createDataFrame([], "key string, fate string")
         heads = self.spark.createDataFrame([(s.version, s.committed_at_millis) for s in all_of], "version long, committed_at_millis long")
         kept = {r.version for r in lifecycle.retained(heads, now, policy["keep_last"], policy["max_age_millis"]).collect()}
-        folders = {p for s in all_of if s.version in kept for seg in s.segments for p in (seg.path, seg.deletes) if p}
+        folders = {p for s in all_of if s.version in kept for seg in s.segments for p in (seg.path, f"{seg.path.removesuffix('data')}starts", seg.deletes) if p}
         names = {f"snapshots/v{v}.json" for v in kept} | {"metadata.json"}
-        objects = [(k, t) for k, t in self.store.list("")]
-        used = [(k,) for k, _ in objects if k in names or k.rpartition("/")[0] in folders]
-        rows = lifecycle.classified(self.spark.createDataFrame(objects, "key string, last_modified_millis long"), self.spark.createDataFrame(used, "key string"), now, window_millis)
-        fates: dict[str, list[str]] = {"referenced": [], "within_window": [], "orphan": []}
-        for r in rows.orderBy("key").toLocalIterator():
-            fates[r.fate].append(r.key)
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.path)
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        root = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/")
+        objects = files.select(F.substring_index("path", f"{root}/", -1).alias("key"), F.unix_millis("modificationTime").alias("last_modified_millis")).where("key not like '%.tmp'")
+        parts = self.spark.createDataFrame([(p,) for p in sorted(folders | names)], "at string")
+        used = objects.withColumn("at", F.explode(F.array("key", F.regexp_extract("key", "^(.*)/[^/]*$", 1)))).join(parts, "at", "left_semi").select("key")
+        return lifecycle.classified(objects, used, now, window_millis)
+
+    def sweep(self, dry_run: bool = True, window_millis: int = lifecycle.THREE_DAYS) -> DataFrame:
+        """``key``, ``fate`` as ``fates`` gives them; without ``dry_run`` orphans are deleted, one after the other as they come from the table."""
+        fates = written(self.spark, self.fates(window_millis), "fates")
         if not dry_run:
-            for key in fates["orphan"]:
-                self.store.delete(key)
+            for r in fates.where("fate = 'orphan'").toLocalIterator():
+                self.store.delete(r.key)
         return fates

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillmere.operators import filters
 from quillmere.plans import lifecycle
-from quillmere.plans.table import Conflict, HadoopStore, LocalStore, Segment, Table
+from quillmere.plans.table import Conflict, HadoopStore, LocalStore, Segment, Table, tag
 from quillmere.sources import ciff, puffin
 from quillmere.streaming.ingest import ingest, windowed_counts
 
@@ -28,13 +28,47 @@ def test_append_delete_read_and_compact(spark, tmp_path):
     assert t.read(2).count() == 150
     new = t.compact()
     assert [(s.row_id_base, s.row_id_count) for s in new.segments] == [(150, 146)] and t.read().count() == 146
-    old = t.sweep(window_millis=-1)["orphan"]
+    orphans = lambda **k: [r.key for r in t.sweep(**k).where("fate = 'orphan'").collect()]
+    old = orphans(window_millis=-1)
     assert any(k.startswith("deletes/") for k in old) and "metadata.json" not in old and f"snapshots/v{new.version}.json" not in old
-    assert t.sweep()["orphan"] == []
+    assert orphans() == [] and {r.fate for r in t.sweep().collect()} == {"referenced", "within_window"}
     t.sweep(dry_run=False, window_millis=-1)
+    assert orphans(window_millis=-1) == []
     assert t.read().count() == 146 and t.inspect().count() == 1
 
 
+def test_deletes_are_checked(spark, tmp_path):
+    t = Table.local(spark, str(tmp_path))
+    t.append(spark.range(10))
+    t.append(spark.range(10, 30))
+    t.delete(spark.createDataFrame([(3,), (15,), (15,), (None,)], "row_id long"))
+    with pytest.raises(ValueError, match="no segment"):
+        t.delete(spark.createDataFrame([(1,), (30,)], "row_id long"))
+    with pytest.raises(ValueError, match="no segment"):
+        t.delete(spark.createDataFrame([(-1,)], "row_id long"))
+    t.delete(spark.createDataFrame([(16,)], "row_id long"))
+    t.verify()
+    assert [(r.row_id_base, r.deleted) for r in t.inspect().orderBy("row_id_base").collect()] == [(0, 1), (10, 2)]
+    assert sorted(r.row_id for r in t.read().collect()) == [i for i in range(30) if i not in (3, 15, 16)]
+    assert t.read()._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 3
+    s = t.snapshot()
+    t.commit(lambda now: ([Segment(x.path, x.row_id_base, x.row_id_count, x.deletes, x.deleted, x.checksum ^ 1) for x in s.segments], s.next_row_id))
+    with pytest.raises(ValueError, match="checksum"):
+        t.verify()
+
+
+@pytest.mark.parametrize("kind", ["local", "hadoop"])
+def test_put_if_match(spark, tmp_path, kind):
+    store = LocalStore(str(tmp_path)) if kind == "local" else HadoopStore(spark, f"file://{tmp_path}")
+    store.put_if_match("a/x", b"1", None)
+    with pytest.raises(Conflict):
+        store.put_if_match("a/x", b"2", None)
+    store.put_if_match("a/x", b"2", tag(b"1"))
+    with pytest.raises(Conflict):
+        store.put_if_match("a/x", b"3", tag(b"1"))
+    assert store.get("a/x") == b"2" and store.get("a/x.lock") is None
+
+
 def test_racing_writers_get_disjoint_ranges(spark, tmp_path):
     t = Table.local(spark, str(tmp_path))
 
