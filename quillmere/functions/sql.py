@@ -8,16 +8,19 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from . import rabitq
+from . import rabitq, text
 
 SCALARS = {
     "ascii_words(t STRING) RETURNS ARRAY<STRING>": "regexp_extract_all(lower(t), '[a-z0-9]+', 0)",
+    "analyze(t STRING, profile STRING) RETURNS ARRAY<STRING>": "CASE profile WHEN 'ascii' THEN regexp_extract_all(lower(t), '[a-z0-9]+', 0) WHEN 'unicode' THEN regexp_extract_all(lower(t), '[\\\\p{L}\\\\p{N}]+', 0)"
+    " WHEN 'boundary' THEN transform(filter(flatten(sentences(t)), w -> w RLIKE '[\\\\p{IsAlphabetic}\\\\p{N}]'), w -> lower(w)) ELSE raise_error('no such profile') END",
     "bm25_idf(n BIGINT, total BIGINT) RETURNS DOUBLE": "ln((total - n + 0.5D) / (n + 0.5D))",
     "bm25(tf DOUBLE, dl DOUBLE, n BIGINT, total BIGINT, avdl DOUBLE) RETURNS DOUBLE": "ln((total - n + 0.5D) / (n + 0.5D)) * tf / (tf + 1.2D * (0.25D + 0.75D * dl / avdl))",
     "byte4(dl BIGINT) RETURNS BIGINT": "CASE WHEN dl < 24 THEN dl ELSE 24 + shiftleft(shiftright(dl - 24, greatest(length(bin(dl - 24)) - 4, 0)), greatest(length(bin(dl - 24)) - 4, 0)) END",
     "bm25_quantized(tf DOUBLE, dl BIGINT, n BIGINT, total BIGINT, avdl DOUBLE) RETURNS DOUBLE": "ln(1 + (total - n + 0.5D) / (n + 0.5D)) * tf / (tf + 1.2D * (0.25D + 0.75D * byte4(dl) / avdl))",
     "l2sq(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE": "aggregate(zip_with(a, b, (x, y) -> (x - y) * (x - y)), 0D, (t, v) -> t + v)",
     "neg_ip(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE": "-aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (t, v) -> t + v)",
+    "without_stopwords(words ARRAY<STRING>) RETURNS ARRAY<STRING>": f"filter(words, w -> w NOT IN ({', '.join(map(repr, text.STOPWORDS))}))",
     "rrf(place BIGINT, k BIGINT) RETURNS DOUBLE": "1D / (k + place)",
 }
 
@@ -25,6 +28,7 @@ SCALARS = {
 def register(spark: SparkSession) -> None:
     """Make all functions known to SQL in this session: those of ``SCALARS``, which are inlined into plans, and
 
+    - ``stemmed(words)``: an array of words by their stems, so that the English chain is ``stemmed(without_stopwords(analyze(t, 'boundary')))``;
     - ``rabitq_encode(vec, centroid)``: one-bit code and factors (squared L2) as a struct, in Arrow batches;
     - ``rabitq_estimate(code, f_add, f_rescale, f_error, query, centroid)``: estimate, lower and upper bound;
     - ``greedy_search(vectors, edges, start, query, k, width)``: a table function, one row a result.
@@ -40,13 +44,17 @@ def register(spark: SparkSession) -> None:
         return pd.DataFrame({"code": [c.tobytes() for c in q["code"]], "f_add": q["f_add"], "f_rescale": q["f_rescale"], "f_error": q["f_error"]})
 
     def estimate(code: pd.Series, f_add: pd.Series, f_rescale: pd.Series, f_error: pd.Series, query: pd.Series, centroid: pd.Series) -> pd.DataFrame:
-        rows = []
-        for c, a, r, e, q, m in zip(code, f_add, f_rescale, f_error, query, centroid):
-            one = {"code": np.frombuffer(c, np.uint8)[None], "f_add": np.array([a]), "f_rescale": np.array([r]), "f_error": np.array([e])}
-            rows.append([float(x[0]) for x in rabitq.estimate(one, np.asarray(q, float), np.asarray(m, float))])
-        return pd.DataFrame(rows, columns=["estimate", "lower_bound", "upper_bound"])
+        if not len(code):
+            return pd.DataFrame({c: pd.Series(dtype=float) for c in ("estimate", "lower_bound", "upper_bound")})
+        q, m = stack(query), stack(centroid)
+        bits = np.unpackbits(np.stack([np.frombuffer(c, np.uint8) for c in code]), axis=1)[:, : q.shape[1]]
+        apart = ((q - m) ** 2).sum(axis=1)
+        value = f_add.to_numpy() + apart + f_rescale.to_numpy() * ((bits * q).sum(axis=1) - 0.5 * q.sum(axis=1))
+        bound = f_error.to_numpy() * np.sqrt(apart)
+        return pd.DataFrame({"estimate": value, "lower_bound": value - bound, "upper_bound": value + bound})
 
     kind = StructType.fromDDL
+    spark.udf.register("stemmed", text.stemmed_words)
     spark.udf.register("rabitq_encode", F.pandas_udf(encode, kind("code binary, f_add double, f_rescale double, f_error double")))
     spark.udf.register("rabitq_estimate", F.pandas_udf(estimate, kind("estimate double, lower_bound double, upper_bound double")))
 

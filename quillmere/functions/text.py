@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from .porter2 import stem
 
@@ -35,6 +36,19 @@ def without_stopwords(words: Column, stopwords: tuple[str, ...] = STOPWORDS) ->
     return F.filter(words, lambda w: ~w.isin(*stopwords))
 
 
+@F.pandas_udf(StringType())
+def folded(texts: pd.Series) -> pd.Series:
+    """Full case folding, which may lengthen a text: the sharp s becomes ss."""
+    return texts.map(str.casefold, na_action="ignore")
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def stemmed_words(words: pd.Series) -> pd.Series:
+    """Arrays of words by their stems; every distinct word of a batch once."""
+    known = {w: stem(w) for w in {w for ws in words.dropna() for w in ws}}
+    return words.map(lambda ws: [known[w] for w in ws], na_action="ignore")
+
+
 @F.pandas_udf(StringType())
 def _stemmed(words: pd.Series) -> pd.Series:
     known = {w: stem(w) for w in words.dropna().unique()}
@@ -48,7 +62,10 @@ def stems(df: DataFrame, column: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Profile:
-    """What analysis does. ``tokenizer``: ascii, unicode or boundary; ``case``: none, lower; ``stemmer``: none or english."""
+    """What analysis does. ``tokenizer``: ascii, unicode or boundary; ``case``: none, lower or full; ``stemmer``: none or english.
+
+    No tokenizer puts two tokens at one place, so document lengths count none twice.
+    """
 
     tokenizer: str = "ascii"
     case: str = "lower"
@@ -56,11 +73,18 @@ class Profile:
     stemmer: str = "none"
 
     def __post_init__(self) -> None:
-        if self.tokenizer not in ("ascii", "unicode", "boundary") or self.case not in ("none", "lower") or self.stemmer not in ("none", "english"):
+        if self.tokenizer not in ("ascii", "unicode", "boundary") or self.case not in ("none", "lower", "full") or self.stemmer not in ("none", "english"):
             raise ValueError(f"unknown analysis: {self}")
 
     def to_dict(self) -> dict:
-        return {"token_retention": self.tokenizer, "case_folding": self.case, "stopwords": list(self.stopwords), "stemmer": self.stemmer}
+        return {"token_retention": self.tokenizer, "case_folding": self.case, "stopwords": list(self.stopwords), "stemmer": self.stemmer, "counts_overlaps_in_length": False, "dictionary": None}
+
+    @staticmethod
+    def from_dict(x: dict) -> Profile:
+        """The profile that a descriptor tells; what isn't offered is an error."""
+        if x.get("dictionary"):
+            raise ValueError("segmentation by dictionary is not offered")
+        return Profile(x["token_retention"], x["case_folding"], tuple(x.get("stopwords") or ()), x.get("stemmer") or "none")
 
 
 ASCII = Profile()
@@ -68,7 +92,9 @@ ENGLISH = Profile("boundary", "lower", STOPWORDS, "english")
 
 
 def words(text: Column, profile: Profile = ASCII) -> Column:
-    """The tokens of ``profile`` before stemming, which works on rows (see ``tokens``)."""
+    """The tokens of ``profile`` before stemming, which works on rows (see ``tokens``) or arrays (see ``analyze``)."""
+    if profile.case == "full":
+        text = folded(text)
     found = {"ascii": ascii_words, "unicode": unicode_words, "boundary": boundary_words}[profile.tokenizer](text)
     if profile.tokenizer == "boundary" and profile.case == "lower":
         found = F.transform(found, F.lower)
@@ -81,6 +107,22 @@ def tokens(docs: DataFrame, profile: Profile = ASCII, id_col: str = "doc_id", te
     return stems(rows, "term") if profile.stemmer == "english" else rows
 
 
+def analyze(text: Column, profile: Profile = ASCII) -> Column:
+    """The array of a text's tokens after the whole chain."""
+    found = words(text, profile)
+    return stemmed_words(found) if profile.stemmer == "english" else found
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _ends(sizes: pd.Series) -> pd.Series:
+    return sizes.map(lambda n: np.cumsum(n)[:-1].astype(np.int32), na_action="ignore")
+
+
+def boundaries(text: Column, word: str = "a-z0-9") -> Column:
+    """Places in characters, the ends left out, where runs of characters of the class ``word`` begin or end in the lower-case text."""
+    return _ends(F.transform(F.regexp_extract_all(F.lower(text), F.lit(f"[{word}]+|[^{word}]+"), F.lit(0)), F.length))
+
+
 def agreement(a: Column, b: Column) -> Column:
     """Jaccard of two arrays of boundaries; 1 if both are empty."""
     union = F.size(F.array_union(a, b))

@@ -81,14 +81,66 @@ def lloyd_step(assigned: DataFrame) -> DataFrame:
     return assigned.select("cid", F.posexplode("vec").alias("dim", "x")).groupBy("cid", "dim").agg(F.avg("x").alias("mean"), F.count("*").alias("n"))
 
 
-def kmeans(vectors: DataFrame, k: int, rounds: int = 10, seed: int = 0) -> DataFrame:
-    """``cid``, ``centroid`` by the library's k-means|| start and Lloyd rounds over all rows. Clusters that end empty are not returned."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
+def seeds(x: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
+    """Places of ``k`` rows by k-means++: each with a chance that grows with its squared distance from those before; any, if all are 0."""
+    draw = np.random.default_rng(seed)
+    chosen = [int(draw.integers(len(x)))]
+    apart = ((x - x[chosen[0]]) ** 2).sum(axis=1)
+    while len(chosen) < min(k, len(x)):
+        total = apart.sum()
+        chosen.append(int(draw.choice(len(x), p=apart / total) if total > 0 else draw.choice(np.setdiff1d(np.arange(len(x)), chosen))))
+        apart = np.minimum(apart, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+    return np.array(chosen)
+
+
+def kmeans(vectors: DataFrame, k: int, rounds: int = 10, seed: int = 0, sample: int = 64) -> DataFrame:
+    """``cid``, ``centroid``: k-means++ seeds from at most ``sample * k`` rows (chosen by a hash), then Lloyd rounds over all rows.
+
+    Sums are made inside the partitions. A cluster that gets no row takes the row that is farthest from its own centroid
+    (equal ones by row id), so none is empty while there are distinct rows enough. ``k`` centroids are held by the driver.
+    """
     spark = vectors.sparkSession
-    model = KMeans(k=k, maxIter=rounds, seed=seed, featuresCol="f").fit(vectors.select(array_to_vector(F.col("vec").cast("array<double>")).alias("f")))
-    return spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())], "cid int, centroid array<double>")
+    rows = vectors.select(F.col("row_id").cast("long").alias("row_id"), F.col("vec").cast("array<double>").alias("vec"))
+    matrix = lambda c: c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
+    drawn = rows.orderBy(F.xxhash64("row_id", F.lit(seed)), "row_id").limit(sample * k).toArrow().column("vec").combine_chunks()
+    if not len(drawn):
+        return spark.createDataFrame([], "cid int, centroid array<double>")
+    x = matrix(drawn)
+    centres = x[seeds(x, k, seed)]
+    k, dims = centres.shape
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast(centres)
+
+        def sums(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            now, total, count, far = shared.value, np.zeros((k, dims)), np.zeros(k, np.int64), []
+            for b in (batch.slice(a, 2048) for batch in batches for a in range(0, batch.num_rows, 2048)):
+                y, ids = matrix(b.column("vec")), b.column("row_id").to_numpy()
+                d = (y * y).sum(axis=1)[:, None] - 2 * y @ now.T + (now * now).sum(axis=1)
+                own = d.argmin(axis=1)
+                np.add.at(total, own, y)
+                count += np.bincount(own, minlength=k)
+                far += [(-float(d[i, own[i]]), int(ids[i]), y[i]) for i in np.lexsort((ids, -d[np.arange(len(y)), own]))[:k]]
+                far = sorted(far, key=lambda f: f[:2])[:k]
+            have = np.flatnonzero(count)
+            out = [(int(c), int(count[c]), 0.0, 0, total[c]) for c in have] + [(-1, 0, -f[0], f[1], f[2]) for f in far]
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds], names=["cid", "n", "dist", "row_id", "vec"])
+
+        parts = rows.mapInArrow(sums, "cid long, n long, dist double, row_id long, vec array<double>").persist()
+        each = parts.where("cid >= 0").select("cid", "n", F.posexplode("vec")).groupBy("cid", "pos").agg(F.sum("col").alias("x"), F.sum("n").alias("n")).toPandas()
+        new, count = np.zeros((k, dims)), np.zeros(k)
+        new[each.cid, each.pos], count[each.cid] = each.x, each.n
+        empty = np.flatnonzero(count == 0)
+        new[count > 0] /= count[count > 0, None]
+        if len(empty):
+            far = [r.vec for r in parts.where("cid < 0").orderBy(F.desc("dist"), "row_id").limit(len(empty)).collect()]
+            new[empty[: len(far)]] = far
+            new[empty[len(far) :]] = centres[empty[len(far) :]]
+        parts.unpersist()
+        if np.array_equal(new, centres):
+            break
+        centres = new
+    return spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(centres)], "cid int, centroid array<double>")
 
 
 def medoid(vectors: DataFrame) -> DataFrame:

@@ -22,18 +22,17 @@ def _apart(x: np.ndarray, rows, q: np.ndarray) -> np.ndarray:
 
 
 def greedy_search(x: np.ndarray, graph: list, start: int, q: np.ndarray, k: int, width: int) -> tuple[list[int], list[int], int]:
-    """The ``k`` nearest met, the nodes in the order they were expanded, and how many distances were taken."""
-    pool = [(float(_apart(x, start, q)), start)]
-    seen, done, order, fetched = {start}, set(), [], 1
+    """The ``k`` nearest met, the nodes in the order they were expanded, and how many were fetched: a node that was dropped and comes back counts again."""
+    pool, done, order, fetched = [(float(_apart(x, start, q)), start)], set(), [], 1
     while True:
         nxt = next((p for p in pool if p[1] not in done), None)
         if nxt is None:
             return [i for _, i in pool[:k]], order, fetched
         done.add(nxt[1])
         order.append(nxt[1])
-        fresh = [int(j) for j in graph[nxt[1]] if j not in seen]
+        held = {i for _, i in pool}
+        fresh = list(dict.fromkeys(int(j) for j in graph[nxt[1]] if j not in held))
         if fresh:
-            seen.update(fresh)
             fetched += len(fresh)
             pool = heapq.nsmallest(width, pool + list(zip(_apart(x, fresh, q).tolist(), fresh)))
 
@@ -122,6 +121,60 @@ def search_shards(nodes: DataFrame, queries: DataFrame | pd.DataFrame, k: int, w
     return found.withColumn("place", place).where(F.col("place") <= k).drop("place")
 
 
+class StoredGraph:
+    """Graphs of shards, stored: ``nodes`` (shard, slot, row_id, vec, edges as slots, entry) sorted by shard and slot, and ``directory`` (row_id, shard, slot)."""
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path
+
+    @property
+    def nodes(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/nodes")
+
+    @property
+    def directory(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/directory")
+
+    @staticmethod
+    def save(nodes: DataFrame, path: str, block: int = 16) -> StoredGraph:
+        """Store what ``build_shards`` gives, each shard laid out in blocks of neighbours (``bnf``); its shards are places by hash or number, from 0."""
+
+        def lay_out(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("node", ignore_index=True)
+            ids = pdf.node.to_numpy()
+            local = [np.searchsorted(ids, g).tolist() for g in pdf.neighbors]
+            slots = np.array(bnf(local, block))
+            return pd.DataFrame({"shard": pdf.shard, "slot": slots, "row_id": ids, "vec": pdf.vec, "edges": [slots[g] if len(g) else [] for g in local], "entry": slots[np.searchsorted(ids, pdf.entry[0])]})
+
+        out = StoredGraph(nodes.sparkSession, path)
+        rows = nodes.select("shard", "node", "vec", "neighbors", "entry").groupBy("shard").applyInPandas(lay_out, "shard long, slot long, row_id long, vec array<double>, edges array<long>, entry long")
+        rows.sortWithinPartitions("shard", "slot").write.parquet(f"{path}/nodes")
+        out.nodes.select("row_id", "shard", "slot").hint("rebalance", "row_id").sortWithinPartitions("row_id").write.parquet(f"{path}/directory")
+        return out
+
+    def search(self, queries: DataFrame, k: int, width: int, start_row_id: int | None = None) -> DataFrame:
+        """``query_id``, ``shard``, ``row_id``, ``dist``, ``hops``, ``fetches``: each query's walk over each shard's stored records, from its entry or from a row's slot, which the directory tells."""
+        seed = None if start_row_id is None else self.directory.where(F.col("row_id") == start_row_id).first()
+        if start_row_id is not None and seed is None:
+            raise KeyError(f"no node has row id {start_row_id}")
+        rows = self.nodes if seed is None else self.nodes.where(F.col("shard") == seed.shard)
+        shards = [seed.shard] if seed else list(range(self.nodes.agg(F.max("shard")).first()[0] + 1))
+        asks = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vec").cast("array<double>").alias("asked"), F.explode(F.sequence(F.lit(shards[0]).cast("long"), F.lit(shards[-1]).cast("long"))).alias("at"))
+
+        def walk(pdf: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+            found = []
+            if len(pdf):
+                pdf = pdf.sort_values("slot", ignore_index=True)
+                x, ids, edges = np.stack(pdf.vec.to_numpy()), pdf.row_id.to_numpy(), pdf.edges.to_list()
+                start = int(pdf.entry[0]) if seed is None else int(seed.slot)
+                for name, q in zip(asked.query_id, asked.asked):
+                    met, order, fetched = greedy_search(x, edges, start, np.asarray(q), k, width)
+                    found += [(name, pdf.shard[0], ids[i], float(_apart(x, i, q)), len(order), fetched) for i in met]
+            return pd.DataFrame(found, columns=["query_id", "shard", "row_id", "dist", "hops", "fetches"])
+
+        return rows.groupBy("shard").cogroup(asks.groupBy("at")).applyInPandas(walk, "query_id long, shard long, row_id long, dist double, hops long, fetches long")
+
+
 def bnp(graph: list, block: int) -> list[int]:
     """The slot of every node when blocks are filled in order of number, each node with its neighbours while there is room."""
     slots, used = [-1] * len(graph), 0
@@ -189,7 +242,7 @@ def overlap(edges: DataFrame, layout: DataFrame) -> DataFrame:
     sizes = layout.groupBy("block").agg(F.count("*").alias("size"))
     inside = edges.join(layout.select(F.col("node").alias("src"), F.col("block").alias("b1")), "src").join(layout.select(F.col("node").alias("dst"), F.col("block").alias("b2")), "dst")
     hits = inside.where("b1 = b2").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("hits"))
-    rows = layout.join(hits, "node", "left").join(F.broadcast(sizes), "block")
+    rows = layout.join(hits, "node", "left").join(sizes, "block")
     share = F.when(F.col("size") > 1, F.coalesce("hits", F.lit(0)) / (F.col("size") - 1)).otherwise(0.0)
     return rows.agg(F.coalesce(F.avg(share), F.lit(0.0)).alias("overlap"))
 

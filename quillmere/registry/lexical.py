@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import scoring, text
+from ..functions import scoring, sql, text
 from ..operators import index, search
 from ..storage import new_folder, written
 from . import query, table
@@ -133,10 +133,16 @@ def _(spark, d):
     return docs(spark, d).select("doc_id", F.size(text.unicode_words(F.col("text"))).cast("long").alias("n"))
 
 
-@query("f8_agreement", """WITH a AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS x, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS y FROM documents)
-SELECT doc_id, CASE WHEN len(x) + len(y) = 0 THEN 1.0::DOUBLE ELSE round(len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))), 6) END AS agreement FROM a""")
+_ENDS = "SELECT doc_id, sum(len(p)) OVER (PARTITION BY doc_id ORDER BY i) AS place, i, n FROM (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i, len(ps) AS n FROM (SELECT doc_id, regexp_extract_all(lower(text), '{}') AS ps FROM documents))"
+
+
+@query("f8_agreement", f"""WITH a AS (SELECT doc_id, place FROM ({_ENDS.format('[a-z0-9]+|[^a-z0-9]+')}) WHERE i < n), b AS (SELECT doc_id, place FROM ({_ENDS.format('[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+')}) WHERE i < n),
+ ored AS (SELECT doc_id, count(*) AS n FROM (SELECT * FROM a UNION SELECT * FROM b) GROUP BY 1), anded AS (SELECT doc_id, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) GROUP BY 1)
+SELECT d.doc_id, CASE WHEN ored.n IS NULL THEN 1.0::DOUBLE ELSE round(coalesce(anded.n, 0)::DOUBLE / ored.n, 6) END AS agreement FROM documents d LEFT JOIN ored USING (doc_id) LEFT JOIN anded USING (doc_id)""")
 def _(spark, d):
-    return docs(spark, d).select("doc_id", F.round(text.agreement(text.ascii_words(F.col("text")), text.unicode_words(F.col("text"))), 6).alias("agreement"))
+    """Of two segmenters' boundaries inside each text, the share that both have."""
+    a, b = text.boundaries(F.col("text")), text.boundaries(F.col("text"), r"\p{L}\p{N}")
+    return docs(spark, d).select("doc_id", F.round(text.agreement(a, b), 6).alias("agreement"))
 
 
 @query("a1_term_freq", POST + " SELECT row_id, term, CAST(tf AS BIGINT) AS tf FROM post")
@@ -323,6 +329,14 @@ def _(spark, d):
     return parts[0].union(parts[1])
 
 
+@query("x1_analyze", "SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS INTEGER) AS ascii, CAST(len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS INTEGER) AS unicode FROM documents")
+def _(spark, d):
+    """The chain as an SQL function, by a profile's name."""
+    sql.register(spark)
+    docs(spark, d).createOrReplaceTempView("qm_documents")
+    return spark.sql("SELECT doc_id, size(analyze(text, 'ascii')) AS ascii, size(analyze(text, 'unicode')) AS unicode FROM qm_documents")
+
+
 @query("f4_stem")
 def _(spark, d):
     """Stems of all distinct words; each word is stemmed once and joined back by whoever needs it."""

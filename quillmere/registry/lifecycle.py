@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import scoring
+from ..functions import checksum, scoring, sizes
 from ..plans import lifecycle
-from . import query
+from . import query, table
 
 SNAPSHOTS = "(VALUES (1, 1000), (2, 2000), (3, 3000), (4, 4000), (5, 5000)) AS t(version, committed_at_millis)"
 OBJECTS = "(VALUES ('seg/a', 100), ('seg/b', 900), ('seg/c', 400), ('snap/1', 100), ('snap/2', 950), ('dv/a', 500)) AS t(key, last_modified_millis)"
@@ -44,9 +44,25 @@ def _(spark, d):
     return pairs.select("a", "b", lifecycle.mismatch("x", "y").alias("mismatch"))
 
 
-@query("f21_sizes", "SELECT CAST(n AS BIGINT) AS n, CAST(greatest(1, round(4 * sqrt(n))) AS BIGINT) AS clusters, CAST(ceil(n / 64.0) * 64 AS BIGINT) AS padded, round(1.0 / (60 + n), 6) AS rrf FROM range(1, 2001) t(n)")
+@query("f19_cluster_count", "SELECT CAST(n AS BIGINT) AS n, CAST(greatest(1, round(4 * sqrt(n))) AS BIGINT) AS clusters, CAST(ceil(n / 64.0) * 64 AS BIGINT) AS padded, round(1.0 / (60 + n), 6) AS rrf FROM range(1, 2001) t(n)")
 def _(spark, d):
     from ..functions import vector
 
     n = F.col("id")
     return spark.range(1, 2001).select(n.alias("n"), vector.cluster_count(n).alias("clusters"), vector.padded_dims(n).alias("padded"), F.round(scoring.rrf(n), 6).alias("rrf"))
+
+
+@query("f21_sizes", """SELECT label, n, CAST(ceil(n / 32.0) * (64 * 4 + 384) + n * 40 AS BIGINT) AS code_bytes, CAST(n * (16 + 4 * 64 + 4 * 32) AS BIGINT) AS graph_bytes, CAST(ceil(n / 32.0) * 32 * 8 AS BIGINT) AS packed_bytes,
+ CAST(64 * 4 + 384 AS BIGINT) AS batch_bytes, CAST(40 AS BIGINT) AS ex_bytes FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label)""")
+def _(spark, d):
+    """What the vectors of each label take as 5-bit codes, as graph nodes of 32 edges, and as packed signs."""
+    n, padded, ex = F.col("n"), F.lit(64), F.lit(4)
+    return table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n")).select(
+        "label", "n", sizes.code_bytes_length(n, padded, ex).alias("code_bytes"), (n * sizes.node_record_size(padded, F.lit(32))).alias("graph_bytes"), sizes.packed_code_len(n, F.lit(8)).alias("packed_bytes"),
+        sizes.batch_data_len(padded).alias("batch_bytes"), sizes.ex_entry_len(padded, ex).alias("ex_bytes"),
+    )
+
+
+@query("f23_checksum")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", checksum.checksum(F.col("text").cast("binary")).alias("checksum"))

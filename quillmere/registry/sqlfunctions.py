@@ -45,9 +45,33 @@ def _(spark, d):
     return table(spark, d, "embeddings").select("vec_id", "label")
 
 
-@query("s13_inspect", "SELECT doc_id // 250 AS segment, min(doc_id) AS row_id_base, count(*) AS row_id_count FROM documents GROUP BY 1")
+def quarters(spark, d) -> Table:
+    """A table of the documents' ids in four segments, in their order."""
+    t = Table.open(spark, new_folder(spark, "table"))
+    t.create(keep_last=1)
+    docs = table(spark, d, "documents").select("doc_id")
+    step = -(-docs.count() // 4)
+    for k in range(4):
+        t.append(docs.where(F.col("doc_id").between(k * step, k * step + step - 1)).repartitionByRange(2, "doc_id").sortWithinPartitions("doc_id"))
+    return t
+
+
+@query("s13_inspect", "WITH s AS (SELECT CAST(ceil(count(*) / 4.0) AS BIGINT) AS step FROM documents) SELECT min(doc_id) AS row_id_base, count(*) AS row_id_count, CAST(count(*) FILTER (doc_id % 7 = 0) AS BIGINT) AS deleted FROM documents, s GROUP BY doc_id // step")
+def _(spark, d):
+    """What a table's snapshot says of its segments after a deletion."""
+    t = quarters(spark, d)
+    t.delete(table(spark, d, "documents").where("doc_id % 7 = 0").select(F.col("doc_id").alias("row_id")))
+    return t.inspect().select("row_id_base", "row_id_count", "deleted")
+
+
+@query("m10_compact", """WITH n AS (SELECT count(*) AS n FROM documents), k AS (SELECT count(*) AS k, sum(doc_id) AS ids FROM documents WHERE doc_id % 7 <> 0)
+SELECT k AS n_rows, CAST(ids AS BIGINT) AS ids, n AS lowest, n + k - 1 AS highest, k AS row_ids FROM n, k""")
 def _(spark, d):
-    return table(spark, d, "documents").groupBy(F.expr("doc_id div 250").alias("segment")).agg(F.min("doc_id").alias("row_id_base"), F.count("*").alias("row_id_count"))
+    """Segments with deletions rebuilt as one, under new row ids."""
+    t = quarters(spark, d)
+    t.delete(table(spark, d, "documents").where("doc_id % 7 = 0").select(F.col("doc_id").alias("row_id")))
+    t.compact()
+    return t.read().agg(F.count("*").alias("n_rows"), F.sum("doc_id").alias("ids"), F.min("row_id").alias("lowest"), F.max("row_id").alias("highest"), F.count_distinct("row_id").alias("row_ids"))
 
 
 @query("s10_list_objects")

@@ -351,6 +351,15 @@ def _(spark, d):
     return graph.build_shards(rows).select("shard", "node", "neighbors", "entry")
 
 
+@query("g4_stored_graph")
+def _(spark, d):
+    """Walks over stored, laid-out shards, with their hops and fetches."""
+    rows = vecs(spark, d)
+    shards = max(1, rows.count() // 250)
+    nodes = graph.build_shards(rows.withColumn("shard", F.pmod(F.xxhash64("row_id"), F.lit(shards))))
+    return graph.StoredGraph.save(nodes, new_folder(spark, "graph")).search(every_50th(spark, d), 10, 32)
+
+
 @query("g6_bnf")
 def _(spark, d):
     """Nearest-neighbour edges laid out in blocks of 16, a shard at a time."""

@@ -104,3 +104,73 @@ def test_ordinals_are_dense_in_byte_order(spark):
     df = spark.createDataFrame([(w,) for w in ["b", "é", "a", "Z", "aa", "日"]], "term string")
     got = {r.term: r.ordinal for r in index.ordinals(df).collect()}
     assert got == {w: i for i, w in enumerate(sorted(got, key=lambda w: w.encode()))}
+
+
+def test_full_case_folding_and_descriptors(spark):
+    df = spark.createDataFrame([(0, "Straße STRASSE ΣΑΣ"), (1, None)], "doc_id long, text string")
+    full = text.Profile("unicode", "full")
+    assert [r.w for r in df.orderBy("doc_id").select(text.analyze(F.col("text"), full).alias("w")).collect()] == [["strasse", "strasse", "σασ"], None]
+    for p in (text.ASCII, text.ENGLISH, full):
+        assert text.Profile.from_dict(json.loads(json.dumps(p.to_dict()))) == p
+    with pytest.raises(ValueError):
+        text.Profile.from_dict(text.ASCII.to_dict() | {"dictionary": "zh"})
+    with pytest.raises(ValueError):
+        text.Profile(case="title")
+
+
+def test_the_english_chain_is_the_same_as_a_column_in_sql_and_as_rows(spark):
+    from quillmere.functions import sql
+
+    sql.register(spark)
+    df = spark.createDataFrame([(0, "The whales were swimming quickly to the park."), (1, ""), (2, None)], "doc_id long, text string")
+    df.createOrReplaceTempView("chain_docs")
+    column = {r.doc_id: r.w for r in df.select("doc_id", text.analyze(F.col("text"), text.ENGLISH).alias("w")).collect()}
+    by_sql = {r.doc_id: r.w for r in spark.sql("SELECT doc_id, stemmed(without_stopwords(analyze(text, 'boundary'))) AS w FROM chain_docs").collect()}
+    assert column == by_sql and column[0] == [r.term for r in text.tokens(df, text.ENGLISH).orderBy("pos").collect()] and column[2] is None
+    with pytest.raises(Exception, match="no such profile"):
+        spark.sql("SELECT analyze('a', 'x')").collect()
+
+
+def test_boundaries(spark):
+    df = spark.createDataFrame([("ab c",), ("é1",), ("",), (None,), ("x",)], "text string")
+    got = [r.b for r in df.select(text.boundaries(F.col("text")).alias("b")).collect()]
+    assert got == [[2, 3], [1], [], None, []]
+
+
+@pytest.mark.parametrize("profile", [text.ASCII, text.Profile("unicode"), text.ENGLISH])
+def test_postings_in_the_row_equal_grouped_tokens(spark, profile):
+    rows = [(0, "The dog, the DOG and the  cat-dog 1a"), (1, None), (2, ""), (3, "é ab́ Kelvin K x9"), (4, "end"), (5, "start" + " word" * 700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {(r.term, r.row_id): (r.tf, r.dl, r.positions) for r in index.postings(df, profile).collect()}
+    want, dl = {}, {}
+    for r in text.tokens(df, profile).orderBy("row_id", "pos").collect():
+        want.setdefault((r.term, r.row_id), []).append(r.pos)
+        dl[r.row_id] = dl.get(r.row_id, 0) + 1
+    assert got == {k: (len(p), dl[k[1]], p) for k, p in want.items()}
+    assert index.postings(df.where("false"), profile).collect() == []
+
+
+def test_corpus_lines(spark, tmp_path):
+    import gzip
+
+    from quillmere.sources import jsonl
+
+    lines = [json.dumps({"text": f"t{i}", "id": i}) for i in range(20)]
+    lines[3], lines[4] = "", "no json"
+    with gzip.open(tmp_path / "a.jsonl.gz", "wt") as f:
+        f.write("\n".join(lines))
+    got = {r.line_no: r.text for r in jsonl.read_corpus(spark, str(tmp_path)).collect()}
+    assert got == {i: f"t{i}" for i in range(20) if i not in (3, 4)}
+    assert {r.line_no for r in jsonl.read_corpus(spark, str(tmp_path), "text string, id long", stride=4).where("id >= 0").collect()} == {0, 8, 12, 16}
+
+
+def test_checksums_and_field_ids(spark):
+    import xxhash
+
+    from quillmere.functions import checksum
+
+    rows = spark.createDataFrame([("",), ("abc",), (None,)], "t string").select("t", checksum.checksum(F.col("t").cast("binary")).alias("h")).collect()
+    assert {r.t: r.h if r.h is None else r.h % (1 << 64) for r in rows} == {"": xxhash.xxh3_64_intdigest(b""), "abc": xxhash.xxh3_64_intdigest(b"abc"), None: None}
+    assert checksum.field_id("body") == xxhash.xxh3_64_intdigest(b"body") != 0
+    with pytest.raises(ValueError):
+        checksum.field_id("")

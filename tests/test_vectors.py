@@ -266,3 +266,55 @@ def test_recall_over_every_50th_row(spark, name):
     for r in registry.QUERIES[name](spark, DATA).collect():
         got.setdefault(r.query_id, set()).add(r.row_id)
     assert set(got) == set(want) and sum(len(got[q] & set(want[q])) for q in want) >= 0.9 * 10 * len(want)
+
+
+def test_kmeans_leaves_no_cluster_empty(spark):
+    draw = np.random.default_rng(12)
+    x = np.concatenate([np.zeros((300, 4)), np.eye(4) * 50, draw.standard_normal((20, 4)) * 0.01 + 9])
+    vecs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, vec array<double>").repartition(3)
+    centroids = ann.kmeans(vecs, 6, rounds=6)
+    assert centroids.count() == 6 and ann.assign(vecs, centroids).select("cid").distinct().count() == 6
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(50)], "row_id long, vec array<double>")
+    assert {tuple(r.centroid) for r in ann.kmeans(same, 3).collect()} == {(1.0, 2.0)}
+    assert len(set(ann.seeds(np.ones((5, 2)), 3).tolist())) == 3 and ann.kmeans(same.where("false"), 3).collect() == []
+
+
+def test_a_dropped_node_that_comes_back_is_fetched_again():
+    x = np.array([[10, 0], [6, 0], [9, 9], [0, 0.5]], float)
+    found, order, fetched = graph.greedy_search(x, [[1, 2], [0, 2, 3], [], [2]], 0, np.array([0.0, 0.0]), 1, 2)
+    assert found == [3] and order == [0, 1, 3] and fetched == 6  # 0, 1, 2, 2 again, 3, 2 again
+
+
+def test_stored_graph_walks_as_the_built_one(spark, clustered, tmp_path):
+    x, vecs, _ = clustered
+    nodes = graph.build_shards(vecs.where("row_id < 200").withColumn("shard", F.col("row_id") % 2), degree=8)
+    stored = graph.StoredGraph.save(nodes, str(tmp_path / "g"))
+    assert sorted((r.shard, r.slot) for r in stored.directory.collect()) == [(s, k) for s in (0, 1) for k in range(100)]
+    asked = vecs.where("row_id % 50 = 0 and row_id < 200").withColumnRenamed("row_id", "query_id")
+    rows = stored.search(asked, 5, 20).collect()
+    held = {s: {r.node: r for r in nodes.where(F.col("shard") == s).collect()} for s in (0, 1)}
+    for s, by_id in held.items():
+        ids = sorted(by_id)
+        y, g = np.array([by_id[i].vec for i in ids]), [[ids.index(j) for j in by_id[i].neighbors] for i in ids]
+        for q in (0, 50, 100, 150):
+            met, order, fetched = graph.greedy_search(y, g, ids.index(by_id[ids[0]].entry), x[q], 5, 20)
+            own = [r for r in rows if r.shard == s and r.query_id == q]
+            assert {r.row_id for r in own} == {ids[i] for i in met} and {(r.hops, r.fetches) for r in own} == {(len(order), fetched)}
+    near = stored.search(asked.where("query_id = 50"), 1, 20, start_row_id=50).collect()
+    assert [(r.row_id, r.shard) for r in near] == [(50, 0)]
+    with pytest.raises(KeyError):
+        stored.search(asked, 1, 5, start_row_id=999)
+
+
+def test_indexes_merge(spark, clustered, tmp_path):
+    x, vecs, centroids = clustered
+    build = lambda name, rows: vector_index.VectorIndex.build(spark, str(tmp_path / name), rows, centroids, replicas=2)
+    a, b, whole = build("a", vecs.where("row_id < 250")), build("b", vecs.where("row_id >= 250")), build("w", vecs)
+    both = vector_index.VectorIndex.merged(spark, str(tmp_path / "ab"), [a, b])
+    keys = lambda ix: sorted((r.cid, r.row_id, r.f_add) for r in ix.lists().collect())
+    assert keys(both) == keys(whole) and both.options == whole.options
+    few = centroids.where("cid < 5")
+    moved = vector_index.VectorIndex.merged(spark, str(tmp_path / "m"), [a, b], few)
+    assert {r.cid for r in moved.lists().select("cid").distinct().collect()} <= set(range(5)) and moved.lists().count() == 800
+    with pytest.raises(ValueError):
+        vector_index.VectorIndex.merged(spark, str(tmp_path / "x"), [a, moved])
