@@ -95,10 +95,11 @@ def record(kind: str, record_id: str, uri: str | None, body: bytes) -> bytes:
 
 
 def normalise_file(source: str, target: str, level: int = 6) -> list[dict]:
-    """Rewrite one file; the index rows. Records are streamed, never held whole.
+    """Rewrite one file; the index rows. Records are streamed: of a record only its head is held, and parts of its block.
 
-    At a record that is cut short or has no usable head the file ends: the records before it are written, and a last
-    row with status "truncated" or "malformed" and no offset tells of it.
+    At a record that is cut short or has no usable head the file ends. What there is of a block that is cut short is a
+    member too, whose row has the status "truncated" and counts its bytes; a head that is cut short has a row without an
+    offset, and one without a usable length a row of status "malformed".
     """
     fs, path = filesystem(source)
     rows: list[dict] = []
@@ -121,22 +122,19 @@ def normalise_file(source: str, target: str, level: int = 6) -> list[dict]:
                 if found is None or not found.get("content-length", "").isdecimal():
                     rows.append(row | {"status": "malformed"})
                     return
-                z, n, crc, pieces = zlib.compressobj(level, zlib.DEFLATED, 31), 0, 0, []
-                pieces.append(z.compress(block))
+                z, n, crc, length = zlib.compressobj(level, zlib.DEFLATED, 31), 0, 0, 0
                 size = int(found["content-length"])
-                row |= {"record_id": found.get("warc-record-id", "").strip("<>") or None, "record_type": found.get("warc-type"), "target_uri": found.get("warc-target-uri"), "block_bytes": size}
+                row |= {"record_id": found.get("warc-record-id", "").strip("<>") or None, "record_type": found.get("warc-type"), "target_uri": found.get("warc-target-uri")}
+                length += out.write(z.compress(block))
                 for part in stream.parts(size):
                     n += len(part)
                     crc = zlib.crc32(part, crc)
-                    pieces.append(z.compress(part))
+                    length += out.write(z.compress(part))
+                length += out.write(z.compress(b"\r\n\r\n") + z.flush())
+                rows.append(row | {"offset": at, "length": length, "block_bytes": n, "block_crc": crc, "status": "ok" if n == size else "truncated"})
                 if n < size:
-                    rows.append(row | {"status": "truncated"})
                     return
-                pieces += [z.compress(b"\r\n\r\n"), z.flush()]
-                member = b"".join(pieces)
-                out.write(member)
-                rows.append(row | {"offset": at, "length": len(member), "block_crc": crc})
-                at += len(member)
+                at += length
 
     publish(target, write)
     lines = "".join(json.dumps({k: r.get(k) for k in ("record_no", "record_id", "target_uri", "offset", "length", "status")}, ensure_ascii=False) + "\n" for r in rows)
@@ -150,7 +148,7 @@ def read_record(target: str, offset: int, length: int) -> tuple[dict[str, str],
     with fs.open_input_file(path) as f:
         head, _, rest = zlib.decompress(f.read_at(length, offset), 31).partition(b"\r\n\r\n")
     found = headers(head)
-    return found, rest[: int(found["content-length"])]
+    return found, rest[:-4][: int(found["content-length"])]
 
 
 def write_monolithic(spark: SparkSession, pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", level: int = 1) -> DataFrame:
@@ -183,7 +181,7 @@ def normalise(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:
     """
     todo = files.select(F.col("source").cast("string").alias("source")).where("source is not null").distinct()
     todo = todo.withColumn("target", F.concat(F.lit(folder + "/"), F.lower(F.hex(F.xxhash64("source"))), F.lit("-"), F.element_at(F.split("source", "/"), -1)))
-    todo = todo.repartition(max(1, min(100_000, files.count())), "source")
+    todo = todo.repartitionByRange(max(1, min(100_000, files.count())), "source")  # by the addresses' order, so that files don't fall on one task
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     kinds = pa.schema([(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in SCHEMA.split(", ")])
 
