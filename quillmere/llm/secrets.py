@@ -40,9 +40,26 @@ def signed_json(token: str) -> bool:
         return False
 
 
-def account_id(token: str) -> bool:
-    """The base-32 body holds an account number of at most 12 digits."""
-    return (int.from_bytes(base64.b32decode(token[4:])[:6]) & 0x7FFFFFFFFF80) >> 7 < 10**12
+def macaroon(token: str) -> bool:
+    """The body is base64url of a macaroon of version 2 whose location names the package index."""
+    body = token.partition("-")[2]
+    try:
+        raw = base64.urlsafe_b64decode(body + "=" * (-len(body) % 4))
+    except ValueError:
+        return False
+    return raw[:2] == b"\x02\x01" and b"pypi.org" in raw[:16]
+
+
+def key_bytes(n: int):
+    """Base64 of exactly ``n`` bytes."""
+
+    def check(token: str) -> bool:
+        try:
+            return len(base64.b64decode(token, validate=True)) == n
+        except ValueError:
+            return False
+
+    return check
 
 
 def random_looking(value: str) -> bool:
@@ -80,7 +97,20 @@ RULES = (
     Rule("slack_token", ("xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-"), r"(xox[bpars]-[A-Za-z0-9-]{20,})"),
     Rule("google_api_key", ("AIza",), r"(AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9_-])"),
     Rule("stripe_key", ("sk_live_", "rk_live_"), r"([sr]k_live_[A-Za-z0-9]{20,})"),
-    Rule("private_key", ("-----BEGIN ",), r"(-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----(?:[\s\S]*?-----END (?:[A-Z]+ )?PRIVATE KEY-----)?)"),
+    Rule("stripe_webhook_secret", ("whsec_",), r"(whsec_[A-Za-z0-9+/=]{24,})"),
+    Rule("github_fine_grained_token", ("github_pat_",), r"(github_pat_[A-Za-z0-9]{22}_[A-Za-z0-9]{59})(?![A-Za-z0-9])"),
+    Rule("pypi_token", ("pypi-AgE",), r"(pypi-AgE[A-Za-z0-9_-]{50,})", macaroon, True),
+    Rule("huggingface_token", ("hf_",), r"(hf_[A-Za-z]{34})(?![A-Za-z0-9])"),
+    Rule("sendgrid_key", ("SG.",), r"(SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43})(?![A-Za-z0-9_-])"),
+    Rule("twilio_key", ("SK",), r"(SK[0-9a-f]{32})(?![A-Za-z0-9])", lambda t: len(set(t[2:])) >= 8),
+    Rule("digitalocean_token", ("dop_v1_", "doo_v1_", "dor_v1_"), r"(do[opr]_v1_[0-9a-f]{64})(?![A-Za-z0-9])"),
+    Rule("shopify_token", ("shpat_", "shpca_", "shppa_", "shpss_"), r"(shp(?:at|ca|pa|ss)_[0-9a-fA-F]{32})(?![A-Za-z0-9])"),
+    Rule("google_oauth_secret", ("GOCSPX-",), r"(GOCSPX-[A-Za-z0-9_-]{28})(?![A-Za-z0-9_-])"),
+    Rule("azure_storage_key", ("AccountKey=",), r"AccountKey=([A-Za-z0-9+/]{86}==)", key_bytes(64), True),
+    Rule("slack_webhook", ("hooks.slack.com/services/",), r"(hooks\.slack\.com/services/T[A-Z0-9]{6,}/B[A-Z0-9]{6,}/[A-Za-z0-9]{20,})"),
+    Rule("url_password", ("://",), r"://[^\s/:@\"'<>]{1,}:([^\s/:@\"'<>]{4,})@[A-Za-z0-9\[]", lambda t: not re.fullmatch(r"[*x.$<>{}\[\]]+|(?i:password|pass|pwd|secret)", t)),
+    # without its last line the key ends where its base64 does
+    Rule("private_key", ("-----BEGIN ",), r"(-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----(?:(?:(?!-----)[\s\S])*-----END (?:[A-Z]+ )?PRIVATE KEY-----|(?:\s*(?:[A-Za-z-]+: [^\n]*\n|[A-Za-z0-9+/=]{16,}))*(?:\s+[A-Za-z0-9+/]+={1,2})?))"),
     Rule(
         "assigned_secret",
         (*_cases("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key"), "apiKey", "ApiKey"),
@@ -150,7 +180,8 @@ def scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     """One row a secret: document, rule, place in characters (end exclusive), checksum, and a hash in its stead.
 
     A whole text is searched by one keyword automaton, and patterns are tried only where their keyword begins a word.
-    The names of assigned secrets go on in any word characters, and their values are of any length.
+    The names of assigned secrets go on in any word characters, and their values are of any length. A key block without
+    its last line goes on as long as its base64 does.
     A find whose embedded checksum is wrong is no secret. The secret itself is never returned. Null and empty texts
     have none; overlapping finds of different rules each have a row; null ids and repeated rows are searched like any
     other. An empty table gives no row. There is no shuffle.

@@ -216,6 +216,48 @@ def test_assigned_secrets_by_an_independent_list(name, join):
         assert secrets.scanner().redact(text) == f"x {name}{join}[assigned_secret] y"
 
 
+def fixed_forms():
+    """Secrets made here, by the formats' descriptions, not by the scanner's patterns."""
+    draw = random.Random(77)
+    letters, digits = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    some = lambda alphabet, n: "".join(draw.choices(alphabet, k=n))
+    hexes = lambda n: some("0123456789abcdef", n)
+    word = letters + digits
+    return {
+        "whsec_" + some(word, 32): "stripe_webhook_secret",
+        "github_pat_" + some(word, 22) + "_" + some(word, 59): "github_fine_grained_token",
+        "pypi-" + base64.urlsafe_b64encode(b"\x02\x01\x08pypi.org\x02" + bytes(range(90))).decode().rstrip("="): "pypi_token",
+        "hf_" + some(letters, 34): "huggingface_token",
+        "SG." + some(word, 22) + "." + some(word, 43): "sendgrid_key",
+        "SK" + "0123456789abcdef" * 2: "twilio_key",
+        "dop_v1_" + hexes(64): "digitalocean_token",
+        "shpat_" + hexes(32): "shopify_token",
+        "GOCSPX-" + some(word, 28): "google_oauth_secret",
+        base64.b64encode(bytes(draw.randrange(256) for _ in range(64))).decode(): "azure_storage_key",
+        "hooks.slack.com/services/T" + some("ABC123", 8) + "/B" + some("ABC123", 9) + "/" + some(word, 24): "slack_webhook",
+        "s3cr3tP!ss": "url_password",
+        "glpat-" + some(word, 20): "gitlab_token",
+        "xoxb-" + some(digits, 12) + "-" + some(word, 24): "slack_token",
+        "AIza" + some(word, 35): "google_api_key",
+        "sk_live_" + some(word, 24): "stripe_key",
+        "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n" + "\n".join(some(word + "+/", 64) for _ in range(20)) + "\nQw==\n-----END RSA PRIVATE KEY-----": "private_key",
+        "-----BEGIN PRIVATE KEY-----\n" + "\n".join(some(word + "+/", 64) for _ in range(200)) + "\nQw==": "private_key",
+    }
+
+
+def test_other_forms_by_an_independent_list():
+    around = {"azure_storage_key": ("DefaultEndpointsProtocol=https;AccountKey=", ";x"), "url_password": ("postgres://user:", "@db.host:5432/x"), "slack_webhook": ("https://", " ")}
+    for secret, rule in fixed_forms().items():
+        before, after = around.get(rule, ("see ", " and so on"))
+        text = f"line one\n{before}{secret}{after}\nthe end"
+        found = [(text[a:b], r) for a, b, r, _ in secrets.scanner().find(text) if r == rule]
+        assert found == [(secret, rule)], rule
+        out = secrets.scanner().redact(text)
+        assert out == f"line one\n{before}[{rule}]{after}\nthe end"
+    for clean in ("http://host:8080/a@b", "https://user:password@host", "pypi-AgE" + "A" * 60, "AccountKey=" + "A" * 85 + "===", "SK" + "0" * 32, "hf_short", "see SG.a.b", "ftp://x:***@h"):
+        assert secrets.scanner().find(clean) == [], clean
+
+
 def test_scan_and_redact(spark, awkward):
     assert secrets.scan(spark, awkward).collect() == [] and secrets.scan(spark, nothing(awkward)).collect() == []
     rows = [(1, f"x {GOOD} y", 44, "k"), (1, f"x {GOOD} y", 44, "k"), (None, "password=e3b3ed3cc8548923d6", 27, "k"), (3, None, None, "k"), (4, "", 0, None), (5, LONG + GOOD, 9, "k")]
