@@ -34,4 +34,13 @@ def written(spark: SparkSession, df: DataFrame, tag: str, compression: str = "sn
     """``df`` as a Parquet table in the shared folder: lineage ends there, so a lost executor costs a reread."""
     path = new_folder(spark, tag)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove written tables that nothing will read again."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
