@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,34 +9,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``.
-
-    Only where the session has none (as in tests) is one made on this machine.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-        if base is None:
-            base = "file://" + tempfile.mkdtemp(prefix="quillmere-")
-            spark.sparkContext.setCheckpointDir(base)
-    path = spark._jvm.org.apache.hadoop.fs.Path(base)  # a bare path belongs to the default file system, whichever that is
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
-
-
-def new_folder(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def written(spark: SparkSession, df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage ends there, so a lost executor costs a reread."""
-    path = new_folder(spark, tag)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..storage import discard, new_folder, shared_dir, written  # noqa: F401
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:

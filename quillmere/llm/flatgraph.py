@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import bounded, mix64, written
+from ._common import bounded, discard, mix64, written
 from .components import components
 from .topk import matrix, vectors
 
@@ -91,6 +91,7 @@ def cluster(spark: SparkSession, rows: DataFrame, n: int, s: Settings) -> np.nda
         some = (total * total).sum(axis=1) > 0
         centres = centres.copy()
         centres[some] = unit(total[some])
+    discard(sample)
     return centres
 
 
@@ -212,7 +213,7 @@ def in_range(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, s: Settings)
 
 
 def _pairs_once(spark: SparkSession, rows: DataFrame, n: int, s: Settings) -> DataFrame:
-    """Pairs of nodes, each once and verified.
+    """Pairs of nodes, each once and verified, as a written table.
 
     What is in one task is bounded: the members of a shard, and a few thousand queries at a time. Copies of a query go to
     every cluster that may hold a partner, so that a pair is missed only where neither finds the other's shards.
@@ -273,7 +274,9 @@ def _pairs_once(spark: SparkSession, rows: DataFrame, n: int, s: Settings) -> Da
         return pa.table([pa.array(np.minimum(one, other)), pa.array(np.maximum(one, other)), pa.array(sim[kept])], names=["id_a", "id_b", "similarity"])
 
     found = asks.groupBy("of", "at", "run").cogroup(held.groupBy("cluster", "sub", "chunk")).applyInArrow(visit, PAIRS)
-    return found.groupBy("id_a", "id_b").agg(F.max("similarity").alias("similarity"))
+    pairs = written(spark, found.groupBy("id_a", "id_b").agg(F.max("similarity").alias("similarity")), "pairs")
+    discard(routed, united)
+    return pairs
 
 
 def audit(spark: SparkSession, rows: DataFrame, pairs: DataFrame, s: Settings) -> float | None:
@@ -310,11 +313,14 @@ def audit(spark: SparkSession, rows: DataFrame, pairs: DataFrame, s: Settings) -
         true = rows.select("id", "vec").mapInArrow(partners, "query long, node long, turn long")
         true = true.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy("turn", "node"))).where(F.col("place") <= s.partners)
         true = written(spark, true.select("query", "node"), "audit")
-        if size >= whole or true.select("query").distinct().count() >= s.partnered:
+        if more == 64 or size >= whole or true.select("query").distinct().count() >= s.partnered:
             break
-    true = true.select(F.least("query", "node").alias("id_a"), F.greatest("query", "node").alias("id_b")).distinct()
-    n = true.count()
-    return true.join(pairs, ["id_a", "id_b"], "left_semi").count() / n if n else None
+        discard(true)
+    both = true.select(F.least("query", "node").alias("id_a"), F.greatest("query", "node").alias("id_b")).distinct()
+    n = both.count()
+    met = both.join(pairs, ["id_a", "id_b"], "left_semi").count()
+    discard(true)
+    return met / n if n else None
 
 
 @dataclass
@@ -362,13 +368,14 @@ def similar(spark: SparkSession, df: DataFrame, settings: Settings = Settings(),
     equal = every.groupBy("h", "g").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
     rows = every.join(equal, ["h", "g"], "left").select("id", F.coalesce("least", "id").alias("node"), F.coalesce("n", F.lit(1)).alias("copies"), "vec")
     rows = written(spark, rows, "nodes")
+    discard(every)
     nodes = rows.where("id = node").select("id", "vec")
     n = nodes.count()
     if not n:
         return None
     best, best_recall = None, -1.0
     for _ in range(s.attempts):
-        pairs = written(spark, _pairs_once(spark, nodes, n, s), "pairs")
+        pairs = _pairs_once(spark, nodes, n, s)
         got = audit(spark, nodes, pairs, s)
         if got is None or got > best_recall:
             best, best_recall = pairs, got

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytebpe
-from ._common import id_text, mix64, new_folder, written
+from ._common import discard, id_text, mix64, new_folder, written
 
 SCHEMA = "doc_id long, n_tokens long, log_prob double, perplexity double"
 _RUN, _BLOCK, _PART = 1_000_000, 8_000_000, 4_000_000  # tokens
@@ -291,7 +291,9 @@ def _tables(spark: SparkSession, top: DataFrame, vocab: int, highest: int, s: Se
             backs.write.parquet(f"{folder}/backoffs/ngram_order={order}")
         probs.select("ctx", "tok", F.log("p").alias("lp")).write.parquet(f"{folder}/grams/ngram_order={order}")
         model = Model(s, vocab, unseen, spark.read.parquet(f"{folder}/grams"), spark.read.parquet(f"{folder}/backoffs") if order > 1 else None)
-        lower = written(spark, evaluate(model, table.select("ctx", "tok"), order), "lower")
+        before, lower = lower, written(spark, evaluate(model, table.select("ctx", "tok"), order), "lower")
+        if before is not None:
+            discard(before)
     return model, lower
 
 
@@ -318,7 +320,8 @@ def train(spark: SparkSession, corpus: Corpus, settings: Settings = Settings())
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in ((key >> np.uint64(16)).astype(np.int64), (key & np.uint64(0xFFFF)).astype(np.int32), n)], names=["ctx", "tok", "c"])
 
     shorter = corpus.grams.select("n", "ngrams", "counts").mapInArrow(shorten, "ctx long, tok int, c long").groupBy("ctx", "tok").agg(F.sum("c").alias("c"))
-    model, lower = _tables(spark, written(spark, shorter, "shorter"), vocab, highest, s, folder)
+    shorter = written(spark, shorter, "shorter")
+    model, lower = _tables(spark, shorter, vocab, highest, s, folder)
     sums = corpus.grams.select(F.posexplode("few").alias("c", "n")).groupBy("c").agg(F.sum("n").alias("n")).collect()
     factor = np.ones(s.discounted + 2)
     for r, d in discounts({r.c: r.n for r in sums if r.c}, s.discounted).items():
@@ -371,6 +374,7 @@ def train(spark: SparkSession, corpus: Corpus, settings: Settings = Settings())
         placed = lower.select("ctx", "tok", "lp").mapInArrow(place, "at long, low long, lp double")
         solved = grams.groupBy("part").cogroup(placed.groupBy("at")).applyInArrow(meet, SOLVED)
     solved = written(spark, solved, "solved")
+    discard(shorter, lower, corpus.grams)
     model.solved, model.factor = solved, factor
     if order == 1:
         return model

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import id_text, mix64, split_chunks, written
+from ._common import discard, id_text, mix64, split_chunks, written
 from .components import components
 
 
@@ -185,8 +185,8 @@ def _linked(s: Settings):
     return run
 
 
-def _edges(spark: SparkSession, reps: DataFrame, s: Settings) -> DataFrame:
-    """Links between the sketches of ``reps`` (rep, sketch, bands) that share a band and are near.
+def _edges(spark: SparkSession, reps: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """Links between the sketches of ``reps`` (rep, sketch, bands) that share a band and are near, and the written table that they are made of.
 
     Nothing holds a whole bucket: buckets with the same members, by count, extremes and two sums of hashes, are one, and large
     ones are cut into parts by hash, of which every two meet in a task.
@@ -204,7 +204,7 @@ def _edges(spark: SparkSession, reps: DataFrame, s: Settings) -> DataFrame:
     large = rows.where("parts > 2").select("key", "rep", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     large = large.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("bucket"), "rep")
     rows = small.union(large).join(reps.select("rep", "sketch"), "rep").repartition("bucket").sortWithinPartitions("bucket", "rep")
-    return rows.select("bucket", "rep", "sketch").mapInArrow(_linked(s), "a long, b long")
+    return rows.select("bucket", "rep", "sketch").mapInArrow(_linked(s), "a long, b long"), keys
 
 
 def grouped(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,10 +216,12 @@ def grouped(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(
     sigs = written(spark, signatures(id_text(docs, id_col, text_col), s), "signatures")
     reps = sigs.groupBy("sketch").agg(F.min("bands").alias("bands"))  # equal sketches are estimated at 1
     reps = written(spark, reps.withColumn("rep", F.monotonically_increasing_id()), "representatives")  # numbered once, in the table
-    groups = components(spark, _edges(spark, reps, s), "near-duplicates")
+    edges, keys = _edges(spark, reps, s)
+    groups = components(spark, edges, "near-duplicates")
     rows = sigs.select("id", "text_hash", "sketch").join(reps.select("sketch", "rep"), "sketch").groupBy("id", "text_hash", "rep").agg(F.count("*").alias("n"))
     rows = rows.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("id", "text_hash", "n", F.coalesce("root", "rep").alias("root"))
     rows = written(spark, rows, "grouped")
+    discard(sigs, reps, keys, groups)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("first")
     several = rows.groupBy("root").agg(F.sum("n").alias("size"), first).where("size > 1")
     kept = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import bounded, filesystem, new_folder, publish, written
+from ._common import bounded, discard, filesystem, new_folder, publish, written
 
 SCHEMA = "query_id long, neighbor_id long, score double"
 BLOCK = "dims int, uri string, n long, low array<double>, high array<double>"
@@ -189,6 +189,7 @@ def top_k(
 
     index = blocks(rows, block)
     ask = blocks(asked, int(np.clip(-(-n_asked // (4 * cores)), 64, block)))
+    discard(*({id(t): t for t in (rows, asked)}.values()))
     shares = max(1, -(-index.count() // _SHARE))
     others = index.select("dims", F.pmod(F.xxhash64("uri"), F.lit(shares)).alias("share"), F.struct("uri", "low", "high").alias("rows"))
     others = others.groupBy("dims", "share").agg(F.sort_array(F.collect_list("rows")).alias("rows"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillmere.llm import components, flatgraph, minhash, secrets, sentencepiece_fst, topk, vocab, warc
-from quillmere.llm._common import shared_dir
+from quillmere.llm._common import shared_dir, written
 
 PIECES = vocab.path("piece_bpe_32k.model")
 LONG = "many words of one long text that goes on " * 8000
@@ -466,7 +466,7 @@ def test_flat_graph_audit_counts_unequal_pairs_and_fails(spark, monkeypatch):
     x = np.random.default_rng(22).standard_normal((300, 16))
     x = np.concatenate([x, x, x[:50] + 0.01])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    monkeypatch.setattr(flatgraph, "_pairs_once", lambda spark, *_: spark.createDataFrame([], flatgraph.PAIRS))
+    monkeypatch.setattr(flatgraph, "_pairs_once", lambda spark, *_: written(spark, spark.createDataFrame([], flatgraph.PAIRS), "none"))
     with pytest.raises(RuntimeError, match="recall"):
         flatgraph.near_duplicates(spark, df)
 
