@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import sql
 from ..operators import graph
 from ..plans.table import Table
+from ..sources import puffin
 from ..storage import new_folder
 from . import lexical, query, table
 from .vectors import BASE, l2
@@ -92,9 +95,52 @@ def _(spark, d):
     return graph.search_shards(nodes, asked, 10, 40, deletes=gone, shards=shards)
 
 
+@query("x4_sql_rabitq")
+def _(spark, d):
+    """Codes and estimates by SQL functions: each vector against the first one, around the mean of both."""
+    sql.register(spark)
+    table(spark, d, "embeddings").createOrReplaceTempView("qm_embeddings")
+    return spark.sql("""
+        WITH q AS (SELECT cast(embedding AS ARRAY<DOUBLE>) AS qv FROM qm_embeddings WHERE vec_id = 0),
+             v AS (SELECT vec_id, cast(embedding AS ARRAY<DOUBLE>) AS vec, qv, transform(qv, x -> 0D) AS centre FROM qm_embeddings CROSS JOIN q),
+             c AS (SELECT vec_id, vec, qv, centre, rabitq_encode(vec, centre) AS code FROM v),
+             e AS (SELECT vec_id, l2sq(vec, qv) AS dist, rabitq_estimate(code.code, code.f_add, code.f_rescale, code.f_error, qv, centre) AS e FROM c)
+        SELECT vec_id, round(dist, 6) AS dist, e.estimate, e.lower_bound, e.upper_bound FROM e""")
+
+
+@query("x5_sql_greedy")
+def _(spark, d):
+    """A walk as a table function, over the graph that joins each of the first hundred vectors to the next ten."""
+    sql.register(spark)
+    table(spark, d, "embeddings").where("vec_id < 100").createOrReplaceTempView("qm_hundred")
+    return spark.sql("""
+        SELECT found.* FROM (SELECT transform(array_sort(collect_list(struct(vec_id, embedding))), s -> cast(s.embedding AS ARRAY<DOUBLE>)) AS vectors FROM qm_hundred) g,
+          LATERAL greedy_search(g.vectors, transform(sequence(0, 99), i -> transform(sequence(1, 10), k -> (i + k) % 100)), 0, g.vectors[42], 5, 30) found""")
+
+
+@query("k15_puffin", "SELECT doc_id AS ordinal FROM documents WHERE doc_id % 7 = 0")
+def _(spark, d):
+    """A segment's deletions, exported as a Puffin file and read back."""
+    gone = np.array([r.doc_id for r in table(spark, d, "documents").where("doc_id % 7 = 0").select("doc_id").toLocalIterator()])
+    footer, blobs = puffin.read(puffin.write(gone, "segment"))
+    return spark.createDataFrame(pd.DataFrame({"ordinal": puffin.unroaring(blobs[0][4 + 16 : -4])}))
+
+
+@query("m3_time_travel", "SELECT 1 AS version, count(*) FILTER (doc_id < n // 2) AS n_rows FROM documents, (SELECT count(*) AS n FROM documents) GROUP BY 1 UNION ALL SELECT 2, count(*) FROM documents UNION ALL SELECT 3, count(*) FILTER (doc_id % 7 <> 0) FROM documents")
+def _(spark, d):
+    """Each version of a table as it was."""
+    t = committed(spark, d)
+    parts = [t.read(v).agg(F.lit(v).alias("version"), F.count("*").alias("n_rows")) for v in (1, 2, 3)]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 @query("m1_commits", "SELECT doc_id AS row_id FROM documents WHERE doc_id % 7 <> 0")
 def _(spark, d):
     """Two appends, a deletion and a read of a table in the session's shared folder."""
+    return committed(spark, d).read().select("row_id")
+
+
+def committed(spark, d) -> Table:
     t = Table.open(spark, new_folder(spark, "table"))
     t.create(keep_last=1)
     docs = table(spark, d, "documents").select("doc_id")
@@ -102,4 +148,4 @@ def _(spark, d):
     for part in (docs.where(F.col("doc_id") < half), docs.where(F.col("doc_id") >= half)):
         t.append(part.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id"))
     t.delete(docs.where("doc_id % 7 = 0").select(F.col("doc_id").alias("row_id")))
-    return t.read().select("row_id")
+    return t
