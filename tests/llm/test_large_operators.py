@@ -504,3 +504,21 @@ def test_stages(spark, tmp_path):
     assert max(sums.values()) <= 2048
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(left)
+
+
+def test_pipeline_on_awkward_tables(spark, tmp_path):
+    """An empty table, one language, a very long text, null columns and columns that are called as ours."""
+    words = "the of and to in is it you that he was for on are with as his they be at".split()
+    draw = random.Random(23)
+    prose = lambda n: " ".join(draw.choices(words, k=n))
+    long = prose(60_000)
+    rows = [(i, prose(40), "en") for i in range(80)] + [(100, long, "en"), (101, None, None), (102, "", "en"), (None, prose(30), None), (103, "12 34", "en"), (104, long, "en")]
+    docs = spark.createDataFrame([(*r, None, None) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("id", "kept", "rep", "own_0", "chunk", "label"):
+        docs = docs.withColumn(name, F.lit("x"))
+    docs.write.parquet(str(tmp_path / "a/documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "a")).collect()
+    assert {r.doc_id for r in got} >= {*range(80), 100, None} and not {101, 102, 103, 104} & {r.doc_id for r in got}
+    assert sum(r.length for r in got if r.doc_id == 100) > 2048 and max(r.start + r.length for r in got) <= 2048
+    nothing(docs).write.parquet(str(tmp_path / "b/documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "b")).collect() == []
