@@ -102,30 +102,36 @@ def quantize_one_bit(x: np.ndarray, centre: np.ndarray, metric: str = "l2") -> d
     return {"code": np.packbits(bits, axis=1), "f_add": add, "f_rescale": rescale, "f_error": error}
 
 
-def best_rescale(o: np.ndarray, ex_bits: int) -> float:
-    """The scale at which the rounded magnitudes point most nearly along ``o`` (all positive).
+def best_rescales(o: np.ndarray, ex_bits: int) -> np.ndarray:
+    """For each row of magnitudes (all positive), the scale at which they, rounded, point most nearly along it.
 
     Every scale at which one code steps up is an event; the running sums over the events in order give the cosine
     after each.
     """
-    top = (1 << ex_bits) - 1
-    end = (top + _EXTRA) / o.max()
-    now = (end * _TIGHT[ex_bits] * o + _EPS).astype(np.int64)
-    steps = np.arange(1, top + 1)
-    code = now[:, None] + steps
-    at = code / o[:, None]
-    keep = (steps == 1) | ((code <= top) & (at < end))
-    order = np.argsort(at[keep], kind="stable")
-    code, at, who = code[keep][order], at[keep][order], np.repeat(np.arange(len(o)), keep.sum(axis=1))[order]
-    below = np.cumsum(2.0 * code) + len(o) * 0.25 + (now * now + now).sum()
-    above = np.cumsum(o[who]) + ((now + 0.5) * o).sum()
-    return float(at[np.argmax(above / np.sqrt(below))])
+    top, dims = (1 << ex_bits) - 1, o.shape[1]
+    out = np.empty(len(o))
+    for first in range(0, len(o), max(1, (1 << 21) // (dims * top))):  # bounds the table of events
+        x = o[first : first + max(1, (1 << 21) // (dims * top))]
+        end = (top + _EXTRA) / x.max(axis=1, keepdims=True)
+        now = (end * _TIGHT[ex_bits] * x + _EPS).astype(np.int64)
+        steps = np.arange(1, max(1, int(np.ceil(np.minimum(top, end * x) - now).max())) + 1)
+        code = now[:, :, None] + steps
+        at = code / x[:, :, None]
+        keep = (steps == 1) | ((code <= top) & (at < end[:, :, None]))
+        at, code = np.where(keep, at, np.inf).reshape(len(x), -1), code.reshape(len(x), -1)
+        order = np.argsort(at, axis=1, kind="stable")
+        at = np.take_along_axis(at, order, axis=1)
+        below = np.cumsum(2.0 * np.take_along_axis(code, order, axis=1), axis=1) + dims * 0.25 + (now * now + now).sum(axis=1, keepdims=True)
+        above = np.cumsum(np.take_along_axis(x, order // len(steps), axis=1), axis=1) + ((now + 0.5) * x).sum(axis=1, keepdims=True)
+        best = np.where(np.isfinite(at), above / np.sqrt(below), -np.inf).argmax(axis=1)
+        out[first : first + len(x)] = at[np.arange(len(x)), best]
+    return out
 
 
 def calibrate(dims: int, ex_bits: int, seed: int = 0, samples: int = 100) -> float:
     """The mean best scale of random directions, to share among vectors."""
     x = np.abs(np.random.default_rng(seed).standard_normal((samples, dims)))
-    return float(np.mean([best_rescale(v / np.linalg.norm(v), ex_bits) for v in x]))
+    return float(np.mean(best_rescales(x / np.linalg.norm(x, axis=1, keepdims=True), ex_bits)))
 
 
 def quantize_ex(x: np.ndarray, centre: np.ndarray, ex_bits: int, metric: str = "l2", scale: float | None = None) -> dict[str, np.ndarray]:
@@ -134,17 +140,18 @@ def quantize_ex(x: np.ndarray, centre: np.ndarray, ex_bits: int, metric: str = "
     centre = np.broadcast_to(centre, residual.shape)
     size = np.sqrt((residual**2).sum(axis=1))
     codes, add, rescale = np.zeros(residual.shape, np.int64), np.zeros(len(residual)), np.zeros(len(residual))
-    top = (1 << ex_bits) - 1
-    for i in np.flatnonzero(size > 0):
-        o = np.abs(residual[i]) / size[i]
-        t = best_rescale(np.maximum(o, 1e-300), ex_bits) if scale is None else scale
+    top, some = (1 << ex_bits) - 1, size > 0
+    r = residual[some]
+    if len(r):
+        o = np.abs(r) / size[some, None]
+        t = best_rescales(np.maximum(o, 1e-300), ex_bits)[:, None] if scale is None else scale
         c = np.minimum((t * o + _EPS).astype(np.int64), top)
-        total = ((c + 0.5) * o).sum()
-        c = np.where(residual[i] < 0, ~c & top, c)
-        codes[i] = c
-        full = c + np.where(residual[i] >= 0, top + 1, 0) - (top + 0.5)
-        add[i] = _factors(residual[[i]], centre[[i]], full[None], metric)[0][0]
-        rescale[i] = (-2 if metric == "l2" else -1) * size[i] / total
+        total = ((c + 0.5) * o).sum(axis=1)
+        c = np.where(r < 0, ~c & top, c)
+        full = c + np.where(r >= 0, top + 1, 0) - (top + 0.5)
+        codes[some] = c
+        add[some] = _factors(r, centre[some], full, metric)[0]
+        rescale[some] = (-2 if metric == "l2" else -1) * size[some] / total
     return {"ex_code": codes.astype(np.uint8), "f_add_ex": add, "f_rescale_ex": rescale}
 
 
