@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
 from pyspark.sql.types import StructType
 
 from . import rabitq, text
@@ -29,6 +30,7 @@ def register(spark: SparkSession) -> None:
     """Make all functions known to SQL in this session: those of ``SCALARS``, which are inlined into plans, and
 
     - ``stemmed(words)``: an array of words by their stems, so that the English chain is ``stemmed(without_stopwords(analyze(t, 'boundary')))``;
+    - ``rrf_score(place, k)``: an aggregate, the fused score of a row from its places in several rankings;
     - ``rabitq_encode(vec, centroid)``: one-bit code and factors (squared L2) as a struct, in Arrow batches;
     - ``rabitq_estimate(code, f_add, f_rescale, f_error, query, centroid)``: estimate, lower and upper bound;
     - ``greedy_search(vectors, edges, start, query, k, width)``: a table function, one row a result.
@@ -53,7 +55,11 @@ def register(spark: SparkSession) -> None:
         bound = f_error.to_numpy() * np.sqrt(apart)
         return pd.DataFrame({"estimate": value, "lower_bound": value - bound, "upper_bound": value + bound})
 
+    def fused(place: pd.Series, k: pd.Series) -> float:
+        return float((1.0 / (k + place)).sum())
+
     kind = StructType.fromDDL
+    spark.udf.register("rrf_score", F.pandas_udf(fused, "double", functionType=PandasUDFType.GROUPED_AGG))
     spark.udf.register("stemmed", text.stemmed_words)
     spark.udf.register("rabitq_encode", F.pandas_udf(encode, kind("code binary, f_add double, f_rescale double, f_error double")))
     spark.udf.register("rabitq_estimate", F.pandas_udf(estimate, kind("estimate double, lower_bound double, upper_bound double")))

@@ -31,6 +31,39 @@ def boundary_words(text: Column) -> Column:
     return F.filter(F.flatten(F.sentences(text)), lambda w: w.rlike(r"[\p{IsAlphabetic}\p{N}]"))
 
 
+def segments(run: str, weights: dict[str, float], longest: int) -> list[str]:
+    """The words of least total weight that make up ``run``; a character that is no word costs more than any word."""
+    dear = 10.0 + max(weights.values(), default=0.0)
+    cost, back = [0.0] + [float("inf")] * len(run), [0] * (len(run) + 1)
+    for i in range(len(run)):
+        for j in range(i + 1, min(len(run), i + longest) + 1):
+            w = weights.get(run[i:j], dear if j == i + 1 else None)
+            if w is not None and cost[i] + w < cost[j]:
+                cost[j], back[j] = cost[i] + w, i
+    out, j = [], len(run)
+    while j:
+        out.append(run[back[j] : j])
+        j = back[j]
+    return out[::-1]
+
+
+def dictionary_words(text: Column, counts: dict[str, int]) -> Column:
+    """Words of a text in a script without spaces between words: runs of letters and numbers, cut by a dictionary of words and their counts.
+
+    The cut of a run is the most likely one if words follow each other by chance. The dictionary is the caller's; each
+    distinct run of a batch is cut once.
+    """
+    total, longest = sum(counts.values()) or 1, max(map(len, counts), default=1)
+    weights = {w: float(np.log(total / n)) for w, n in counts.items() if n > 0}
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def cut(runs: pd.Series) -> pd.Series:
+        known = {r: segments(r, weights, longest) for r in {r for rs in runs.dropna() for r in rs}}
+        return runs.map(lambda rs: [w for r in rs for w in known[r]], na_action="ignore")
+
+    return cut(unicode_words(text))
+
+
 def without_stopwords(words: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
     """The words that are no stopwords; the positions close up."""
     return F.filter(words, lambda w: ~w.isin(*stopwords))

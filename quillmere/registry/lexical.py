@@ -136,6 +136,12 @@ def _(spark, d):
 _ENDS = "SELECT doc_id, sum(len(p)) OVER (PARTITION BY doc_id ORDER BY i) AS place, i, n FROM (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i, len(ps) AS n FROM (SELECT doc_id, regexp_extract_all(lower(text), '{}') AS ps FROM documents))"
 
 
+@query("f1_boundary_words")
+def _(spark, d):
+    """Words by the JVM's boundary analysis, whose rules no other engine has."""
+    return docs(spark, d).select("doc_id", F.size(text.boundary_words(F.col("text"))).alias("n"))
+
+
 @query("f8_agreement", f"""WITH a AS (SELECT doc_id, place FROM ({_ENDS.format('[a-z0-9]+|[^a-z0-9]+')}) WHERE i < n), b AS (SELECT doc_id, place FROM ({_ENDS.format('[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+')}) WHERE i < n),
  ored AS (SELECT doc_id, count(*) AS n FROM (SELECT * FROM a UNION SELECT * FROM b) GROUP BY 1), anded AS (SELECT doc_id, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) GROUP BY 1)
 SELECT d.doc_id, CASE WHEN ored.n IS NULL THEN 1.0::DOUBLE ELSE round(coalesce(anded.n, 0)::DOUBLE / ored.n, 6) END AS agreement FROM documents d LEFT JOIN ored USING (doc_id) LEFT JOIN anded USING (doc_id)""")

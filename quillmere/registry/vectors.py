@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import rabitq, vector
+from ..functions import rabitq, sql, vector
 from ..operators import ann, fusion, graph, search, vector_index
 from ..storage import new_folder
 from . import lexical, query, table
@@ -261,6 +261,14 @@ def _(spark, d):
     return fusion.fuse(rankings).select("row_id", F.round("score", 6).alias("score"))
 
 
+@query("x6_sql_rrf", f"SELECT row_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM ({_rank_sql(0, 1)} UNION ALL {_rank_sql(1, 2)}) GROUP BY row_id")
+def _(spark, d):
+    """The fusion as an SQL aggregate."""
+    sql.register(spark)
+    by_distance(spark, d, 0, 1).union(by_distance(spark, d, 1, 2)).createOrReplaceTempView("qm_rankings")
+    return spark.sql("SELECT row_id, round(rrf_score(rank, 60), 6) AS score FROM qm_rankings GROUP BY row_id")
+
+
 @query("h2_rrf_asym", f"SELECT row_id, round(sum(1.0::DOUBLE / (CASE ranking_id WHEN 0 THEN 10 ELSE 90 END + rank)), 6) AS score FROM ({_rank_sql(0, 1)} UNION ALL {_rank_sql(1, 2)}) GROUP BY row_id")
 def _(spark, d):
     ks = spark.createDataFrame([(0, 10), (1, 90)], "ranking_id int, k int")

@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,3 +175,16 @@ def test_checksums_and_field_ids(spark):
     assert checksum.field_id("body") == xxhash.xxh3_64_intdigest(b"body") != 0
     with pytest.raises(ValueError):
         checksum.field_id("")
+
+
+def test_dictionary_segmentation(spark):
+    counts = {"研究": 50, "研究生": 20, "生命": 40, "命": 5, "起源": 30, "的": 200, "生": 5}
+    df = spark.createDataFrame([("研究生命的起源。研究生",), ("命运 abc",), ("",), (None,)], "t string")
+    got = [r.w for r in df.select(text.dictionary_words(F.col("t"), counts).alias("w")).collect()]
+    assert got == [["研究", "生命", "的", "起源", "研究生"], ["命", "运", "a", "b", "c"], [], None]
+    for run in ("研究生命", "生命研究生的", "xyz"):  # the best of all cuts
+        w, n = {k: float(np.log(350 / c)) for k, c in counts.items()}, len(run)
+        cuts = ([run[a:b] for a, b in zip([0, *c], [*c, n])] for m in range(1 << (n - 1)) for c in [[i + 1 for i in range(n - 1) if m >> i & 1]])
+        dear = 10 + max(w.values())
+        cost = lambda ps: sum(w.get(p, dear if len(p) == 1 else float("inf")) for p in ps)
+        assert np.isclose(cost(text.segments(run, w, 3)), min(map(cost, cuts)))
