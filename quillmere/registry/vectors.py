@@ -337,7 +337,7 @@ def _(spark, d):
 @query("j4_rerank")
 def _(spark, d):
     """The scan's candidates by exact distance."""
-    return rounded(stored(spark, d).rerank(candidates(spark, d, 1), vecs(spark, d), every_50th(spark, d), 10, others=True))
+    return rounded(stored(spark, d).scan_rerank(every_50th(spark, d), 10, 11, others=True))
 
 
 @query("f30_rotation")
