@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rabitq, sql, vector
@@ -385,5 +384,4 @@ def _(spark, d):
 
 @query("o3_candidates_ranked")
 def _(spark, d):
-    place = F.row_number().over(W.partitionBy("query_id").orderBy("estimate", "row_id"))
-    return candidates(spark, d, 7).where("row_id <> query_id").withColumn("place", place).where("place <= 10")
+    return stored(spark, d, 7).scan_best(every_50th(spark, d), 10, 11, others=True)
