@@ -37,6 +37,53 @@ def greedy_search(x: np.ndarray, graph: list, start: int, q: np.ndarray, k: int,
             pool = heapq.nsmallest(width, pool + list(zip(_apart(x, fresh, q).tolist(), fresh)))
 
 
+def greedy_walks(x: np.ndarray, graph: list, start: int, queries: np.ndarray, k: int, width: int, block: int = 256) -> list[tuple[list[int], int, int]]:
+    """``greedy_search`` of many queries side by side: the nodes found, how many were expanded and how many fetched, query by query.
+
+    Every step takes each query's nearest node that isn't expanded, so the steps of a block are as many as its longest walk.
+    """
+    n = len(x)
+    degree = max(1, max(map(len, graph), default=1))
+    edges = np.full((n + 1, degree), n, np.int64)  # n stands for no node
+    for i, g in enumerate(graph):
+        own = list(dict.fromkeys(map(int, g)))
+        edges[i, : len(own)] = own
+    padded = np.vstack([x, np.full((1, x.shape[1]), np.inf)])
+    out = []
+    for a in range(0, len(queries), block):
+        q = np.asarray(queries[a : a + block], np.float64)
+        m = len(q)
+        ids, dist = np.full((m, width), n, np.int64), np.full((m, width), np.inf)
+        ids[:, 0], dist[:, 0] = start, ((q - x[start]) ** 2).sum(axis=1)
+        done = np.zeros((m, n + 1), bool)
+        done[:, n] = True
+        hops, fetched = np.zeros(m, np.int64), np.ones(m, np.int64)
+        live = np.arange(m)
+        while len(live):
+            waits = ~np.take_along_axis(done[live], ids[live], axis=1)
+            some = waits.any(axis=1)
+            live, waits = live[some], waits[some]
+            if not len(live):
+                break
+            node = ids[live, waits.argmax(axis=1)]
+            done[live, node] = True
+            hops[live] += 1
+            near = edges[node]
+            near = np.where((near[:, :, None] == ids[live][:, None, :]).any(axis=2), n, near)  # nodes that are held
+            fetched[live] += (near < n).sum(axis=1)
+            apart = np.where(near < n, ((padded[np.minimum(near, n - 1)] - q[live, None]) ** 2).sum(axis=2), np.inf)
+            both, far = np.concatenate([ids[live], near], axis=1), np.concatenate([dist[live], apart], axis=1)
+            order = np.lexsort((both, far), axis=1)[:, :width]
+            ids[live], dist[live] = np.take_along_axis(both, order, axis=1), np.take_along_axis(far, order, axis=1)
+        out += [([i for i in row[:k].tolist() if i < n], int(h), int(f)) for row, h, f in zip(ids, hops, fetched)]
+    return out
+
+
+def shard_count(n: int) -> int:
+    """How many shards ``n`` rows are cut into, so that every query can walk every shard: of 250 rows each up to 64 shards, which then grow to 50,000 rows each."""
+    return max(1, min(n // 250, 64), -(-n // 50_000))
+
+
 def robust_prune(x: np.ndarray, node: int, candidates, degree: int, alpha: float) -> list[int]:
     """Nearest first (equal ones by number); each choice drops the candidates that are ``alpha`` times nearer to it than to the node. Distances are squared, and so is alpha."""
     rest = np.array(sorted(set(map(int, candidates)) - {node}), np.int64)
@@ -110,9 +157,10 @@ def search_shards(nodes: DataFrame, queries: DataFrame | pd.DataFrame, k: int, w
             x, ids, gone = np.stack(pdf.vec.to_numpy()), pdf.node.to_numpy(), pdf.gone.to_numpy()
             graph = [np.searchsorted(ids, g) for g in pdf.neighbors]
             start = int(np.searchsorted(ids, pdf.entry[0]))
-            for name, q in zip(asked.query_id, asked.asked):
-                met = [i for i in greedy_search(x, graph, start, np.asarray(q), max(k, width), width)[0] if not gone[i]][:k]
-                found += [(name, ids[i], float(_apart(x, i, q))) for i in met]
+            walks = greedy_walks(x, graph, start, np.stack(asked.asked.to_numpy()), max(k, width), width) if len(asked) else []
+            for name, q, (met, _, _) in zip(asked.query_id, asked.asked, walks):
+                met = [i for i in met if not gone[i]][:k]
+                found += [(name, ids[i], d) for i, d in zip(met, _apart(x, met, q).tolist())]
         return pd.DataFrame(found, columns=["query_id", "row_id", "dist"])
 
     rows = rows.select(F.col("shard").cast("long").alias("shard"), "node", "vec", "neighbors", "entry", "gone")
@@ -167,9 +215,9 @@ class StoredGraph:
                 pdf = pdf.sort_values("slot", ignore_index=True)
                 x, ids, edges = np.stack(pdf.vec.to_numpy()), pdf.row_id.to_numpy(), pdf.edges.to_list()
                 start = int(pdf.entry[0]) if seed is None else int(seed.slot)
-                for name, q in zip(asked.query_id, asked.asked):
-                    met, order, fetched = greedy_search(x, edges, start, np.asarray(q), k, width)
-                    found += [(name, pdf.shard[0], ids[i], float(_apart(x, i, q)), len(order), fetched) for i in met]
+                walks = greedy_walks(x, edges, start, np.stack(asked.asked.to_numpy()), k, width) if len(asked) else []
+                for name, q, (met, hops, fetched) in zip(asked.query_id, asked.asked, walks):
+                    found += [(name, pdf.shard[0], ids[i], d, hops, fetched) for i, d in zip(met, _apart(x, met, q).tolist())]
             return pd.DataFrame(found, columns=["query_id", "shard", "row_id", "dist", "hops", "fetches"])
 
         return rows.groupBy("shard").cogroup(asks.groupBy("at")).applyInPandas(walk, "query_id long, shard long, row_id long, dist double, hops long, fetches long")

@@ -88,7 +88,7 @@ def _(spark, d):
 def _(spark, d):
     """Walks go through deleted nodes; only the result leaves them out."""
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec"))
-    shards = max(1, rows.count() // 250)
+    shards = graph.shard_count(rows.count())
     nodes = graph.build_shards(rows.withColumn("shard", F.pmod(F.xxhash64("row_id"), F.lit(shards))))
     asked = rows.where("row_id % 50 = 0").withColumnRenamed("row_id", "query_id")
     gone = rows.where("row_id % 7 = 0").select("row_id")

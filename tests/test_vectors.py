@@ -136,6 +136,26 @@ def test_built_graph_has_bounded_degree_and_recall():
     assert hits / 200 > 0.9
 
 
+def test_walks_side_by_side_are_the_walks_one_by_one():
+    draw = np.random.default_rng(8)
+    x = draw.standard_normal((200, 6))
+    x[50:60] = x[40:50]  # ties
+    edges, start = graph.build(x, 8, 20)
+    q = np.concatenate([draw.standard_normal((30, 6)), x[40:45]])
+    for k, width in ((5, 12), (12, 12), (3, 300)):
+        got = graph.greedy_walks(x, edges, start, q, k, width, block=16)
+        want = [graph.greedy_search(x, edges, start, v, k, width) for v in q]
+        assert got == [(met, len(order), fetched) for met, order, fetched in want]
+    assert graph.greedy_walks(FIVE, EDGES, 0, np.array([[0.9, 0.1]]), 1, 2) == [([1], 2, 4)]
+    assert graph.greedy_walks(np.array([[10, 0], [6, 0], [9, 9], [0, 0.5]], float), [[1, 2], [0, 2, 3], [], [2]], 0, np.zeros((1, 2)), 1, 2) == [([3], 3, 6)]
+
+
+def test_walks_grow_no_faster_than_the_rows():
+    assert [graph.shard_count(n) for n in (0, 100, 500, 2000, 16_000)] == [1, 1, 2, 8, 64]
+    walks = [n // 50 * graph.shard_count(n) for n in (100_000, 600_000, 3_000_000)]
+    assert walks[1] <= 6 * walks[0] and walks[2] <= 30 * walks[0]
+
+
 def test_layouts_place_every_node_once():
     draw = np.random.default_rng(4)
     g = [draw.choice(50, 4, replace=False).tolist() for _ in range(50)]
@@ -248,26 +268,6 @@ def test_stored_codes_keep_the_nearest(spark, clustered, tmp_path, bits):
     assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.95 * 80
 
 
-def test_probed_lists_are_pushed_to_the_scan(indexed):
-    plan = indexed.lists([1, 2])._jdf.queryExecution().toString()
-    assert "PushedFilters: [In(cid, [1,2])]" in plan or "PushedFilters: [In(cid" in plan
-
-
-@pytest.mark.parametrize("name", ["v5_ivf", "j4_rerank", "o3_candidates_ranked", "p12_graph_deleted"])
-def test_recall_over_every_50th_row(spark, name):
-    if not os.path.isdir(DATA):
-        pytest.skip("no test tables")
-    registry.load()
-    rows = spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", "embedding").toPandas().sort_values("vec_id")
-    x = np.stack(rows.embedding.to_numpy())
-    gone = set(range(0, len(x), 7)) if name == "p12_graph_deleted" else set()
-    want = nearest_of_all(x, range(0, len(x), 50), 10, gone)
-    got = {}
-    for r in registry.QUERIES[name](spark, DATA).collect():
-        got.setdefault(r.query_id, set()).add(r.row_id)
-    assert set(got) == set(want) and sum(len(got[q] & set(want[q])) for q in want) >= 0.9 * 10 * len(want)
-
-
 def test_no_pair_of_the_scan_is_shuffled(spark, clustered, tmp_path):
     x, vecs, centroids = clustered
     ix = vector_index.VectorIndex.build(spark, str(tmp_path / "ix"), vecs, centroids, replicas=3)
@@ -291,6 +291,26 @@ def test_no_pair_of_the_scan_is_shuffled(spark, clustered, tmp_path):
     assert ix.scan(asked.where("false"), 11).collect() == [] and ix.scan(asked, 1000, probes=1.0).count() == 8 * 400
 
 
+def test_probed_lists_are_pushed_to_the_scan(indexed):
+    plan = indexed.lists([1, 2])._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(cid, [1,2])]" in plan or "PushedFilters: [In(cid" in plan
+
+
+@pytest.mark.parametrize("name", ["v5_ivf", "j4_rerank", "o3_candidates_ranked", "p12_graph_deleted"])
+def test_recall_over_every_50th_row(spark, name):
+    if not os.path.isdir(DATA):
+        pytest.skip("no test tables")
+    registry.load()
+    rows = spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", "embedding").toPandas().sort_values("vec_id")
+    x = np.stack(rows.embedding.to_numpy())
+    gone = set(range(0, len(x), 7)) if name == "p12_graph_deleted" else set()
+    want = nearest_of_all(x, range(0, len(x), 50), 10, gone)
+    got = {}
+    for r in registry.QUERIES[name](spark, DATA).collect():
+        got.setdefault(r.query_id, set()).add(r.row_id)
+    assert set(got) == set(want) and sum(len(got[q] & set(want[q])) for q in want) >= 0.9 * 10 * len(want)
+
+
 def test_kmeans_leaves_no_cluster_empty(spark):
     draw = np.random.default_rng(12)
     x = np.concatenate([np.zeros((300, 4)), np.eye(4) * 50, draw.standard_normal((20, 4)) * 0.01 + 9])
