@@ -66,17 +66,20 @@ def all_terms(post: DataFrame, terms: list[str]) -> DataFrame:
 def phrase(post: DataFrame, terms: list[str]) -> DataFrame:
     """``row_id`` of rows where the terms follow each other. No term: no row; one term: its rows.
 
-    The positions of all terms are brought to the phrase's start and meet in one aggregation by row and start, so a
-    phrase of any length costs one shuffle of its terms' postings.
+    The postings of the distinct terms meet by row, and a row's arrays of positions, each brought to the phrase's start, are
+    intersected where they are: no position becomes a row of its own.
     """
     if not terms:
         return post.select("row_id").where("false")
     if len(terms) == 1:
         return lookup(post, terms[0]).select("row_id").distinct()
-    places: dict[str, list[int]] = {}
-    for i, t in enumerate(terms):
-        places.setdefault(t, []).append(i)
-    shifts = F.create_map(*[x for t, ks in places.items() for x in (F.lit(t), F.array(*map(F.lit, ks)))])
-    rows = post.where(F.col("term").isin(*places)).select("row_id", F.explode("positions").alias("pos"), shifts[F.col("term")].alias("ks"))
-    starts = rows.select("row_id", "pos", F.explode("ks").alias("k")).select("row_id", (F.col("pos") - F.col("k")).alias("start"))
-    return starts.groupBy("row_id", "start").count().where(F.col("count") == len(terms)).select("row_id").distinct()
+    wanted = list(dict.fromkeys(terms))
+    rows = None
+    for i, t in enumerate(wanted):
+        part = lookup(post, t).select("row_id", F.col("positions").alias(f"p{i}"))
+        rows = part if rows is None else rows.join(part, "row_id")
+    starts = None
+    for k, t in enumerate(terms):
+        at = F.transform(f"p{wanted.index(t)}", (lambda k: lambda p: p - k)(k))
+        starts = at if starts is None else F.array_intersect(starts, at)
+    return rows.where(F.size(starts) > 0).select("row_id").distinct()
