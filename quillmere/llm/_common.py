@@ -12,7 +12,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import discard, new_folder, shared_dir, written  # noqa: F401
+from ..storage import bounded, discard, new_folder, shared_dir, written  # noqa: F401
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -34,17 +34,6 @@ def publish(uri: str, write) -> None:
     fs.move(temporary, path)
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """``df``, after bounding the Arrow batches of its session to 8 MB, unless the session has a bound of its own.
-
-    The library's default of 64 MB is held several times over, in the JVM and in each Python worker of an executor.
-    """
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if conf.get(name) in ("67108864b", "67108864", "64MB", "64m"):
-        conf.set(name, "8m")
-    return df
-
-
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Two columns, ``id`` and ``text``; other columns can't clash with what an operator adds."""
     return bounded(df).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, sql, text
 from ..operators import index, search
-from ..storage import new_folder, written
+from ..storage import bounded, new_folder, written
 from . import query, table
 
 TOK = """tok AS (SELECT doc_id AS row_id, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos
@@ -148,7 +148,7 @@ SELECT d.doc_id, CASE WHEN ored.n IS NULL THEN 1.0::DOUBLE ELSE round(coalesce(a
 def _(spark, d):
     """Of two segmenters' boundaries inside each text, the share that both have."""
     a, b = text.boundaries(F.col("text")), text.boundaries(F.col("text"), r"\p{L}\p{N}")
-    return docs(spark, d).select("doc_id", F.round(text.agreement(a, b), 6).alias("agreement"))
+    return bounded(docs(spark, d)).select("doc_id", F.round(text.agreement(a, b), 6).alias("agreement"))
 
 
 @query("a1_term_freq", POST + " SELECT row_id, term, CAST(tf AS BIGINT) AS tf FROM post")
