@@ -209,14 +209,18 @@ def _(spark, d):
     return cut.withColumn("share", share).where("share > 0").groupBy("decile").agg(F.sum("share").cast("long").alias("n_terms"), F.min("doc_freq").alias("lowest"), F.max("doc_freq").alias("highest"))
 
 
+def by_term(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
+    return index.by_term(rows, dictionary(spark, d).agg(F.sum("doc_freq")).first()[0] or 0)
+
+
 def placed(spark: SparkSession, d: str) -> DataFrame:
-    return index.numbered(post(spark, d))
+    return index.numbered(by_term(spark, d, post(spark, d)))
 
 
 @query("w2_gaps", POST + " SELECT term, row_id, row_id - lag(row_id, 1, 0) OVER (PARTITION BY term ORDER BY row_id) AS gap FROM post")
 def _(spark, d):
     gap = F.col("row_id") - F.lag("row_id", 1, 0).over(W.partitionBy("term").orderBy("row_id"))
-    return post(spark, d).select("term", "row_id", gap.alias("gap"))
+    return by_term(spark, d, post(spark, d).select("term", "row_id")).select("term", "row_id", gap.alias("gap"))
 
 
 @query("w3_prefix", POST + " SELECT term, tf, sum(tf) OVER (PARTITION BY term ORDER BY row_id) AS tokens_until, row_id FROM post")
@@ -225,7 +229,7 @@ def _(spark, d):
     order = W.partitionBy("term").orderBy("row_id")
     gaps = written(spark, placed(spark, d).select("term", "place", "tf", (F.col("row_id") - F.lag("row_id", 1, 0).over(order)).alias("gap")), "gaps")
     until = W.partitionBy("term").orderBy("place").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return gaps.select("term", "tf", F.sum("tf").over(until).alias("tokens_until"), F.sum("gap").over(until).alias("row_id"))
+    return by_term(spark, d, gaps).select("term", "tf", F.sum("tf").over(until).alias("tokens_until"), F.sum("gap").over(until).alias("row_id"))
 
 
 @query("w4_block_max", PLACED + " SELECT term, place // 256 AS block, max(row_id) AS block_max, count(*) AS n FROM placed GROUP BY term, place // 256")
